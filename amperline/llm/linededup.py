@@ -104,7 +104,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     flags = F.flatten(F.transform(runs, lambda g: F.concat(F.array_repeat(F.lit(True), g), F.array(F.lit(False)))))
     kept = F.filter(F.col("_lines"), lambda x, i: F.coalesce(F.get(F.col("_flags"), i), F.lit(True)))
     return (
-        docs.join(bitmaps, "doc_id", "left")
+        docs.join(bitmaps.hint("merge"), "doc_id", "left")  # bitmaps grow with docs: the same plan at every size
         .withColumns({"_lines": lines, "_flags": flags})
         .withColumns(
             {
