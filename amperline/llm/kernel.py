@@ -34,9 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + (1 << 18))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, u64)
+            steps = np.full(max(n, CHUNK_BYTES + (1 << 18)), base, u64)
             steps[0] = 1
             _powers[k] = np.cumprod(steps)
     return _powers[0][:n], _powers[1][:n]
