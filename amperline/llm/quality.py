@@ -128,7 +128,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample's size is the bound
 
 
-def marked_words(sample: DataFrame, most: int = 256) -> np.ndarray:
+def marked_words(sample: DataFrame, most: int = 1024) -> np.ndarray:
     """Hashes of the words that are far more usual in toxic documents than in others."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def marked_words(sample: DataFrame, most: int = 256) -> np.ndarray:
         return np.zeros(0, u64)
     counted = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     ratio = (F.col("t") / bad) / ((F.col("n") - F.col("t") + 0.5) / (n - bad))
-    rows = counted.where((F.col("t") >= max(5, 0.08 * bad)) & (ratio >= 10)).orderBy(F.desc(ratio), "word").limit(most).select("word").collect()
+    rows = counted.where((F.col("t") >= 5) & (ratio >= 10)).orderBy(F.desc(ratio), "word").limit(most).select("word").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(u64))
 
 
