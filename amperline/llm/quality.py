@@ -57,6 +57,14 @@ def plain_word_hashes(t: Text) -> tuple[np.ndarray, np.ndarray]:
     return plain.hashes(start, end), plain.doc_of(start)
 
 
+def plain_word_hashes_at(t: Text) -> tuple[np.ndarray, np.ndarray]:
+    """The same words' hashes with their byte positions."""
+    low = t.lower_ascii()
+    low.buf[_OUTER[low.buf]] = 32
+    start, end = low.word_bounds()
+    return low.hashes(start, end), start
+
+
 def _repeated(key: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     order = np.argsort(key, kind="stable")
