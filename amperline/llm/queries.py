@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperline.llm import decontam, linededup, packing, quality, substring, superminhash, tokenbin
+from amperline.llm import decontam, htmltext, linededup, lmscore, packing, quality, substring, superminhash, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,14 +56,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_stream(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return lmscore.cross_entropy_difference(_table(spark, sf_dir, "documents"), target)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_superminhash": op2_superminhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_html_extraction": op6_html_extraction,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
+    "op10_cross_entropy": op10_cross_entropy,
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
