@@ -8,9 +8,10 @@ as soon as all its places are filled, which long documents reach after two or th
 
 Documents with equal sets are one class from then on. Classes that share a band meet in a bucket:
 first every member is verified against the bucket's smallest member, on full sets; links give
-components. Only buckets whose members are then in different components go on, with the next
-few members as pivots, until each such pair has been verified or lies in one component. So a
-bucket of near copies costs one comparison a member, and no link inside a bucket is lost.
+components. Only buckets whose other members are then in different components go on, with the
+next members as pivots (8, then twice as many each round), until each such pair has been verified
+or lies in one component. So a bucket of near copies costs one comparison a member, a bucket
+without links ends after a logarithm of rounds, and no link inside a bucket is lost.
 
 Defined cases: null or empty text, or text without words, has an empty set and no link; with
 fewer words than n the whole sequence is the one element; rows with the same doc_id count as one
@@ -128,31 +129,22 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(take, "doc_id long, set binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of `pairs` whose sets reach the Jaccard similarity, by their full sets."""
-    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = save(_full_sets(texts, n), "sets")
     sides = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            last, x = None, None
             for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py()
-                if raw != last:
-                    last, x = raw, np.frombuffer(raw, u64)
-                y = np.frombuffer(batch.column(3)[i].as_py(), u64)
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), u64) for c in (2, 3))
                 both = np.concatenate([x, y])
-                both.sort(kind="stable")
+                both.sort(kind="stable")  # two sorted runs: one merge
                 common = int((both[1:] == both[:-1]).sum())
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
-    out = save(sides.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "links")
-    discard(wanted, sets)
-    return out
+    return save(sides.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,33 +174,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     # members of a bucket of one never meet anyone
     member = save(member.join(shared, "key"), "bucket-rows")
 
-    pivots = member.where("doc = least").select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"))
-    members = member.select("key", F.col("doc").alias("b"), F.col("n_shingles").alias("nb"))
-    links, labels = None, None
+    wanted = member.select(F.col("doc").alias("doc_id")).distinct()
+    sets = save(_full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n), "sets")
+
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    pivots = member.where("doc = least").select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("doc").alias("ca"))
+    rest = member.select("key", "doc", "n_shingles", F.lit(None).cast("long").alias("comp"))
+    links, labels, width = None, None, PIVOTS
     while True:
-        near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-        pairs = members.join(pivots, "key").where(near)
-        if labels is not None:
-            pairs = pairs.where("ca != cb")
-        pairs = save(pairs.select("a", "b").distinct(), "pairs")
-        found = verified(pairs, docs, n, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = save(components(links), "components")
-        # buckets whose members are not yet in one component, without the pivots that are done
-        done = save(pivots.groupBy("key").agg(F.max("a").alias("last")), "pivots-done")
-        c = member.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        open_keys = c.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-        rest = c.join(open_keys, "key").join(done, "key").where("doc > last").drop("last", "least")
-        member_open = save(rest, "open-buckets")
-        top = Window.partitionBy("key").orderBy("doc")
-        pivots = save(
-            member_open.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= PIVOTS).select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")),
-            "pivots",
-        )
-        members = member_open.select("key", F.col("doc").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-        member = member_open.withColumn("least", F.lit(None).cast("long")).drop("comp")
-        if members.join(pivots, "key").where(near & F.expr("ca != cb")).isEmpty():
+        sides = rest.select("key", F.col("doc").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
+        pairs = save(sides.join(pivots, "key").where(near & (F.col("cb").isNull() | (F.col("ca") != F.col("cb")))).select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            found = verified(pairs, sets, percent)
+            links = found if links is None else links.unionByName(found)
+            labels = save(components(links), "components")
+        elif labels is None:
+            labels = docs.sparkSession.createDataFrame([], "node long, comp long")
+        # the pivots are done; of the others only buckets with members of several components go on
+        done = pivots.groupBy("key").agg(F.max("a").alias("last"))
+        left = rest.drop("comp").join(done, "key").where("doc > last").drop("last")
+        left = left.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        open_keys = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
+        rest = save(left.join(open_keys, "key", "left_semi").select("key", "doc", "n_shingles", "comp"), "open-buckets")
+        if rest.isEmpty():
             break
+        top = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+        pivots = save(rest.withColumn("_r", top).where(F.col("_r") <= width).select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")), "pivots")
+        width *= 2
     rep = signed.drop("bands").join(classes, ["d1", "d2"], "left").join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left")
     comp = F.coalesce("comp", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id")
     return rep.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
