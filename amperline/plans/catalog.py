@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from amperline.plans import interval_plans, market_plans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_plans.QUERIES, **market_plans.QUERIES}
+ORACLE: dict[str, str] = {**interval_plans.ORACLE, **market_plans.ORACLE}
