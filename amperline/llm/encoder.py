@@ -6,7 +6,9 @@ text is mostly table look-ups. Where the borders aren't safe the whole text goes
 
 * Byte-level BPE with the usual pattern: a space or line break between two characters that are
   no white space starts or is a token of its own, and nothing reaches across it.
-* Word BPE that drops white space: every ASCII white space is a border.
+* Word BPE that drops white space: every ASCII white space is a border. Such a tokenizer lowers
+  case itself.
+* In both, the place between an ASCII letter and a single mark at a piece's end is a border too.
 """
 
 from __future__ import annotations
@@ -14,15 +16,50 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 1_000_000
 #: White space other than single inner spaces and line breaks: such texts are encoded whole.
-_UNSAFE = re.compile(
-    rb"[ \n][ \n]|^[ \n]|[ \n]\Z|[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-)
+_UNSAFE = re.compile(rb"[\0\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bytes that no unsafe white space starts with.
+_COMMON = bytes(b for b in range(256) if b not in b"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
+_PAIRS = (b"  ", b" \n", b"\n ", b"\n\n")
+
+
+def _safe(text: bytes) -> bool:
+    if text[0] in b" \n" or text[-1] in b" \n" or any(p in text for p in _PAIRS):
+        return False
+    odd = text.translate(None, _COMMON)
+    return not odd or not _UNSAFE.search(text)
+
+
+_MARKS = b".,;:!?|"
+
+
+class _Table(dict):
+    """Ids of pieces as bytes. A new piece that is a known one in capitals or with one mark behind a letter
+    is made from its parts; others go to the library."""
+
+    def __init__(self, owner: Encoder, before: str, marks: _Table | None, lowers: bool):
+        self.owner, self.before, self.lowers = owner, before, lowers
+        self.marks = self if marks is None else marks
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) > TABLE_ENTRIES:
+            self.clear()
+        if self.lowers and (low := piece.lower()) != piece:
+            ids = self[low]
+        elif piece[:1] == b"\n":  # a line's first piece
+            ids = self.owner.line_break + self.marks[piece[1:]]
+        elif len(piece) > 1 and piece[-1] in _MARKS and piece[-2:-1].isalpha():
+            ids = self[piece[:-1]] + self.marks[piece[-1:]]
+        else:
+            ids = self.owner.whole((self.before + piece.decode("utf-8", "replace")))
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -35,39 +72,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self._code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.borders = _borders(spec)
-        self._inner: dict[bytes, bytes] = {}
-        self._first: dict[bytes, bytes] = {}
-        self._break = self.whole(b"\n") if self.borders == "space" else b""
+        self._first = _Table(self, "", None, self.borders == "white")
+        self._inner = _Table(self, " ", self._first, False)
+        self.line_break = self.whole("\n") if self.borders == "space" else b""
 
-    def whole(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+    def whole(self, text: str) -> bytes:
+        return array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def blob(self, text: bytes) -> bytes:
         if self.borders == "white":
-            return self._look_up(self._inner, text.split(), "")
-        if self.borders == "space" and text and not _UNSAFE.search(text):
-            out = []
-            for line in text.split(b"\n"):
-                first, *rest = line.split(b" ")
-                out.append(self._look_up(self._first, (first,), "") + self._look_up(self._inner, rest, " "))
-            return self._break.join(out)
-        return self.whole(text) if text else b""
-
-    def _look_up(self, table: dict[bytes, bytes], pieces, before: str) -> bytes:
-        try:
-            return b"".join([table[p] for p in pieces])
-        except KeyError:
-            if len(table) > TABLE_ENTRIES:
-                table.clear()
-            new = [p for p in set(pieces) if p not in table]
-            encoded = self.tokenizer.encode_batch_fast([before + p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            table.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(new, encoded, strict=True))
-            return b"".join([table[p] for p in pieces])
+            return b"".join(map(self._first.__getitem__, text.split()))
+        if self.borders == "space" and text and _safe(text):
+            pieces = text.replace(b"\n", b" \n").split(b" ")
+            return self._first[pieces[0]] + b"".join(map(self._inner.__getitem__, pieces[1:]))
+        return self.whole(text.decode("utf-8", "replace")) if text else b""
 
 
 def _borders(spec: dict) -> str:
