@@ -288,7 +288,7 @@ def dispatch_cut(spark, d):
 
 
 _ZONES = """z AS (SELECT l_linenumber AS hour, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS zone, CAST(round(l_discount * 100) AS BIGINT) AS price, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS mw FROM lineitem GROUP BY ALL),
-    dm AS (SELECT hour, zone, CAST(floor(sum(mw) * (CASE zone WHEN 1 THEN 4 WHEN 2 THEN 9 ELSE 6 END) / 10.0) AS BIGINT) AS d FROM z GROUP BY ALL),
+    dm AS (SELECT hour, zone, CAST(floor(sum(mw) * (CASE zone WHEN 1 THEN 4 WHEN 2 THEN 9 ELSE 6 END) / 10.0) AS BIGINT) AS d FROM z GROUP BY hour, zone),
     cu AS (SELECT hour, zone, price, mw, CAST(sum(mw) OVER (PARTITION BY hour, zone ORDER BY price) AS BIGINT) AS cum FROM z), st AS (SELECT hour, zone, cum FROM cu UNION SELECT hour, zone, 0 FROM cu),
     fa AS (SELECT hour, cum - d AS f1 FROM st JOIN dm USING (hour, zone) WHERE zone = 1 UNION SELECT hour, f FROM (SELECT DISTINCT hour FROM z), (VALUES (0), (2500), (-2500)) v(f)),
     fb AS (SELECT hour, d - cum AS f2 FROM st JOIN dm USING (hour, zone) WHERE zone = 3 UNION SELECT hour, f FROM (SELECT DISTINCT hour FROM z), (VALUES (0), (4500), (-4500)) v(f)),
