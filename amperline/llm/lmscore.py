@@ -1,26 +1,28 @@
-"""Cross-entropy difference of two matched n-gram models.
+"""Cross-entropy difference of two matched n-gram models, both counted over the whole corpus.
 
-Both models are interpolated bigram models over one vocabulary: a word is the bucket of its hash
-among VOCABULARY, a word pair a bucket among PAIRS, so models have one fixed size on any corpus
-and can be sent to every task, while every word of every document is counted. The background
-model counts all documents, the target model those of the target table (labelled good and not
-toxic, say). With c counts, N all words and V the vocabulary:
+Both are interpolated bigram models over one vocabulary, all words of all documents. The
+background model counts every document, the target model those that the target table names
+(labelled good and not toxic, say). With c counts, N all words and V the vocabulary and one
+place for what it lacks:
 
     p1(w) = (c(w) + 1) / (N + V)        p(w | u) = (c(u, w) + MASS * p1(w)) / (c(u) + MASS)
 
 A document's score is the mean over its words of log p_target - log p_background: above 0 it
 reads more like the target.
 
+The models grow with the corpus, so no task and no driver holds one. Blocks of documents send
+their distinct words, contexts and pairs with counts to buckets; a bucket adds them up and answers
+each block with the totals of that block's own entries; blocks then score their documents. A
+word that every document has arrives once per block.
+
 Defined cases: null, empty or blank text has no words and null losses and score; a document
-named more than once in the target table counts once; without target documents both models
-are flat or equal in form and scores follow; repeated rows are counted each; an empty table
-gives no rows; other columns are not read.
+named more than once in the target table counts once; without target documents the target
+model is flat; repeated rows are counted each; an empty table gives no rows; other columns are
+not read. Words and pairs are told apart by 64-bit hashes, in a bucket by 48 bits of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,84 +30,160 @@ from pyspark.sql import functions as F
 
 from amperline.llm.kernel import Text, chunks, mix, u64
 from amperline.llm.quality import plain_word_hashes
-
-VOCABULARY, PAIRS, MASS = 1 << 17, 1 << 20, 5.0
-_OUT = 1 << 16
-
-
-def word_buckets(t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, pair, document) of each word; bucket 0 stands before a document's first word."""
-    h, doc = plain_word_hashes(t)
-    word = (h % u64(VOCABULARY - 1)).astype(np.int64) + 1
-    before = np.zeros(len(word), np.int64)
-    before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
-    pair = (mix(before.astype(u64) * u64(VOCABULARY) + word.astype(u64)) % u64(PAIRS)).astype(np.int64)
-    return word, before, pair, doc
-
-
-def count(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(bucket, n, n_target): words first, then contexts, then pairs; one row per used bucket."""
-    marked = target.select("doc_id").dropna().dropDuplicates(["doc_id"]).withColumn("is_target", F.lit(True))
-    both = docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * VOCABULARY + PAIRS), np.int64)
-        for batch in batches:
-            is_target = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, t in chunks(batch.column(0)):
-                word, before, pair, doc = word_buckets(t)
-                wanted = is_target[lo:hi][doc]
-                for row, keep in ((0, slice(None)), (1, wanted)):
-                    for base, own, size in ((0, word, VOCABULARY), (VOCABULARY, before, VOCABULARY), (2 * VOCABULARY, pair, PAIRS)):
-                        total[row, base : base + size] += np.bincount(own[keep], minlength=size)
-        used = np.flatnonzero(total[0])
-        for at in range(0, len(used), _OUT):
-            some = used[at : at + _OUT]
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[0, some]), pa.array(total[1, some])], names=["bucket", "n", "n_target"])
-
-    return both.mapInArrow(add_up, "bucket int, n long, n_target long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-class Model:
-    """Log probabilities of one count column."""
-
-    def __init__(self, counts: np.ndarray):
-        word, self.context, self.pair = counts[:VOCABULARY], counts[VOCABULARY : 2 * VOCABULARY].astype(np.float32), counts[2 * VOCABULARY :].astype(np.float32)
-        self.single = ((word + 1.0) / (word.sum() + VOCABULARY)).astype(np.float32)
-
-    def log_p(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return np.log((self.pair[pair] + MASS * self.single[word].astype(float)) / (self.context[before] + MASS))
-
-
-def models(counts: DataFrame) -> tuple[Model, Model]:
-    """(background, target). The table has at most 2 * VOCABULARY + PAIRS rows on any corpus."""
-    t = counts.toArrow()
-    bucket, out = t["bucket"].to_numpy(), []
+from amperline.llm.store import discard, save
+
+MASS = 5.0
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+_KEY_BYTES = 6
+_SENT = "bucket int, block int, keys binary, n binary, n_target binary"
+_ANSWERS = "block int, n binary, n_target binary, bucket int, vocabulary long, words long, target_words long"
+_SCORES = "doc_id long, n_words long, loss_target double, loss_background double, score double"
+_SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
+
+
+class Grams:
+    """A chunk's words and pairs as places in `keys`: first its words, then contexts, then pairs."""
+
+    def __init__(self, t: Text):
+        h, self.doc = plain_word_hashes(t)
+        vocabulary, word = np.unique(h, return_inverse=True)
+        size = len(vocabulary)
+        before = np.full(len(word), size)  # a document's first word follows no word
+        follows = self.doc[1:] == self.doc[:-1]
+        before[1:][follows] = word[:-1][follows]
+        code, self.pair = np.unique(before * (size + 1) + word, return_inverse=True)
+        self.pair_context, self.pair_word = code // (size + 1), code % (size + 1)
+        names, even = np.append(vocabulary, u64(0)), u64(2**64 - 2)
+        pair_key = mix(names[self.pair_context] * u64(0xD1342543DE82EF95) + names[self.pair_word] + u64(3))
+        # odd keys are words
+        self.keys = np.concatenate([mix(vocabulary + u64(1)) | u64(1), mix(names + u64(2)) & even, pair_key & even])
+        self.size = size
+        self.places = [word, size + before, 2 * size + 1 + self.pair]
+
+    def counts(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each key, and those in documents that are wanted."""
+        flag = wanted[self.doc]
+        n, of_target = (sum(np.bincount(p[keep], minlength=len(self.keys)) for p in self.places) for keep in (slice(None), flag))
+        return n, of_target
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of 64-bit integers, first bytes first, so that compression finds the zeros."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _block(table: pa.Table) -> tuple[list[tuple[int, int, Grams]], np.ndarray]:
+    """The block's chunks and its distinct keys in order."""
+    parts = [(lo, hi, Grams(t)) for lo, hi, t in chunks(table["text"])]
+    return parts, np.unique(np.concatenate([g.keys for _, _, g in parts]))
+
+
+def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts among sorted keys."""
+    return np.searchsorted(((keys >> u64(32)) * u64(buckets)) >> u64(32), np.arange(buckets + 1, dtype=u64))
+
+
+def _send(buckets: int):
+    def send(key, docs, target):
+        if not docs.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("keys", "n", "n_target")}})
+        wanted = np.isin(docs["doc_id"].to_numpy(), target["doc_id"].to_numpy())
+        parts, keys = _block(docs)
+        n = np.zeros((2, len(keys)), np.int64)
+        for lo, hi, g in parts:
+            at = np.searchsorted(keys, g.keys)
+            for row, own in zip(n, g.counts(wanted[lo:hi]), strict=True):
+                np.add.at(row, at, own)
+        cut = _cut(keys, buckets)
+        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        columns = {"keys": (keys, _KEY_BYTES), "n": (n[0], 4), "n_target": (n[1], 4)}
+        return pa.table(
+            {
+                "bucket": pa.array(some, pa.int32()),
+                "block": pa.array([docs["block"][0].as_py()] * len(some), pa.int32()),
+                **{c: pa.array([_planes(v[cut[b] : cut[b + 1]], width) for b in some], pa.binary()) for c, (v, width) in columns.items()},
+            }
+        )
+
+    return send
+
+
+def _add_up(key, table):
+    """The totals of each block's keys in its order; one more row has the bucket's part of V and N."""
+    flat = np.concatenate([_numbers(x.as_py(), _KEY_BYTES) for x in table["keys"]])
+    end = np.cumsum([len(x.as_py()) // _KEY_BYTES for x in table["keys"]])
+    order = np.argsort(flat, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    size = np.diff(np.append(at, len(flat)))
+    is_word = (flat[order][at] & u64(1)).astype(bool)
+    answers, words = [], []
     for c in ("n", "n_target"):
-        full = np.zeros(2 * VOCABULARY + PAIRS, np.int64)
-        full[bucket] = t[c].to_numpy()
-        out.append(Model(full))
-    return out[0], out[1]
-
-
-def score(docs: DataFrame, background: Model, target: Model) -> DataFrame:
-    """(doc_id, n_words, loss_target, loss_background, score) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast((background, target))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, t in chunks(batch.column(1)):
-                word, before, pair, doc = word_buckets(t)
-                n = np.bincount(doc, minlength=t.n)
-                none = n == 0
-                loss = [-np.bincount(doc, m.log_p(word, before, pair), t.n) / np.maximum(n, 1) for m in shared.value]
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *(pa.array(x, mask=none) for x in (loss[1], loss[0], loss[0] - loss[1]))],
-                    names=["doc_id", "n_words", "loss_target", "loss_background", "score"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+        n = np.concatenate([_numbers(x.as_py(), 4) for x in table[c]]).astype(np.int64)
+        total = np.add.reduceat(n[order], at)
+        words.append(int(total[is_word].sum()))
+        back = np.empty(len(flat), np.int64)
+        back[order] = np.repeat(total, size)
+        answers.append([_planes(x, 8) for x in np.split(back, end[:-1])])
+    n_rows = len(end)
+    return pa.table(
+        {
+            "block": pa.array([*table["block"].to_pylist(), -1], pa.int32()),
+            "n": pa.array([*answers[0], None], pa.binary()),
+            "n_target": pa.array([*answers[1], None], pa.binary()),
+            "bucket": pa.array([*table["bucket"].to_pylist(), -1], pa.int32()),
+            "vocabulary": pa.array([0] * n_rows + [int(is_word.sum())], pa.int64()),
+            "words": pa.array([0] * n_rows + [words[0]], pa.int64()),
+            "target_words": pa.array([0] * n_rows + [words[1]], pa.int64()),
+        }
+    )
+
+
+def log_p(n: np.ndarray, g: Grams, total: int, vocabulary: int) -> np.ndarray:
+    """Log probability of each distinct pair of a chunk; `n`: the model's counts of the chunk's keys."""
+    p1 = (n[: g.size] + 1.0) / (total + vocabulary + 1)
+    context, pair = n[g.size : 2 * g.size + 1], n[2 * g.size + 1 :]
+    return np.log((pair + MASS * p1[g.pair_word]) / (context[g.pair_context] + MASS))
+
+
+def _rate(buckets: int, vocabulary: int, totals: tuple[int, int]):
+    def rate(key, docs, answers):
+        if not docs.num_rows:
+            return _SCORES_ARROW.empty_table()
+        parts, keys = _block(docs)
+        cut = _cut(keys, buckets)
+        n = np.zeros((2, len(keys)), np.int64)
+        for b, *raw in zip(answers["bucket"].to_pylist(), answers["n"], answers["n_target"], strict=True):
+            for row, x in zip(n, raw, strict=True):
+                row[cut[b] : cut[b + 1]] = _numbers(x.as_py(), 8)
+        out = []
+        for lo, hi, g in parts:
+            own = n[:, np.searchsorted(keys, g.keys)]
+            words = np.bincount(g.doc, minlength=hi - lo)
+            background, target = (-np.bincount(g.doc, log_p(own[i], g, totals[i], vocabulary)[g.pair], hi - lo) / np.maximum(words, 1) for i in (0, 1))
+            losses = [pa.array(x, mask=words == 0) for x in (target, background, background - target)]
+            out.append(pa.table([docs["doc_id"].slice(lo, hi - lo), pa.array(words.astype(np.int64)), *losses], schema=_SCORES_ARROW))
+        return pa.concat_tables(out)
+
+    return rate
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    return score(docs, *models(count(docs, target)))
+    """(doc_id, n_words, loss_target, loss_background, score) per row; `target` names documents by doc_id."""
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
+    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(24, -(-size // BUCKET_BYTES))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    keyed, named = docs.select("*", block), target.select("doc_id").dropna().distinct().select("*", block)
+
+    sent = save(keyed.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_send(buckets), _SENT), "gram-counts")
+    answers = save(sent.groupBy("bucket").applyInArrow(_add_up, _ANSWERS), "gram-totals")
+    discard(sent)
+    vocabulary, *totals = (x or 0 for x in answers.agg(*(F.sum(c) for c in ("vocabulary", "words", "target_words"))).first())
+    answers = answers.where("block >= 0").select("block", "bucket", "n", "n_target")
+    return keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rate(buckets, vocabulary, tuple(totals)), _SCORES)
