@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
@@ -147,3 +148,20 @@ def blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     values = np.ascontiguousarray(values)
     offs = (offsets * values.itemsize).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offs), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def pack_bytes(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def unpack_bytes(raw: bytes) -> bytes:
+    return zstandard.decompress(raw)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """64-bit integers, all first bytes first, so that compression finds the zeros."""
+    return pack_bytes(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack_bytes(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel()

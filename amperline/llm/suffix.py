@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amperline.llm.kernel import Text, chunks, mix, powers, u64
+from amperline.llm.kernel import Text, chunks, mix, pack_bytes, pack_numbers, powers, u64, unpack_bytes, unpack_numbers
 from amperline.llm.store import discard, save
 
 LENGTH, GRAM = 50, 24
@@ -111,10 +111,6 @@ def _block_anchors(table: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarra
     return key[at], several
 
 
-def _bytes(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
-
-
 def _send_anchors(buckets: int):
     def send(key, table):
         block = key[0].as_py()
@@ -209,7 +205,7 @@ def _local_and_sent(got: dict, block: int, routes: int) -> list[tuple]:
     least = np.empty(len(doc), doc.dtype)
     least[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
     later = doc > least
-    rows = [(1, 0, block, *_bytes(doc[later].astype(np.int64), start[later].astype(np.int64), (start + n + LENGTH - 1)[later].astype(np.int64)), b"")]
+    rows = [(1, 0, block, *map(pack_numbers, (doc[later], start[later], (start + n + LENGTH - 1)[later])), b"")]
     # the bytes of what is sent, chunk by chunk, in the order of routes
     sent = np.flatnonzero(~later)
     chunk_of = np.repeat(np.arange(len(got["doc"])), [len(x) for x in got["doc"]])
@@ -226,7 +222,7 @@ def _local_and_sent(got: dict, block: int, routes: int) -> list[tuple]:
             buf, first = got["bytes"][c]
             mine = own[chunk_of[own] == c]
             parts.append(buf[_ranges(first[mine - base[c]], n[mine] + LENGTH - 1)])
-        rows.append((0, k, block, *_bytes(doc[own].astype(np.int64), start[own].astype(np.int64), n[own].astype(np.int64), np.concatenate(parts))))
+        rows.append((0, k, block, *map(pack_numbers, (doc[own], start[own], n[own])), pack_bytes(np.concatenate(parts))))
     return rows
 
 
@@ -287,10 +283,10 @@ def _refine(rows: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[np.ndar
 
 def _sort_route(key, table):
     """Byte ranges of the repeats among a route's runs, by block."""
-    doc, start, n = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table[c]]) for c in ("doc", "start", "n"))
-    count = [len(x.as_py()) // 8 for x in table["doc"]]
-    block = np.repeat(table["block"].to_numpy(), count)
-    buf = np.frombuffer(b"".join(x.as_py() for x in table["bytes"]), np.uint8)
+    parts = [[unpack_numbers(x.as_py()) for x in table[c]] for c in ("doc", "start", "n")]
+    block = np.repeat(table["block"].to_numpy(), [len(x) for x in parts[0]])
+    doc, start, n = map(np.concatenate, parts)
+    buf = np.frombuffer(b"".join(unpack_bytes(x.as_py()) for x in table["bytes"]), np.uint8)
     size = n + LENGTH - 1
     begin = np.cumsum(size) - size
     digest = np.empty(len(doc), u64)
@@ -335,7 +331,7 @@ def _sort_route(key, table):
     who, lo_at, hi_at = who[order], lo_at[order], hi_at[order]
     blocks, cut = np.unique(block[who], return_index=True)
     cut = np.append(cut, len(who))
-    rows = [_bytes(doc[who[x:y]], lo_at[x:y].astype(np.int64), hi_at[x:y].astype(np.int64)) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    rows = [[*map(pack_numbers, (doc[who[x:y]], lo_at[x:y], hi_at[x:y]))] for x, y in zip(cut[:-1], cut[1:], strict=True)]
     columns = list(zip(*rows, strict=True)) or [[]] * 3
     return pa.table([pa.array(blocks.astype(np.int32), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "doc", "start", "end"])
 
@@ -346,7 +342,7 @@ def _cut_block(key, left, right):
         return pa.table([pa.array([], f.type) for f in _RESULT_ARROW], schema=_RESULT_ARROW)
     table = _sorted_block(left)
     ids = table["doc_id"].to_numpy()
-    doc, start, end = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in right[c])]) for c in ("doc", "start", "end"))
+    doc, start, end = (np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(x.as_py()) for x in right[c])]) for c in ("doc", "start", "end"))
     order = np.lexsort((end, start, doc))
     doc, start, end = doc[order], start[order], end[order]
     out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_text": []}
