@@ -35,19 +35,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
-    Afterwards the shuffle files of the job can go: the references to it are dropped here so
-    that Spark's cleaner removes them before the next job needs the disk.
+    Afterwards the shuffle files of the job can go: with `tidy` the references to it are dropped
+    here so that Spark's cleaner removes them before the next job needs the disk; steps of a loop
+    over small tables leave that to the next tidy step.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

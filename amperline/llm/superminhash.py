@@ -144,24 +144,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
-    return save(sides.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "links")
+    return save(sides.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "links", tidy=False)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for each node of the links (a, b)."""
-    ends = save(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "ends")
-    labels = save(ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels")
+    ends = save(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "ends", tidy=False)
+    labels = save(ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels", tidy=False)
     while True:
         near = ends.join(labels, ends.v == labels.node).groupBy("u").agg(F.min("comp").alias("m"))
-        lower = save(labels.join(near, labels.node == near.u).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "lower")
+        lower = save(labels.join(near, labels.node == near.u).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "lower", tidy=False)
         jump = lower.select(F.col("node").alias("via"), F.col("comp").alias("far"))
-        new = save(lower.join(jump, lower.comp == jump.via).select("node", F.least("comp", "far").alias("comp"), (F.least("comp", "far") != F.col("old")).alias("moved")), "labels")
+        new = save(lower.join(jump, lower.comp == jump.via).select("node", F.least("comp", "far").alias("comp"), (F.least("comp", "far") != F.col("old")).alias("moved")), "labels", tidy=False)
         discard(labels, lower)
         labels = new.select("node", "comp")
         if new.where("moved").isEmpty():
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: components of the components that the links join."""
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    tops = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    tops = components(save(tops.distinct(), "joined", tidy=False))
+    moved = labels.join(tops.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return save(moved.unionByName(tops.join(labels, "node", "left_anti")), "components", tidy=False)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; kept: the smallest doc_id of its component."""
     docs = docs.select("doc_id", "text")
@@ -180,26 +189,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
     pivots = member.where("doc = least").select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("doc").alias("ca"))
     rest = member.select("key", "doc", "n_shingles", F.lit(None).cast("long").alias("comp"))
-    links, labels, width = None, None, PIVOTS
+    labels, width = docs.sparkSession.createDataFrame([], "node long, comp long"), PIVOTS
     while True:
         sides = rest.select("key", F.col("doc").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-        pairs = save(sides.join(pivots, "key").where(near & (F.col("cb").isNull() | (F.col("ca") != F.col("cb")))).select("a", "b").distinct(), "pairs")
+        pairs = save(sides.join(pivots, "key").where(near & (F.col("cb").isNull() | (F.col("ca") != F.col("cb")))).select("a", "b").distinct(), "pairs", tidy=False)
         if not pairs.isEmpty():
             found = verified(pairs, sets, percent)
-            links = found if links is None else links.unionByName(found)
-            labels = save(components(links), "components")
-        elif labels is None:
-            labels = docs.sparkSession.createDataFrame([], "node long, comp long")
+            if not found.isEmpty():
+                labels = joined(labels, found)
         # the pivots are done; of the others only buckets with members of several components go on
         done = pivots.groupBy("key").agg(F.max("a").alias("last"))
         left = rest.drop("comp").join(done, "key").where("doc > last").drop("last")
         left = left.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         open_keys = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-        rest = save(left.join(open_keys, "key", "left_semi").select("key", "doc", "n_shingles", "comp"), "open-buckets")
+        rest = save(left.join(open_keys, "key", "left_semi").select("key", "doc", "n_shingles", "comp"), "open-buckets", tidy=False)
         if rest.isEmpty():
             break
         top = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
-        pivots = save(rest.withColumn("_r", top).where(F.col("_r") <= width).select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")), "pivots")
+        pivots = save(rest.withColumn("_r", top).where(F.col("_r") <= width).select("key", F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca")), "pivots", tidy=False)
         width *= 2
     rep = signed.drop("bands").join(classes, ["d1", "d2"], "left").join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left")
     comp = F.coalesce("comp", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id")
