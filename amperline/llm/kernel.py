@@ -151,7 +151,7 @@ def blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def pack_bytes(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
 
 
 def unpack_bytes(raw: bytes) -> bytes:
