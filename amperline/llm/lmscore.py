@@ -33,7 +33,7 @@ from amperline.llm.quality import plain_word_hashes
 from amperline.llm.store import discard, save
 
 MASS = 5.0
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 32 << 20
 _KEY_BYTES = 6
 _SENT = "bucket int, block int, keys binary, n binary, n_target binary"
 _ANSWERS = "block int, n binary, n_target binary, bucket int, vocabulary long, words long, target_words long"
