@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.dedup_substrings(_table(spark, sf_dir, "documents"))
+    out = substring.dedup_substrings(_table(spark, sf_dir, "documents"), lone=True)
     return out.withColumn("kept_sha256", F.sha2("kept_text", 256))
 
 

@@ -5,8 +5,10 @@
 2. Digests are grouped globally with a partial aggregate; the earliest occurrence, ranked by
    (doc_id, unit), stays.
 3. In each document, later occurrences that follow each other (units without a digest between
-   two of them go along) form a run; a run of at least `min_run_words` words is removed. The
-   original byte offsets of what is removed stay with the document.
+   two of them go along) form a run; a run of at least `min_run_words` words is removed. With
+   `lone`, of a shorter run each later occurrence is removed by itself, without what lies between,
+   so that only the first of each group stays. The original byte offsets of what is removed stay
+   with the document.
 
 Defined cases: null text is empty; units that repeat inside a document count like those between
 documents; of rows with the same doc_id and text the repeats are not told apart, so both keep the
@@ -82,8 +84,8 @@ def repeated_units(docs: DataFrame, min_unit_words: int = 3) -> DataFrame:
     return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(item)).alias("repeats"))
 
 
-def removal_runs(repeats: list[dict], min_run_words: int) -> list[tuple[int, int]]:
-    """[start, end) of runs of neighbouring repeats (unit numbers that follow each other) with enough words."""
+def removal_runs(repeats: list[dict], min_run_words: int, lone: bool = False) -> list[tuple[int, int]]:
+    """[start, end) of runs of neighbouring repeats (unit numbers that follow each other) with enough words; with `lone` also of each repeat of the others."""
     runs, at = [], 0
     while at < len(repeats):
         k, words = at, repeats[at]["n_words"]
@@ -92,11 +94,17 @@ def removal_runs(repeats: list[dict], min_run_words: int) -> list[tuple[int, int
             words += repeats[k]["n_words"]
         if words >= min_run_words:
             runs.append((repeats[at]["start"], repeats[k]["end"]))
+        elif lone:
+            for x in repeats[at : k + 1]:
+                if runs and runs[-1][1] == x["start"]:
+                    runs[-1] = (runs[-1][0], x["end"])
+                else:
+                    runs.append((x["start"], x["end"]))
         at = k + 1
     return runs
 
 
-def dedup_substrings(docs: DataFrame, min_unit_words: int = 3, min_run_words: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_unit_words: int = 3, min_run_words: int = 20, lone: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept_text) per row; spans: removed byte ranges of the original text."""
     docs = docs.select("doc_id", "text")
     repeats = save(repeated_units(docs, min_unit_words), "repeats")
@@ -106,7 +114,7 @@ def dedup_substrings(docs: DataFrame, min_unit_words: int = 3, min_run_words: in
             out = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_text": []}
             for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 raw, found = text.as_py() or b"", found.as_py() or []
-                runs = removal_runs(_joined(found, raw, min_unit_words), min_run_words)
+                runs = removal_runs(_joined(found, raw, min_unit_words), min_run_words, lone)
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])
