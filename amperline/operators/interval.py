@@ -59,7 +59,7 @@ def equipment_collapse(league: DataFrame, key: str, days: str, intervals: str, v
 def reliability_daily(rows: DataFrame, day: str, grid: str, bid: str, curtailed: str, slack: str) -> DataFrame:
     """Per day and grid: largest bid, curtailed MWh of five-minute rows, least slack, rows short of it; absent pairs are 0."""
     own = rows.groupBy(day, grid).agg(F.max(money(bid)).alias("peak"), F.sum(money(curtailed)).alias("mw"), F.min(money(slack)).alias("least"), F.count_if(F.col(slack) < 0).alias("short"))
-    dense = rows.select(day).distinct().join(F.broadcast(rows.select(grid).distinct().limit(64)), how="cross")  # a grid list is a handful of names
+    dense = rows.select(day).distinct().join(rows.select(grid).distinct(), how="cross")
     zero = F.lit(0.0)
     return dense.join(own, [day, grid], "left").select(
         day, grid, F.coalesce(F.col("peak").cast("double"), zero).alias("peak"), half_up(F.coalesce(F.col("mw").cast("double"), zero) * 5 / 60).alias("curtailed_mwh"),

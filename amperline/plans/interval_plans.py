@@ -13,9 +13,11 @@ QUERIES, ORACLE = {}, {}
 _HOUR = "CAST(((CAST(floor((hour(ts) * 60 + minute(ts) - 5) / 60.0) AS INTEGER) % 24) + 24) % 24 AS INTEGER)"
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None = None):
     def keep(f):
-        QUERIES[name], ORACLE[name] = f, sql
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
         return f
 
     return keep
@@ -36,6 +38,12 @@ def day_slots(spark, d):
     return op.day_slots(op.hourly_mean(rows, ["grid"], clock.hour_of_stamp(F.col("ts")), "value"), ["grid"], "mean")
 
 
+@query("q_day_slots_all")
+def day_slots_all(spark, d):
+    """The slots of every day, over all equipment."""
+    return op.day_slots(op.hourly_mean(intervals(spark, d), ["day", "grid"], clock.hour_of_stamp(F.col("ts")), "value"), ["day", "grid"], "mean")
+
+
 _LEAGUE = f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN grid IN ('click','view','error') THEN 'RTD' ELSE 'DAP' END AS src FROM e)
     SELECT equipment, count(DISTINCT day) AS days, count(DISTINCT CASE WHEN src='RTD' THEN day END) AS rtd_days, count(DISTINCT CASE WHEN src='DAP' THEN day END) AS dap_days,
     count(*) FILTER (WHERE src='RTD') AS rtd_intervals, count(*) FILTER (WHERE src='DAP') AS dap_rows, greatest(max(value), 0.0) AS max_overload, greatest(max(value / 4), 0.0) AS max_percent,
@@ -84,10 +92,20 @@ _DAILY = f"""d0 AS (SELECT day, grid, CAST(max(CAST(value AS DECIMAL(18,4))) AS
 
 @query("q_reliability_daily", f"WITH {EVENTS}, {_DAILY} SELECT * FROM daily")
 def reliability_daily(spark, d):
-    rows = intervals(spark, d).where("equipment < 40").withColumns({"curtailed": F.col("value") / 4, "slack": F.col("value") - 20})
+    return _reliability(intervals(spark, d).where("equipment < 40"))
+
+
+def _reliability(e):
+    rows = e.withColumns({"curtailed": F.col("value") / 4, "slack": F.col("value") - 20})
     return op.reliability_daily(rows, "day", "grid", "value", "curtailed", "slack")
 
 
+@query("q_reliability_daily_all")
+def reliability_daily_all(spark, d):
+    """q_reliability_daily over all equipment."""
+    return _reliability(intervals(spark, d))
+
+
 @query(
     "q_reliability_totals",
     f"""WITH {EVENTS}, {_DAILY} SELECT grid, {r(dsum('curtailed_mwh'))} AS curtailed_mwh, CAST(sum(short_rows) AS BIGINT) AS short_rows, {r('median(min_slack)')} AS median_min_slack,
@@ -97,6 +115,12 @@ def reliability_totals(spark, d):
     return op.reliability_totals(reliability_daily(spark, d), "day", "grid")
 
 
+@query("q_reliability_totals_all")
+def reliability_totals_all(spark, d):
+    """q_reliability_totals over all equipment."""
+    return op.reliability_totals(reliability_daily_all(spark, d), "day", "grid")
+
+
 _SPREAD = f"m AS (SELECT day, grid, {mean('value')} AS mean FROM e GROUP BY ALL), spread AS (SELECT day, count(mean) AS grids, CASE WHEN count(mean) >= 2 THEN {r('max(mean) - min(mean)')} END AS spread FROM m GROUP BY day)"
 
 
@@ -163,6 +187,12 @@ def dense_grid_fill(spark, d):
     return op.dense_daily(intervals(spark, d).where("equipment < 10"), "day", ["grid"], "value")
 
 
+@query("q_dense_grid_fill_all")
+def dense_grid_fill_all(spark, d):
+    """q_dense_grid_fill over all equipment."""
+    return op.dense_daily(intervals(spark, d), "day", ["grid"], "value")
+
+
 @query("q_full_coverage_days", f"WITH {EVENTS} SELECT day, count(DISTINCT {_HOUR}) AS slots FROM e GROUP BY day HAVING count(DISTINCT {_HOUR}) = 24")
 def full_coverage_days(spark, d):
     rows = intervals(spark, d).withColumn("hour", clock.hour_of_stamp(F.col("ts")))
