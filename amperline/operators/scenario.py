@@ -10,10 +10,15 @@ from amperline.operators.stack import CAP, clear, running_stack
 
 
 def each_unit_out(blocks: DataFrame, grid: str, unit: str, cost: str, mw: str, ties: list[str], demand: int) -> DataFrame:
-    """Each unit lost in turn: what is left, what is missing, the price. One scenario per unit, not per block."""
-    lost = blocks.select(F.col(grid), F.col(unit).alias("lost")).distinct()
-    left = lost.join(blocks, grid).where(F.col("lost") != F.col(unit))
-    out = clear(running_stack(left, [grid, "lost"], cost, mw, ties), [grid, "lost"], cost, mw, F.lit(demand).cast("long"), ties)
+    """Each unit lost in turn: what is left, what is missing, the price. One scenario per unit, not per block.
+
+    A unit's blocks of one cost are summed first (no MW is below 0, so the price stays), and
+    units are joined with these sums; `ties` would only order blocks of equal cost.
+    """
+    levels = blocks.groupBy(grid, unit, cost).agg(F.sum(mw).alias(mw))
+    lost = levels.select(F.col(grid), F.col(unit).alias("lost")).distinct()
+    left = lost.join(levels, grid).where(F.col("lost") != F.col(unit))
+    out = clear(running_stack(left, [grid, "lost"], cost, mw, [unit]), [grid, "lost"], cost, mw, F.lit(demand).cast("long"), [unit])
     return out.select(grid, "lost", "available", "shortfall", F.col("price").cast("double").alias("price"))
 
 
@@ -43,10 +48,10 @@ def tornado(blocks: DataFrame, grid: str, fuel: str, cost: str, mw: str, ties: l
 
 def forced_outages(units: DataFrame, unit: str, mw: str, percent_out: str, draws: int, seed: int, load_share: float) -> DataFrame:
     """Monte Carlo of units on or off by a portable integer generator: draws, draws short of load, MW short, worst draw."""
-    spark = units.sparkSession
     m = 2147483648
     step = lambda x: (x * 1103515245 + 12345) % m
-    rows = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(units), how="cross")  # a fleet of units
+    # units stay where they are and each makes its draws; a task sums over its units before anything is shuffled
+    rows = units.repartition(F.col(unit)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     u = step(step(F.col("draw") * 7919 + F.col(unit) * 104729 + seed))
     up = rows.groupBy("draw").agg(F.sum(F.when(F.floor(u / 65536) % 100 >= F.col(percent_out), F.col(mw)).otherwise(0)).alias("up"))
     load = units.agg(F.floor(F.sum(mw) * load_share).cast("long").alias("load"))

@@ -149,4 +149,6 @@ def compact_book(book: DataFrame, keys: list[str], price: str, mw: str, most: in
         return out[[*keys, price, mw]]
 
     kinds = dict(book.dtypes)
-    return book.select(*keys, F.col(price).cast("double"), F.col(mw).cast("double")).groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {price} double, {mw} double")
+    # one row a price: a fold holds a book's price levels, not its blocks
+    levels = book.select(*keys, F.col(price).cast("double"), F.col(mw).cast("double")).groupBy(*keys, price).agg(F.sum(mw).alias(mw))
+    return levels.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {price} double, {mw} double")

@@ -23,12 +23,13 @@ def query(name: str, sql: str | None = None):
 
 
 def _hours(spark, d):
-    """Every hour of the month for each grid with the sum of its values."""
+    """Every hour from the first to the last of the table for each grid with the sum of its values."""
     e = intervals(spark, d)
     own = e.groupBy("grid", F.unix_seconds(F.col("hour_ts").cast("timestamp")).alias("epoch")).agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("value"))
     grids = e.select("grid").distinct()
-    slots = spark.range(1704067200, 1704067200 + 30 * 86400, 3600).withColumnRenamed("id", "epoch")
-    return grids.join(F.broadcast(slots), how="cross").join(own, ["grid", "epoch"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))  # 720 slots
+    span = own.agg(F.min("epoch").alias("lo"), F.max("epoch").alias("hi")).where("lo IS NOT NULL")
+    slots = grids.join(F.broadcast(span), how="cross").select("grid", F.explode(F.sequence("lo", "hi", F.lit(3600).cast("long"))).alias("epoch"))  # one row of limits
+    return slots.join(own, ["grid", "epoch"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 _HOURS = f"""{EVENTS}, own AS (SELECT grid, CAST(epoch(hour_ts) AS BIGINT) AS epoch, {dsum('value')} AS value FROM e GROUP BY ALL),
@@ -113,6 +114,12 @@ def affine_fit(spark, d):
     return win.correlation(table(spark, d, "lineitem").where("l_linenumber <= 2"), ["l_returnflag"], F.col("l_quantity"), F.col("l_extendedprice") / 100)
 
 
+@query("q_affine_fit_all")
+def affine_fit_all(spark, d):
+    """q_affine_fit over all lines."""
+    return win.correlation(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity"), F.col("l_extendedprice") / 100)
+
+
 @query(
     "q_spearman",
     f"""WITH k AS (SELECT s_nationkey % 5 AS g, rank() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_nationkey % 5, s_acctbal) - 1) / 2.0 AS rx,
@@ -316,8 +323,17 @@ def coupled_clear(spark, d):
     SELECT grid, lost, CAST(sum(mw) AS BIGINT) AS available, CAST(greatest(0, 9000 - sum(mw)) AS BIGINT) AS shortfall, CAST(coalesce(min(cost) FILTER (WHERE cum >= 9000), 32) AS DOUBLE) AS price FROM k GROUP BY ALL""",
 )
 def n1(spark, d):
-    b = _blocks(spark, d).where("grid < 20").withColumn("unit", F.col("l_partkey") % 5)
-    return scenario.each_unit_out(b, "grid", "unit", "cost", "mw", _TIES, 9000)
+    return _n1(_blocks(spark, d).where("grid < 20"))
+
+
+def _n1(blocks):
+    return scenario.each_unit_out(blocks.withColumn("unit", F.col("l_partkey") % 5), "grid", "unit", "cost", "mw", _TIES, 9000)
+
+
+@query("q_n1_all")
+def n1_all(spark, d):
+    """q_n1 over all suppliers' books."""
+    return _n1(_blocks(spark, d))
 
 
 @query(
@@ -329,6 +345,12 @@ def load_sweep(spark, d):
     return scenario.load_sweep(_stacked(spark, d).where("grid < 20"), "grid", "cost", 8000, 0, 3000, 25, 7)
 
 
+@query("q_load_sweep_all")
+def load_sweep_all(spark, d):
+    """q_load_sweep over all suppliers' books."""
+    return scenario.load_sweep(_stacked(spark, d), "grid", "cost", 8000, 0, 3000, 25, 7)
+
+
 @query(
     "q_tornado",
     f"""WITH {_STACK}, v(lever, add, fuel, scale) AS (VALUES ('base', 0, '', 1), ('load +5%', 400, '', 1), ('load -5%', -400, '', 1), ('A costs double', 0, 'A', 2), ('N costs double', 0, 'N', 2)),
@@ -337,8 +359,18 @@ def load_sweep(spark, d):
     SELECT a.lever, CAST(sum(a.price - b.price) AS BIGINT) AS delta FROM p a JOIN p b ON a.grid = b.grid AND b.lever = 'base' WHERE a.lever <> 'base' GROUP BY a.lever""",
 )
 def tornado(spark, d):
+    return _tornado(spark, _blocks(spark, d).where("grid < 20"))
+
+
+@query("q_tornado_all")
+def tornado_all(spark, d):
+    """q_tornado over all suppliers' books."""
+    return _tornado(spark, _blocks(spark, d))
+
+
+def _tornado(spark, blocks):
     levers = spark.createDataFrame([("base", 0, "", 1), ("load +5%", 400, "", 1), ("load -5%", -400, "", 1), ("A costs double", 0, "A", 2), ("N costs double", 0, "N", 2)], "lever string, add int, lever_fuel string, scale int")
-    return scenario.tornado(_blocks(spark, d).where("grid < 20"), "grid", "fuel", "cost", "mw", _TIES, 8000, levers)
+    return scenario.tornado(blocks, "grid", "fuel", "cost", "mw", _TIES, 8000, levers)
 
 
 @query(
@@ -349,7 +381,17 @@ def tornado(spark, d):
     SELECT count(*) AS draws, count(*) FILTER (WHERE short > 0) AS short_draws, CAST(sum(short) AS BIGINT) AS short_mw, CAST(max(short) AS BIGINT) AS worst FROM s""",
 )
 def monte_carlo(spark, d):
-    units = table(spark, d, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("unit"), F.floor(F.abs("s_acctbal")).cast("long").alias("mw"), (5 + F.col("s_suppkey") % 10).alias("pct"))
+    return _monte_carlo(table(spark, d, "supplier").where("s_suppkey < 60"))
+
+
+@query("q_monte_carlo_all")
+def monte_carlo_all(spark, d):
+    """q_monte_carlo over all suppliers."""
+    return _monte_carlo(table(spark, d, "supplier"))
+
+
+def _monte_carlo(suppliers):
+    units = suppliers.select(F.col("s_suppkey").alias("unit"), F.floor(F.abs("s_acctbal")).cast("long").alias("mw"), (5 + F.col("s_suppkey") % 10).alias("pct"))
     return scenario.forced_outages(units, "unit", "mw", "pct", 2000, 42, 0.9)
 
 
@@ -455,9 +497,15 @@ def complete_sets(spark, d):
     return joins.complete_sets(table(spark, d, "lineitem").where("l_linenumber = 1"), ["l_suppkey"], "l_discount", 11)
 
 
+@query("q_complete_sets_all")
+def complete_sets_all(spark, d):
+    """q_complete_sets over all lines."""
+    return joins.complete_sets(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount", 11)
+
+
 @query("q_compact_book")
 def compact_book(spark, d):
-    return stack.compact_book(_blocks(spark, d).where("grid < 5"), ["grid"], "cost", "mw", 6)
+    return stack.compact_book(_blocks(spark, d), ["grid"], "cost", "mw", 6)
 
 
 @query("q_dc_flows")
