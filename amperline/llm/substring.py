@@ -3,16 +3,18 @@
 1. Each line is cut after `.`, `!` or `?` before a space. A unit's digest is over its words in
    lower case without ASCII punctuation; units of fewer than `min_unit_words` words get none.
 2. Digests are grouped globally with a partial aggregate; the earliest occurrence, ranked by
-   (doc_id, unit), stays.
-3. In each document, later occurrences that follow each other (units without a digest between
-   two of them go along) form a run; a run of at least `min_run_words` words is removed. With
+   (doc_id, hash of the row's text, unit), stays.
+3. In each document, later occurrences that follow each other (only units without a digest stand
+   between two of them, and go along) form a run; a run of at least `min_run_words` words is removed. With
    `lone`, of a shorter run each later occurrence is removed by itself, without what lies between,
    so that only the first of each group stays. The original byte offsets of what is removed stay
    with the document.
 
 Defined cases: null text is empty; units that repeat inside a document count like those between
-documents; of rows with the same doc_id and text the repeats are not told apart, so both keep the
-first occurrence; an empty table gives no rows; other columns are not read.
+documents; rows that share a doc_id but not their text are ranked by a hash of the text and lose
+only their own repeats; rows with the same doc_id and text are not told apart, so both keep the
+first occurrence; rows without a doc_id rank first and lose nothing; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from amperline.llm.kernel import chunks, mix, powers, u64
 from amperline.llm.quality import plain_word_hashes_at
 from amperline.llm.store import save
 
-_UNITS = "doc_id long, d1 long, d2 long, unit int, start int, end int, n_words int"
+_UNITS = "doc_id long, row long, d1 long, d2 long, unit int, start int, end int, n_words int"
 
 
 def unit_bounds(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,36 +54,39 @@ def unit_bounds(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def unit_digests(docs: DataFrame, min_unit_words: int) -> DataFrame:
+    """Units with a digest; `unit` numbers them within their row, so neighbours have only undigested text between them."""
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _, t in chunks(batch.column(1)):
+            ids, row = batch.column(0), batch.column(1)
+            for lo, _, t in chunks(batch.column(2)):
                 words, at = plain_word_hashes_at(t)
                 start, end, doc = unit_bounds(t)
                 up, down = powers(len(words) + 1)
                 a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+                ok = b - a >= min_unit_words
+                start, end, doc, a, b = (x[ok] for x in (start, end, doc, a, b))
                 d = []
                 for w in (words, mix(words + u64(1))):
                     p = np.zeros(len(words) + 1, u64)
                     np.cumsum(w * up[:-1], out=p[1:])
                     d.append(mix((p[b] - p[a]) * down[a] + (b - a).astype(u64)))
                 unit = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                n = b - a
-                ok = n >= min_unit_words
-                base = t.off[doc]
-                cols = [ids[lo + doc], d[0].view(np.int64), d[1].view(np.int64), unit.astype(np.int32), (start - base).astype(np.int32), (end - base).astype(np.int32), n.astype(np.int32)]
-                yield pa.record_batch([pa.array(c[ok]) for c in cols], names=["doc_id", "d1", "d2", "unit", "start", "end", "n_words"])
+                place = pa.array(lo + doc)
+                own = [d[0].view(np.int64), d[1].view(np.int64), *(x.astype(np.int32) for x in (unit, start - t.off[doc], end - t.off[doc], b - a))]
+                yield pa.record_batch([ids.take(place), row.take(place), *map(pa.array, own)], names=["doc_id", "row", "d1", "d2", "unit", "start", "end", "n_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, _UNITS)
+    return docs.select("doc_id", "row", "text").mapInArrow(digest, _UNITS)
 
 
 def repeated_units(docs: DataFrame, min_unit_words: int = 3) -> DataFrame:
-    """(doc_id, repeats): for documents with units seen before, these (unit, start, end, n_words) in order."""
+    """(doc_id, row, repeats): for rows with units seen before, these (unit, start, end, n_words) in order."""
     units = save(unit_digests(docs, min_unit_words), "units")
-    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    later = units.join(first, ["d1", "d2"]).where(F.struct("doc_id", "unit") != F.col("first"))
+    rank = F.struct("doc_id", "row", "unit")
+    first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    later = units.join(first, ["d1", "d2"]).where(rank != F.col("first"))
     item = F.struct("unit", "start", "end", "n_words")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(item)).alias("repeats"))
+    return later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(item)).alias("repeats"))
 
 
 def removal_runs(repeats: list[dict], min_run_words: int, lone: bool = False) -> list[tuple[int, int]]:
@@ -106,7 +111,7 @@ def removal_runs(repeats: list[dict], min_run_words: int, lone: bool = False) ->
 
 def dedup_substrings(docs: DataFrame, min_unit_words: int = 3, min_run_words: int = 20, lone: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept_text) per row; spans: removed byte ranges of the original text."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     repeats = save(repeated_units(docs, min_unit_words), "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,7 @@ def dedup_substrings(docs: DataFrame, min_unit_words: int = 3, min_run_words: in
             out = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_text": []}
             for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 raw, found = text.as_py() or b"", found.as_py() or []
-                runs = removal_runs(_joined(found, raw, min_unit_words), min_run_words, lone)
+                runs = removal_runs(found, min_run_words, lone)
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])
@@ -129,25 +134,4 @@ def dedup_substrings(docs: DataFrame, min_unit_words: int = 3, min_run_words: in
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span), ("kept_text", pa.string())])
-    return docs.join(repeats.hint("merge"), "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_text string")
-
-
-def _joined(found: list[dict], raw: bytes, min_unit_words: int) -> list[dict]:
-    """Renumber so that repeats with only undigested text between them become neighbours."""
-    unit, last, out = 0, None, []
-    for x in found:
-        gap = b"" if last is None else raw[last : x["start"]]
-        near = last is not None and (not gap.strip() or _short_units(gap, min_unit_words))
-        unit += 1 if near else 2
-        out.append(x | {"unit": unit})
-        last = x["end"]
-    return out
-
-
-def _short_units(gap: bytes, min_unit_words: int) -> bool:
-    """Whether every sentence of `gap` has too few words for a digest."""
-    for line in gap.split(b"\n"):
-        for s in line.replace(b"! ", b". ").replace(b"? ", b". ").split(b". "):
-            if len(s.split()) >= min_unit_words:
-                return False
-    return True
+    return docs.join(repeats.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "repeats").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_text string")

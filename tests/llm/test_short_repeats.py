@@ -59,3 +59,24 @@ def test_every_later_occurrence_goes(spark):
         for s, e in want[d]:
             held[s:e] = b"\1" * (e - s)
         assert all(len(plain.plain_words(g)) < 20 for a, b in spans for g in bytes(c if not h else 10 for c, h in zip(raw[a:b], held[a:b])).decode("utf-8", "replace").split("\n"))
+
+
+def test_text_that_occurs_once_stays(spark):
+    """A unit with a digest between two repeats ends their run, whatever marks it holds."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda.", "one two three four five six seven eight nine ten eleven twelve."
+    rows = [(1, f"{a} {b}"), (2, f"{a} one-off-fact. {b}"), (3, f"{a} x y. {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from amperline.llm import substring
+
+    got = sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_text) for r in substring.dedup_substrings(docs).collect())
+    assert got == plain.cut_units(rows)
+    assert got[1][1] == 0 and got[2][1] == len(rows[2][1])
+
+
+def test_rows_with_one_id_and_other_texts(spark):
+    from amperline.llm import substring
+
+    a, b = "alpha beta gamma delta epsilon zeta eta theta.", "one two three four five six seven eight."
+    rows = [(1, a), (5, f"{a} own words here."), (5, f"{b} other words are here and all stay."), (None, b), (None, None)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), lone=True).collect()}
+    assert got == {(1, len(a)): 0, (5, len(rows[1][1])): len(a), (5, len(rows[2][1])): len(b), (None, len(b)): 0, (None, 0): 0}
