@@ -9,25 +9,28 @@ without losing any match, then sorted.
    with one bit per anchor: does another document have it? Most runs end here.
 3. Blocks send the bytes of the remaining runs to the route of their anchor. Of equal runs in one
    block only the smallest document's is sent; the others are repeats already, so a passage that
-   a third of all documents hold arrives once per block. Anchors that very many blocks hold are
-   taken apart into single windows, each with a route of its own, so no route grows with them.
-4. A route sorts the suffixes of its runs to depth 50 by deep-shallow sorting: a multikey sort on
-   8-byte characters to a shallow depth, then a blind trie for what still shares its prefix: a
-   trie over all remaining groups at once that skips characters all members of a group share and
-   branches where they differ. Leaves with more than one suffix are equal windows; those not of
-   the smallest document are repeats.
-5. The repeats' byte ranges meet their documents, which are cut.
+   a third of all documents hold arrives once per block. Anchors that more than HOT_BLOCKS blocks
+   hold are taken apart into single windows, each with a route of its own, so no route grows with
+   them; the result is the same.
+4. A route sorts the suffixes of its runs to depth 50 by deep-shallow sorting: multikey quicksort
+   (several pivots a pass, over all groups at once) on 8-byte characters down to a shallow depth
+   or to small groups, then a blind trie for what still shares its prefix: it stores the byte at
+   which a group's members first differ, skips what they share and branches on that byte. Leaves
+   with more than one suffix are equal windows; those not of the smallest document are repeats.
+5. The repeats' byte ranges meet their rows, which are cut.
 
 Defined cases: null text is empty; documents under 50 bytes lose nothing; rows with the same
-doc_id are one document's (they never take from each other); an empty table gives no rows; other
-columns are not read. 24-byte grams and equal runs are told apart by 64-bit hashes, windows by
-their bytes.
+doc_id are one document's, they never take from each other, and each loses only its own bytes;
+rows without a doc_id take nothing and lose nothing; an empty table gives no rows; other columns
+are not read. Hashes only bring candidates together: equal runs and windows are told by their
+bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +41,13 @@ LENGTH, GRAM = 50, 24
 GRAMS = LENGTH - GRAM + 1
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 HOT_BLOCKS = 64
-SHALLOW = 2  # 8-byte characters
+CHARACTERS = -(-LENGTH // 8)  # of 8 bytes
+SHALLOW, SMALL, PIVOTS = 2, 24, 7
+TRIE_ROWS = 1 << 18
 _PLACE_BITS = 28
 _BITS = "block int, bucket int, bits binary"
-_RUNS = "kind int, route int, block int, doc binary, start binary, n binary, bytes binary"
-_RANGES = "block int, doc binary, start binary, end binary"
+_RUNS = "kind int, route int, block int, doc binary, row binary, start binary, n binary, bytes binary"
+_RANGES = "block int, row binary, start binary, end binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_text binary"
 
 
@@ -81,7 +86,8 @@ class Runs:
 
 
 def _sorted_block(table: pa.Table) -> pa.Table:
-    return table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending")])
+    """The block's rows in an order of their own; rows without a doc_id come last."""
+    return table.select(["doc_id", "h", "text"]).sort_by([("doc_id", "ascending"), ("h", "ascending")])
 
 
 def _split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +174,13 @@ def _send_runs(buckets: int, routes: int):
 
 
 def _shared_runs(table: pa.Table, keys, shared, hot, buckets: int, routes: int) -> dict:
-    """The block's runs whose anchors others have: doc_id, start in the document, windows, bytes, digest, route."""
+    """The block's text and its runs whose anchors others have: doc_id, row, start in the row, windows, place in the text, digest, route."""
     ids = table["doc_id"].to_numpy()
-    got: dict[str, list] = {k: [] for k in ("doc", "start", "n", "digest", "route", "bytes")}
+    got: dict[str, list] = {k: [] for k in ("doc", "row", "start", "n", "at", "digest", "route")}
+    text, base = [], 0
     for lo, _, t in chunks(table["text"]):
+        text.append(t.buf)
+        base += len(t.buf)
         r = Runs(t)
         if not len(r.first):
             continue
@@ -188,41 +197,53 @@ def _shared_runs(table: pa.Table, keys, shared, hot, buckets: int, routes: int)
         digest = t.hashes(first, last + LENGTH)
         route_key = np.where(is_hot, digest, route_key)
         got["doc"].append(ids[lo + doc])
+        got["row"].append(lo + doc)
         got["start"].append(first - t.off[doc])
         got["n"].append(last - first + 1)
+        got["at"].append(base - len(t.buf) + first)
         got["digest"].append(digest)
         got["route"].append((route_key >> u64(20)) % u64(routes))
-        got["bytes"].append((t.buf, first))
-    return got
+    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in got.items()} | {"text": np.concatenate(text) if text else np.zeros(0, np.uint8)}
 
 
-def _local_and_sent(got: dict, block: int, routes: int) -> list[tuple]:
-    if not got["doc"]:
-        return []
-    doc, start, n, digest, route = (np.concatenate(got[k]) for k in ("doc", "start", "n", "digest", "route"))
+def _leads(digest: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run the first run of the smallest document with the same bytes; itself where there is none."""
+    me = np.arange(len(doc))
+    if not len(doc):
+        return me
     order = np.lexsort((doc, digest))
     head = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
-    least = np.empty(len(doc), doc.dtype)
-    least[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
-    later = doc > least
-    rows = [(1, 0, block, *map(pack_numbers, (doc[later], start[later], (start + n + LENGTH - 1)[later])), b"")]
-    # the bytes of what is sent, chunk by chunk, in the order of routes
+    lead = np.empty(len(doc), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(head, me, 0))]
+    other = np.flatnonzero(lead != me)
+    alike = size[other] == size[lead[other]]
+    lead[other[~alike]] = other[~alike]
+    other = other[alike]
+    lo, total = 0, np.cumsum(size[other])
+    while lo < len(other):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 21))))
+        some = other[lo:hi]
+        differ = text[_ranges(at[some], size[some])] != text[_ranges(at[lead[some]], size[some])]
+        odd = some[np.logical_or.reduceat(differ, np.cumsum(size[some]) - size[some])]
+        lead[odd] = odd
+        lo = hi
+    return lead
+
+
+def _local_and_sent(got: dict, block: int, routes: int) -> list[tuple]:
+    doc, row, start, n, at, digest, route, text = (got[k] for k in ("doc", "row", "start", "n", "at", "digest", "route", "text"))
+    if not len(doc):
+        return []
+    size = n + LENGTH - 1
+    later = doc > doc[_leads(digest, doc, text, at, size)]
+    # what is known already goes along to the block's own cut
+    rows = [(1, block % routes, block, b"", *map(pack_numbers, (row[later], start[later], (start + size)[later])), b"")] if later.any() else []
     sent = np.flatnonzero(~later)
-    chunk_of = np.repeat(np.arange(len(got["doc"])), [len(x) for x in got["doc"]])
-    base = np.cumsum([0] + [len(x) for x in got["doc"]])
     sent = sent[np.argsort(route[sent], kind="stable")]
     cut = np.searchsorted(route[sent], np.arange(routes + 1, dtype=u64))
-    for k in range(routes):
+    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
         own = sent[cut[k] : cut[k + 1]]
-        if not len(own):
-            continue
-        own = own[np.argsort(chunk_of[own], kind="stable")]
-        parts = []
-        for c in np.unique(chunk_of[own]):
-            buf, first = got["bytes"][c]
-            mine = own[chunk_of[own] == c]
-            parts.append(buf[_ranges(first[mine - base[c]], n[mine] + LENGTH - 1)])
-        rows.append((0, k, block, *map(pack_numbers, (doc[own], start[own], n[own])), pack_bytes(np.concatenate(parts))))
+        rows.append((0, k, block, *map(pack_numbers, (doc[own], row[own], start[own], n[own])), pack_bytes(text[_ranges(at[own], size[own])])))
     return rows
 
 
@@ -233,59 +254,125 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _run_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 4
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "route", "block", "doc", "start", "n", "bytes"])
-
-
-def equal_windows(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Deep-shallow sort of the windows buf[at:at+LENGTH]: (windows, group starts) of groups of at least two equal ones."""
-    tail = np.concatenate([buf, np.zeros(8, np.uint8)])
-    wide = np.lib.stride_tricks.sliding_window_view(tail, 8)
-
-    def character(k: int, rows: np.ndarray) -> np.ndarray:
-        """The k-th 8-byte character; the last one stops at the window's end."""
-        x = np.ascontiguousarray(wide[at[rows] + 8 * k]).view(">u8").ravel().astype(u64)
-        over = 8 * (k + 1) - LENGTH
-        return x >> u64(8 * over) if over > 0 else x
-
-    # shallow: multikey sort on the first characters
-    rows = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    for k in range(SHALLOW):
-        rows, group = _refine(rows, group, character(k, rows))
-    # deep: a blind trie, level by level over all groups; characters that a whole group shares are skipped
-    for k in range(SHALLOW, -(-LENGTH // 8)):
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+    columns = list(zip(*rows, strict=True)) or [[]] * 8
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "route", "block", "doc", "row", "start", "n", "bytes"])
+
+
+class Windows:
+    """The windows text[at:at+LENGTH] as CHARACTERS big-endian characters of 8 bytes; the last one is zero behind the window."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray):
+        self.wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+        self.at = at
+
+    def character(self, k, rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.wide[self.at[rows] + 8 * k]).view(">u8").ravel().astype(u64)
+
+    def whole(self, rows: np.ndarray) -> np.ndarray:
+        x = np.stack([self.character(k, rows) for k in range(CHARACTERS)], axis=1)
+        x[:, -1] &= u64(2**64 - 2 ** (8 * (8 * CHARACTERS - LENGTH)))
+        return x
+
+
+def _begins(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+
+
+def _without_singles(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among sorted keys of the rows whose key another row has, and the number of their group."""
+    begin = _begins(key)
+    size = np.diff(np.append(begin, len(key)))
+    several = size > 1
+    return np.flatnonzero(np.repeat(several, size)), np.repeat(np.arange(several.sum()), size[several])
+
+
+def multikey_quicksort(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, group) of windows that agree in SHALLOW characters, or stand with few others between pivots.
+
+    Each pass takes PIVOTS pivots of every group and splits it into what lies between them, at the
+    group's present character, and what equals one of them, which moves on to the next character.
+    """
+    rows, group, level = np.arange(len(w.at)), np.zeros(len(w.at), np.int64), np.zeros(1, np.int64)
+    done_rows, done_group, n_done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while len(rows):
+        begin = _begins(group)
+        size = np.diff(np.append(begin, len(rows)))
+        ends = (size <= SMALL) | (level >= SHALLOW)
+        at_end = np.repeat(ends, size)
+        done_rows.append(rows[at_end])
+        done_group.append(n_done + np.repeat(np.arange(ends.sum()), size[ends]))
+        n_done += int(ends.sum())
+        rows, size, level = rows[~at_end], size[~ends], level[~ends]
         if not len(rows):
             break
-        c = character(k, rows)
-        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.append(begin, len(rows)))
-        branches = np.repeat(np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin), size)
-        if branches.any():
-            r, g = _refine(rows[branches], group[branches], c[branches])
-            rows, group = np.concatenate([rows[~branches], r]), np.concatenate([group[~branches], g + (group.max() + 1)])
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    return rows, begin
-
-
-def _refine(rows: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort each group by the character, split it, drop groups of one."""
-    order = np.lexsort((c, group)) if len(group) and group[0] != group[-1] else np.argsort(c, kind="stable")
-    rows, group, c = rows[order], group[order], c[order]
-    head = np.ones(len(rows), bool)
-    head[1:] = (group[1:] != group[:-1]) | (c[1:] != c[:-1])
-    alone = head.copy()
-    alone[:-1] &= head[1:]
-    group = np.cumsum(head)
-    return rows[~alone], group[~alone]
+        group = np.repeat(np.arange(len(size)), size)
+        begin = np.cumsum(size) - size
+        c = w.character(level[group], rows)
+        pivots = c[begin[:, None] + size[:, None] * np.arange(1, 2 * PIVOTS, 2) // (2 * PIVOTS)]
+        pivots.sort(axis=1)
+        below, equal = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        for k in range(PIVOTS):
+            p = pivots[:, k][group]
+            below += p < c
+            equal |= p == c
+        key = group * (2 * PIVOTS + 1) + 2 * below + equal
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        kept, new = _without_singles(order, key)
+        level = (level[group] + equal)[order[kept]][_begins(new)]
+        rows, group = rows[order[kept]], new
+    return np.concatenate(done_rows), np.concatenate(done_group)
+
+
+def blind_trie(w: Windows, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, begin of each leaf): the leaves of at least two equal windows of a blind trie over each group."""
+    steps = u64(1) << (u64(8) * np.arange(1, 8, dtype=u64))
+    leaves, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    begin = _begins(group)
+    end = np.append(begin[1:], len(rows))
+    g = 0
+    while g < len(begin):
+        stop = max(g + 1, int(np.searchsorted(end, begin[g] + TRIE_ROWS, side="right")))
+        own = rows[begin[g] : end[stop - 1]]
+        text, node, who = w.whole(own), group[begin[g] : end[stop - 1]], np.arange(len(own))
+        while len(who):
+            first = _begins(node)
+            size = np.diff(np.append(first, len(who)))
+            differ = text[who] ^ text[np.repeat(who[first], size)]
+            column = (differ != 0).argmax(axis=1)
+            differ = differ[np.arange(len(who)), column]
+            place = np.where(differ == 0, LENGTH, 8 * column + 7 - np.searchsorted(steps, differ, side="right"))
+            branch = np.minimum.reduceat(place, first)  # what all members share up to here is skipped
+            leaf = branch >= LENGTH
+            leaves.append(own[who[np.repeat(leaf, size)]])
+            sizes.append(size[leaf])
+            who, at = who[np.repeat(~leaf, size)], np.repeat(branch[~leaf], size[~leaf])
+            byte = (text[who, at // 8] >> (u64(56) - u64(8) * (at % 8).astype(u64))) & u64(255)
+            key = np.repeat(np.arange((~leaf).sum()), size[~leaf]) * 256 + byte.astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            kept, node = _without_singles(order, key[order])
+            who = who[order[kept]]
+        g = stop
+    size = np.concatenate(sizes)
+    return np.concatenate(leaves), np.cumsum(size) - size
+
+
+def equal_windows(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Deep-shallow sort of the windows text[at:at+LENGTH]: (windows, group starts) of groups of at least two equal ones."""
+    w = Windows(text, at)
+    return blind_trie(w, *multikey_quicksort(w))
 
 
 def _sort_route(key, table):
-    """Byte ranges of the repeats among a route's runs, by block."""
-    parts = [[unpack_numbers(x.as_py()) for x in table[c]] for c in ("doc", "start", "n")]
-    block = np.repeat(table["block"].to_numpy(), [len(x) for x in parts[0]])
-    doc, start, n = map(np.concatenate, parts)
+    """Byte ranges of the repeats among a route's runs, by block; what blocks knew already goes through."""
+    known = table.filter(pc.equal(table["kind"], 1))
+    table = table.filter(pc.equal(table["kind"], 0))
+    known = pa.table([known[c].combine_chunks() for c in ("block", "row", "start", "n")], names=["block", "row", "start", "end"])
+    if not table.num_rows:
+        return known
+    doc, row, start, n = (np.concatenate([unpack_numbers(x.as_py()) for x in table[c]]) for c in ("doc", "row", "start", "n"))
+    block = np.repeat(table["block"].to_numpy(), [len(unpack_numbers(x.as_py())) for x in table["n"]])
     buf = np.frombuffer(b"".join(unpack_bytes(x.as_py()) for x in table["bytes"]), np.uint8)
     size = n + LENGTH - 1
     begin = np.cumsum(size) - size
@@ -297,10 +384,7 @@ def _sort_route(key, table):
         piece = Text(buf[begin[lo] : stop], np.array([0, stop - begin[lo]]))
         digest[lo:hi] = piece.hashes(begin[lo:hi] - begin[lo], begin[lo:hi] + size[lo:hi] - begin[lo])
         lo = hi
-    order = np.lexsort((doc, digest))
-    head = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
-    lead = np.empty(len(doc), np.int64)
-    lead[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
+    lead = _leads(digest, doc, buf, begin, size)
     repeat_run = doc > doc[lead]
     # of equal runs the first of the smallest document is sorted; its windows' answer holds for that document's others
     kept = np.flatnonzero(lead == np.arange(len(doc)))
@@ -331,9 +415,10 @@ def _sort_route(key, table):
     who, lo_at, hi_at = who[order], lo_at[order], hi_at[order]
     blocks, cut = np.unique(block[who], return_index=True)
     cut = np.append(cut, len(who))
-    rows = [[*map(pack_numbers, (doc[who[x:y]], lo_at[x:y], hi_at[x:y]))] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-    columns = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.table([pa.array(blocks.astype(np.int32), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "doc", "start", "end"])
+    ranges = [[*map(pack_numbers, (row[who[x:y]], lo_at[x:y], hi_at[x:y]))] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    columns = list(zip(*ranges, strict=True)) or [[]] * 3
+    found = pa.table([pa.array(blocks.astype(np.int32), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "row", "start", "end"])
+    return pa.concat_tables([known, found])
 
 
 def _cut_block(key, left, right):
@@ -341,16 +426,14 @@ def _cut_block(key, left, right):
     if not left.num_rows:
         return pa.table([pa.array([], f.type) for f in _RESULT_ARROW], schema=_RESULT_ARROW)
     table = _sorted_block(left)
-    ids = table["doc_id"].to_numpy()
-    doc, start, end = (np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(x.as_py()) for x in right[c])]) for c in ("doc", "start", "end"))
-    order = np.lexsort((end, start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+    row, start, end = (np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(x.as_py()) for x in right[c])]) for c in ("row", "start", "end"))
+    order = np.lexsort((end, start, row))
+    row, start, end = row[order], start[order], end[order]
     out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_text": []}
-    lo, hi = np.searchsorted(doc, ids, side="left"), np.searchsorted(doc, ids, side="right")
+    lo, hi = (np.searchsorted(row, np.arange(table.num_rows), side=x) for x in ("left", "right"))
     for text, x, y in zip(table["text"].cast(pa.binary()), lo, hi, strict=True):
         raw = text.as_py() or b""
         spans: list[tuple[int, int]] = []
-        # ranges of a run are its document's own; one that passes the end is of a row with the same doc_id
         for a, z in zip(start[x:y].tolist(), end[x:y].tolist(), strict=True):
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], max(z, spans[-1][1]))
@@ -380,13 +463,12 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(24, -(-total // BUCKET_BYTES))
     routes = max(24, blocks)
-    keyed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    named = keyed.where("doc_id IS NOT NULL")
 
-    anchors = keyed.groupBy("block").applyInArrow(_send_anchors(buckets), "bucket int, block int, keys binary, several binary")
+    anchors = named.groupBy("block").applyInArrow(_send_anchors(buckets), "bucket int, block int, keys binary, several binary")
     bits = save(anchors.groupBy("bucket").applyInArrow(_answer, _BITS), "anchor-bits")
-    runs = save(keyed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_runs(buckets, routes), _RUNS), "runs")
-    local = runs.where("kind = 1").select("block", "doc", "start", F.col("n").alias("end"))
-    found = runs.where("kind = 0").groupBy("route").applyInArrow(_sort_route, _RANGES)
-    ranges = save(local.unionByName(found), "ranges")
-    discard(runs, bits)
+    runs = named.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_runs(buckets, routes), _RUNS)
+    ranges = save(runs.groupBy("route").applyInArrow(_sort_route, _RANGES), "ranges")
+    discard(bits)
     return keyed.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_cut_block, _RESULT)
