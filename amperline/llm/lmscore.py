@@ -13,28 +13,32 @@ reads more like the target.
 The models grow with the corpus, so no task and no driver holds one. Blocks of documents send
 their distinct words, contexts and pairs with counts to buckets; a bucket adds them up and answers
 each block with the totals of that block's own entries; blocks then score their documents. A
-word that every document has arrives once per block.
+word that every document has arrives once per block. Keys travel sorted and as differences, counts
+as compressed bytes. A target document is scored with its own words in both models, as the others
+are in the background model.
 
 Defined cases: null, empty or blank text has no words and null losses and score; a document
 named more than once in the target table counts once; without target documents the target
 model is flat; repeated rows are counted each; an empty table gives no rows; other columns are
-not read. Words and pairs are told apart by 64-bit hashes, in a bucket by 48 bits of them.
+not read; rows without a doc_id are no target. Words and pairs are told apart by the high 48 bits
+of 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amperline.llm.kernel import Text, chunks, mix, u64
+from amperline.llm.kernel import Text, chunks, mix, pack_numbers, u64, unpack_numbers
 from amperline.llm.quality import plain_word_hashes
-from amperline.llm.store import discard, save
+from amperline.llm.store import save
 
 MASS = 5.0
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 32 << 20
-_KEY_BYTES = 6
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+_SPARE = u64(16)  # low bits of a hash that are not kept
 _SENT = "bucket int, block int, keys binary, n binary, n_target binary"
 _ANSWERS = "block int, n binary, n_target binary, bucket int, vocabulary long, words long, target_words long"
 _SCORES = "doc_id long, n_words long, loss_target double, loss_background double, score double"
@@ -53,10 +57,11 @@ class Grams:
         before[1:][follows] = word[:-1][follows]
         code, self.pair = np.unique(before * (size + 1) + word, return_inverse=True)
         self.pair_context, self.pair_word = code // (size + 1), code % (size + 1)
-        names, even = np.append(vocabulary, u64(0)), u64(2**64 - 2)
+        names = np.append(vocabulary, u64(0))
         pair_key = mix(names[self.pair_context] * u64(0xD1342543DE82EF95) + names[self.pair_word] + u64(3))
-        # odd keys are words
-        self.keys = np.concatenate([mix(vocabulary + u64(1)) | u64(1), mix(names + u64(2)) & even, pair_key & even])
+        # the low bit of what is kept: a word, not a context or pair
+        keys = np.concatenate([mix(vocabulary + u64(1)), mix(names + u64(2)), pair_key]) >> _SPARE
+        self.keys = (keys & ~u64(1)) | (np.arange(len(keys)) < size).astype(u64)
         self.size = size
         self.places = [word, size + before, 2 * size + 1 + self.pair]
 
@@ -67,15 +72,13 @@ class Grams:
         return n, of_target
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of 64-bit integers, first bytes first, so that compression finds the zeros."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, first bytes first; the planes of zeros vanish."""
+    return pack_numbers(np.diff(keys, prepend=u64(0)).view(np.int64))
 
 
-def _numbers(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(raw)).view(u64)
 
 
 def _block(table: pa.Table) -> tuple[list[tuple[int, int, Grams]], np.ndarray]:
@@ -86,14 +89,14 @@ def _block(table: pa.Table) -> tuple[list[tuple[int, int, Grams]], np.ndarray]:
 
 def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket starts among sorted keys."""
-    return np.searchsorted(((keys >> u64(32)) * u64(buckets)) >> u64(32), np.arange(buckets + 1, dtype=u64))
+    return np.searchsorted(((keys >> (u64(32) - _SPARE)) * u64(buckets)) >> u64(32), np.arange(buckets + 1, dtype=u64))
 
 
 def _send(buckets: int):
     def send(key, docs, target):
         if not docs.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("keys", "n", "n_target")}})
-        wanted = np.isin(docs["doc_id"].to_numpy(), target["doc_id"].to_numpy())
+        wanted = pc.is_in(docs["doc_id"], target["doc_id"].combine_chunks()).to_numpy()
         parts, keys = _block(docs)
         n = np.zeros((2, len(keys)), np.int64)
         for lo, hi, g in parts:
@@ -102,12 +105,12 @@ def _send(buckets: int):
                 np.add.at(row, at, own)
         cut = _cut(keys, buckets)
         some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        columns = {"keys": (keys, _KEY_BYTES), "n": (n[0], 4), "n_target": (n[1], 4)}
         return pa.table(
             {
                 "bucket": pa.array(some, pa.int32()),
                 "block": pa.array([docs["block"][0].as_py()] * len(some), pa.int32()),
-                **{c: pa.array([_planes(v[cut[b] : cut[b + 1]], width) for b in some], pa.binary()) for c, (v, width) in columns.items()},
+                "keys": pa.array([_pack_keys(keys[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
+                **{c: pa.array([pack_numbers(v[cut[b] : cut[b + 1]]) for b in some], pa.binary()) for c, v in zip(("n", "n_target"), n, strict=True)},
             }
         )
 
@@ -116,20 +119,23 @@ def _send(buckets: int):
 
 def _add_up(key, table):
     """The totals of each block's keys in its order; one more row has the bucket's part of V and N."""
-    flat = np.concatenate([_numbers(x.as_py(), _KEY_BYTES) for x in table["keys"]])
-    end = np.cumsum([len(x.as_py()) // _KEY_BYTES for x in table["keys"]])
+    parts = [_unpack_keys(x.as_py()) for x in table["keys"]]
+    end = np.cumsum([len(x) for x in parts])
+    flat = np.concatenate(parts)
+    del parts
     order = np.argsort(flat, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    flat = flat[order]
+    at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    is_word = (flat[at] & u64(1)).astype(bool)
     size = np.diff(np.append(at, len(flat)))
-    is_word = (flat[order][at] & u64(1)).astype(bool)
+    del flat
     answers, words = [], []
     for c in ("n", "n_target"):
-        n = np.concatenate([_numbers(x.as_py(), 4) for x in table[c]]).astype(np.int64)
+        n = np.concatenate([unpack_numbers(x.as_py()) for x in table[c]])
         total = np.add.reduceat(n[order], at)
         words.append(int(total[is_word].sum()))
-        back = np.empty(len(flat), np.int64)
-        back[order] = np.repeat(total, size)
-        answers.append([_planes(x, 8) for x in np.split(back, end[:-1])])
+        n[order] = np.repeat(total, size)
+        answers.append([pack_numbers(x) for x in np.split(n, end[:-1])])
     n_rows = len(end)
     return pa.table(
         {
@@ -160,7 +166,7 @@ def _rate(buckets: int, vocabulary: int, totals: tuple[int, int]):
         n = np.zeros((2, len(keys)), np.int64)
         for b, *raw in zip(answers["bucket"].to_pylist(), answers["n"], answers["n_target"], strict=True):
             for row, x in zip(n, raw, strict=True):
-                row[cut[b] : cut[b + 1]] = _numbers(x.as_py(), 8)
+                row[cut[b] : cut[b + 1]] = unpack_numbers(x.as_py())
         out = []
         for lo, hi, g in parts:
             own = n[:, np.searchsorted(keys, g.keys)]
@@ -181,9 +187,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     keyed, named = docs.select("*", block), target.select("doc_id").dropna().distinct().select("*", block)
 
-    sent = save(keyed.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_send(buckets), _SENT), "gram-counts")
+    sent = keyed.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_send(buckets), _SENT)
     answers = save(sent.groupBy("bucket").applyInArrow(_add_up, _ANSWERS), "gram-totals")
-    discard(sent)
     vocabulary, *totals = (x or 0 for x in answers.agg(*(F.sum(c) for c in ("vocabulary", "words", "target_words"))).first())
     answers = answers.where("block >= 0").select("block", "bucket", "n", "n_target")
     return keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rate(buckets, vocabulary, tuple(totals)), _SCORES)
