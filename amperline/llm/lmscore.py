@@ -96,7 +96,8 @@ def _send(buckets: int):
     def send(key, docs, target):
         if not docs.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("keys", "n", "n_target")}})
-        wanted = pc.is_in(docs["doc_id"], target["doc_id"].combine_chunks()).to_numpy()
+        named = target["doc_id"].combine_chunks() if target.num_rows else pa.array([], pa.int64())
+        wanted = pc.is_in(docs["doc_id"], named).to_numpy()
         parts, keys = _block(docs)
         n = np.zeros((2, len(keys)), np.int64)
         for lo, hi, g in parts:
