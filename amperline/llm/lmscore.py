@@ -96,7 +96,7 @@ def _send(buckets: int):
     def send(key, docs, target):
         if not docs.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("keys", "n", "n_target")}})
-        named = target["doc_id"].combine_chunks() if target.num_rows else pa.array([], pa.int64())
+        named = target["target_id"].combine_chunks() if target.num_rows else pa.array([], pa.int64())
         wanted = pc.is_in(docs["doc_id"], named).to_numpy()
         parts, keys = _block(docs)
         n = np.zeros((2, len(keys)), np.int64)
@@ -186,7 +186,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
     blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(24, -(-size // BUCKET_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    keyed, named = docs.select("*", block), target.select("doc_id").dropna().distinct().select("*", block)
+    keyed = docs.select("*", block)
+    named = target.select("doc_id").dropna().distinct().select(F.col("doc_id").alias("target_id"), block)
 
     sent = keyed.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_send(buckets), _SENT)
     answers = save(sent.groupBy("bucket").applyInArrow(_add_up, _ANSWERS), "gram-totals")
