@@ -38,7 +38,7 @@ from amperline.llm.quality import plain_word_hashes_at
 
 SAMPLES = 2
 DESIGN_SHARE = 0.5
-_SCHEMA = "doc_id long, item_id long, n_words int, distance int, start long, end long"
+_SCHEMA = "doc_id long, item_id long, n_words int, distance int, start long, end long, row long"
 
 
 def tables_for(recall: float) -> int:
@@ -179,8 +179,8 @@ def _matches(t: Text, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, min_words: int = 5, recall: float = 0.999, block: int = 4096) -> DataFrame:
-    """(doc_id, item_id, n_words, distance, start, end): the best window of each contaminated pair, in bytes of the text."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, item_id, n_words, distance, start, end, row): the best window of each contaminated pair, in bytes of the text; row: hash of the text."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     out = None
     n_blocks = max(1, -(-benchmark.count() // block))
     keyed = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block"))
@@ -190,12 +190,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, min_w
 
         def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids, row = batch.column(0).to_pylist(), batch.column(2)
                 for lo, _, t in chunks(batch.column(1)):
-                    found = [(ids[lo + d], items.ids[i], len(items.words[i]), k, a, z) for d, i, k, a, z in _matches(t, items)]
-                    columns = list(zip(*found, strict=True)) or [[]] * 6
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "n_words", "distance", "start", "end"])
+                    found = [(ids[lo + d], items.ids[i], len(items.words[i]), k, a, z, row[lo + d].as_py()) for d, i, k, a, z in _matches(t, items)]
+                    columns = list(zip(*found, strict=True)) or [[]] * 7
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "n_words", "distance", "start", "end", "row"])
 
         part = docs.mapInArrow(search, _SCHEMA)
         out = part if out is None else out.unionByName(part)

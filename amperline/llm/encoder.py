@@ -2,7 +2,7 @@
 
 Some tokenizers treat the text between certain borders by itself, so the ids of a text are the
 ids of its pieces joined. Then each distinct piece goes through the library once per worker and
-text is mostly table look-ups. Where the borders aren't safe the whole text goes to the library.
+text is mostly table look-ups. Where the borders aren't safe, or where the literal of an added token stands, the whole text goes to the library.
 
 * Byte-level BPE with the usual pattern: a space or line break between two characters that are
   no white space starts or is a token of its own, and nothing reaches across it.
@@ -70,13 +70,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._code = "H" if size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.borders = _borders(spec)
+        added = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
+        #: Texts that hold the literal of an added token go to the library whole.
+        self._added = re.compile(b"|".join(map(re.escape, added)), re.I) if added else None
         self._first = _Table(self, "", None, self.borders == "white")
         self._inner = _Table(self, " ", self._first, False)
         self.line_break = self.whole("\n") if self.borders == "space" else b""
@@ -85,6 +87,8 @@ class Encoder:
         return array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def blob(self, text: bytes) -> bytes:
+        if self._added and self._added.search(text):
+            return self.whole(text.decode("utf-8", "replace"))
         if self.borders == "white":
             return b"".join(map(self._first.__getitem__, text.split()))
         if self.borders == "space" and text and _safe(text):

@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Pieces (documents cut at the capacity) are dealt to leaves by a hash. Each leaf packs by best
+Pieces (documents cut at the capacity) are dealt to at least FAN leaves by a hash. Each leaf packs by best
 fit, longest first. Bins with little room left are final; the underfull ones go up a tree, where
 each node takes the bins of FAN children as items and packs them by best fit again.
 
@@ -119,7 +119,7 @@ def _node_packer(capacity: int, slack: int, keep: int):
 def pack(pieces: DataFrame, capacity: int, slack: int = 16) -> DataFrame:
     """`pieces` with sequence_id and offset; the pieces of a sequence follow each other from 0."""
     n = pieces.count()
-    leaves = max(1, -(-n // LEAF_ITEMS))
+    leaves = max(FAN, -(-n // LEAF_ITEMS))
     keyed = pieces.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(leaves)).cast("long"))
     schema = StructType(keyed.schema.fields.copy()).add("bin", "long").add("offset", "long").add("level", "long")
     packed = save(keyed.groupBy("leaf").applyInArrow(_leaf_packer(capacity), schema), "packed-leaves")
@@ -138,8 +138,6 @@ def pack(pieces: DataFrame, capacity: int, slack: int = 16) -> DataFrame:
         step = rows.where("up").withColumn("node", F.floor(F.col("node") / FAN)).groupBy("node")
         rows = save(step.applyInPandas(_node_packer(capacity, slack, leaves + 1), rows.schema), "packed-nodes")
         done.append(rows if width == 1 else rows.where("NOT up"))
-    if not done:
-        return packed.withColumn("sequence_id", F.col("bin")).drop("leaf", "bin", "level")
     merged = done[0]
     for d in done[1:]:
         merged = merged.unionByName(d)

@@ -1,7 +1,8 @@
 """Quality rules: counted statistics of each document and boosted trees over them.
 
 `statistics` counts every document in one pass of array operations per batch. `fit` learns two
-things from at most `max_labelled` labelled documents (those with the smallest hash of their id):
+things from at most `max_labelled` labelled documents (those with the smallest hash of their id;
+6000 unless told otherwise, and nothing else is bounded):
 a word list whose words mark toxic documents, and trees over the statistics for the label
 "good and not toxic". Symbols, repeated lines, repeated words, capitals and listed words can only
 lower a score. `score` applies both to every document.
@@ -136,8 +137,8 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample's size is the bound
 
 
-def marked_words(sample: DataFrame, most: int = 1024) -> np.ndarray:
-    """Hashes of the words that are far more usual in toxic documents than in others."""
+def marked_words(sample: DataFrame) -> np.ndarray:
+    """Hashes of the words that are far more usual in toxic documents of the sample than in its others: in at least 5 of them, and 10 times the share."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +154,7 @@ def marked_words(sample: DataFrame, most: int = 1024) -> np.ndarray:
         return np.zeros(0, u64)
     counted = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     ratio = (F.col("t") / bad) / ((F.col("n") - F.col("t") + 0.5) / (n - bad))
-    rows = counted.where((F.col("t") >= 5) & (ratio >= 10)).orderBy(F.desc(ratio), "word").limit(most).select("word").collect()
+    rows = counted.where((F.col("t") >= 5) & (ratio >= 10)).select("word").collect()  # words of the bounded sample
     return np.sort(np.array([r[0] for r in rows], np.int64).view(u64))
 
 

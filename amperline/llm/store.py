@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
-    Afterwards the shuffle files of the job can go: with `tidy` the references to it are dropped
-    here so that Spark's cleaner removes them before the next job needs the disk; steps of a loop
-    over small tables leave that to the next tidy step.
+    Afterwards the shuffle files of the job can go. Spark removes them once the driver has collected
+    the job's objects, which may take until long after the next job needs the disk: with `tidy` the
+    driver collects them here. Steps of a loop over small tables leave that to the next tidy step.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     schema = df.schema
     del df
-    if tidy:
+    for _ in range(2 * tidy):  # the first round lets go of the Python side's handles, the second of what they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 

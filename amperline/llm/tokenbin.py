@@ -4,14 +4,15 @@ Documents in ascending doc_id order form one stream of ids (each document follow
 id). The stream is range-partitioned by doc_id; each partition is one shard of two Arrow IPC
 files in a shared folder:
 
-* `ids-<shard>.arrow`: record batches of at most BATCH rows; a row is `ids`, a fixed-size list of
+* `ids-<shard>-<attempt>.arrow`: record batches of at most BATCH rows; a row is `ids`, a fixed-size list of
   `seq_len` unsigned integers, and `mask`, a fixed-size list of booleans that is false on the
   padding of a shard's last row. Sequence i is row i % BATCH of batch i // BATCH; a memory map
   of the file gives it without a copy.
-* `docs-<shard>.arrow`: doc_id, start in the shard, n_tokens.
+* `docs-<shard>-<attempt>.arrow`: doc_id, start in the shard, n_tokens.
 
-A task writes under a name of its own attempt and renames at the end, so a task that runs
-again after a lost executor, or twice at a time, leaves one whole file.
+A task writes under names of its own attempt and tells them in the manifest, of which Spark keeps
+one row per shard. So a task that runs again after a lost executor, or twice at a time, spoils
+nothing and nothing is renamed; files that the manifest lacks are removed at the end.
 
 Defined cases: null text is empty and gives the end id only; rows with the same doc_id follow
 each other by the hash of their text; an empty table gives no files; other columns aren't read.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from amperline.llm.store import fresh_path, save
 
 BATCH = 256
-SHARD_TEXT_BYTES = 16 << 20
-_MANIFEST = "shard int, n_docs long, n_ids long"
+SHARD_TEXT_BYTES, GROUP = 16 << 20, 4096
+_MANIFEST = "shard int, attempt long, n_docs long, n_ids long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -80,7 +81,7 @@ class _ShardWriter:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, seq_len: int = 2048) -> DataFrame:
-    """Write the files into the folder `out`; returns (shard, n_docs, n_ids), one row per shard."""
+    """Write the files into the folder `out`; returns (shard, attempt, n_docs, n_ids), one row per shard."""
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
     ordered = docs.repartitionByRange(max(1, -(-size // SHARD_TEXT_BYTES)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -92,13 +93,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, se
         end = np.array([end_id], enc.dtype)
         store, root = _open(out)
         store.create_dir(root, recursive=True)
-        shard, own = task.partitionId(), f"{root}/.{task.taskAttemptId()}"
+        shard, attempt = task.partitionId(), task.taskAttemptId()
         ids_file, n_docs, index = None, 0, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             if ids_file is None:
-                ids_file = store.open_output_stream(f"{own}.ids")
+                ids_file = store.open_output_stream(f"{root}/{_file("ids", shard, attempt)}")
                 writer = _ShardWriter(ids_file, seq_len, pa.from_numpy_dtype(enc.dtype))
             sizes = np.zeros(batch.num_rows, np.int64)
             first = writer.n
@@ -112,32 +113,53 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, se
             return
         writer.close()
         ids_file.close()
-        with store.open_output_stream(f"{own}.docs") as f, pa.ipc.new_file(f, index[0].schema) as docs_file:
+        with store.open_output_stream(f"{root}/{_file("docs", shard, attempt)}") as f, pa.ipc.new_file(f, index[0].schema) as docs_file:
             for x in index:
                 docs_file.write_batch(x)
-        for kind in ("ids", "docs"):
-            store.move(f"{own}.{kind}", f"{root}/{kind}-{shard:06d}.arrow")
-        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([n_docs]), pa.array([writer.n])], names=["shard", "n_docs", "n_ids"])
+        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([attempt]), pa.array([n_docs]), pa.array([writer.n])], names=["shard", "attempt", "n_docs", "n_ids"])
 
-    return save(ordered.mapInArrow(write, _MANIFEST), "token-shards")
+    manifest = save(ordered.mapInArrow(write, _MANIFEST), "token-shards")
+    _remove_others(manifest, out)
+    return manifest
+
+
+def _file(kind: str, shard: int, attempt: int) -> str:
+    return f"{kind}-{shard:06d}-{attempt}.arrow"
+
+
+def _remove_others(manifest: DataFrame, out: str) -> None:
+    """Delete files of attempts that the manifest doesn't name."""
+    spark = manifest.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return
+    names = {_file(kind, r.shard, r.attempt) for r in manifest.select("shard", "attempt").toLocalIterator() for kind in ("ids", "docs")}
+    for x in store.listStatus(folder):
+        if x.getPath().getName() not in names:
+            store.delete(x.getPath(), False)
 
 
 def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    # one row per file: its first id's place in the whole stream
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("shard", "base")
+    # the first id's place in the whole stream: sums of groups of shards, then within each group
+    keyed = manifest.withColumn("group", F.floor(F.col("shard") / GROUP))
+    order = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    groups = keyed.groupBy("group").agg(F.sum("n_ids").alias("n")).select("group", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    base = F.col("before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    shards = keyed.join(groups, "group").select("shard", "attempt", base.alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(out)
         for batch in batches:
-            for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_file(f"{root}/ids-{shard:06d}.arrow") as f:
+            for shard, attempt, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(f"{root}/{_file("ids", shard, attempt)}") as f:
                     t = pa.ipc.open_file(f).read_all()
                 ids = np.concatenate([c.flatten().to_numpy() for c in t["ids"].chunks])
                 mask = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["mask"].chunks])
                 ids = np.ascontiguousarray(ids[mask], "<u4")
-                with store.open_input_file(f"{root}/docs-{shard:06d}.arrow") as f:
+                with store.open_input_file(f"{root}/{_file("docs", shard, attempt)}") as f:
                     index = pa.ipc.open_file(f).read_all().combine_chunks()
                 start, n = index["start"].to_numpy(), index["n_tokens"].to_numpy()
                 crc = np.array([zlib.crc32(ids[a : a + k]) for a, k in zip(start, n, strict=True)], np.int64)

@@ -77,7 +77,7 @@ def cut_repeats(docs, length=50):
     return sorted(out)
 
 
-def cut_lines(docs, min_chars=40, min_docs=5):
+def cut_lines(docs, min_chars=40, min_docs=5, ordered=True):
     def key(line):
         return lower(line.strip(" \t\n\x0b\x0c\r"))
 
@@ -91,7 +91,12 @@ def cut_lines(docs, min_chars=40, min_docs=5):
         lines = (t or "").split("\n")
         kept = [x for x in lines if common.get(key(x), d) == d]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out)
+    return sorted(out) if ordered else out
+
+
+def cut_lines_of(docs, row):
+    """The kept text of one row."""
+    return next(k for d, t, k in ((d, t, k) for (d, t), (_, _, _, k) in zip(docs, cut_lines(docs, ordered=False), strict=True)) if (d, t) == row)
 
 
 def cut_units(docs, min_unit=3, min_run=20):

@@ -274,7 +274,7 @@ def test_token_files_random_access(spark, small, tmp_path):
     stream = [i for _, t in sorted(pairs(small)) for i in (*tok.encode(t or "", add_special_tokens=False).ids, 2)]
     assert len(shards) == 1 and shards[0].n_ids == len(stream)
     for i in (0, 7, len(stream) // 128):
-        ids, mask = tokenbin.sequence(f"{tmp_path}/files/ids-000000.arrow", i)
+        ids, mask = tokenbin.sequence(f"{tmp_path}/files/ids-000000-{shards[0].attempt}.arrow", i)
         assert ids[mask].tolist() == stream[i * 128 : (i + 1) * 128]
 
 
@@ -319,3 +319,22 @@ def plain_scores(docs, target):
             losses.append(loss / max(1, len(own)))
         out[d] = (len(own), *losses, losses[1] - losses[0])
     return out
+
+
+def test_added_tokens_in_texts(spark):
+    """The literal of an added token gets the id that the library gives it."""
+    from amperline.llm.encoder import Encoder
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tok, enc = Tokenizer.from_file(path), Encoder(path)
+        for text in ("one two <|endoftext|> three", "<|ENDOFTEXT|>", "a<|endoftext|>b\nc", "no literal | <| here", "</w> <s> x"):
+            assert np.frombuffer(enc.blob(text.encode()), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_files_of_lost_attempts_go(spark, small, tmp_path):
+    out = f"file://{tmp_path}/files"
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "ids-000000-999999.arrow").write_bytes(b"half a file")
+    tokenbin.write_token_files(small, public_tokenizers.path("byte_bpe_50k.json"), 2, out)
+    assert not (tmp_path / "files" / "ids-000000-999999.arrow").exists() and len([f for f in (tmp_path / "files").iterdir() if f.suffix == ".arrow"]) == 2
