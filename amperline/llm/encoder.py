@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 800_000
 #: White space other than single inner spaces and line breaks: such texts are encoded whole.
 _UNSAFE = re.compile(rb"[\0\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Bytes that no unsafe white space starts with.
