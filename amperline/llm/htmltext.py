@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. A block knows its words, the share of them in
 links, the same of the blocks before and after it, whether an article or main element is around
-it, whether an element for other purposes (menu, footer, form, advert, comments, by tag or by the
-words of class, id and role) is, and whether it is a heading. A decision tree learned from the
+it, whether an element for other purposes (menu, footer, form, advert, comments, by tag or by
+class, id and role) is, and whether it is a heading. A class counts as a whole, and by its parts
+only where these leave no doubt: `comment-list` is no content, `no-sidebar`, `share-price`,
+`related-work` and `article-header` say nothing of that kind. A decision tree learned from the
 small table LABELLED says which blocks are content.
 
 Defined cases: null or empty html, and pages without content, give an empty text; an unclosed
@@ -51,13 +53,21 @@ LABELLED += [(*r[:6], 1, 0, r[8], 1) for r in LABELLED if r[6] == r[7] == 0 and
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template iframe svg math object audio video canvas noframes".split())
+_RAW = frozenset("script style title textarea noscript template iframe noframes".split())
 _ASIDE_TAG = frozenset("nav aside footer form menu dialog button select fieldset search head".split())
-_ASIDE_WORD = frozenset(
+#: Names that mean something else than the article as a whole class, id or role.
+_ASIDE_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies discussion disqus "
     "dropdown footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager paywall popup promo promos promotion "
     "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Of these, the ones that mean it as a part of a longer name too (`comment-list`, `ad_slot`, `cookieBar`).
+_ASIDE_PART = frozenset(
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav "
+    "navbar navigation newsletter pagination paywall popup promo respond sidebar signup sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+)
+#: A name with one of these parts tells of the article or of what a page lacks.
+_ARTICLE_PART = frozenset("article entry post content story main no not without hide has".split())
 _CLOSES_P = _BLOCK - {"html", "body", "head"}
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _IMPLIED_STOP = frozenset("ul ol dl table tbody thead tfoot select menu".split())
@@ -68,12 +78,14 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
 
 def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _ASIDE_TAG or (tag == "header" and not in_article):
+    names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()] if attributes else []
+    parts = [[w.lower() for w in _CAMEL.split(x) if w] for x in names]
+    if tag in _ASIDE_TAG or (tag == "header" and not in_article and not any(w in _ARTICLE_PART for p in parts for w in p)):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
-        if any(w.lower() in _ASIDE_WORD for w in _CAMEL.split(m[1] or m[2] or m[3] or "")):
+    for name, own in zip(names, parts, strict=True):
+        if name.lower() in _ASIDE_NAME or (any(w in _ASIDE_PART for w in own) and ("comment" in own or "comments" in own or not any(w in _ARTICLE_PART for w in own))):
             return True
     return bool(_HIDDEN.search(attributes))
 
