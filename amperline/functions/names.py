@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,10 +34,13 @@ def plain(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("string")
-def folded(names: pd.Series) -> pd.Series:
-    """`plain` after accents are taken off; no built-in function does that."""
-    return names.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFKD", s).lower() if x.isascii() and x.isalnum()))
+#: Latin letters with marks and the letters without: what their decomposition begins with.
+_MARKED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize("NFKD", chr(c))[0].isascii()}
+
+
+def folded(c: Column) -> Column:
+    """`plain` after marks are taken off Latin letters, whether they stand alone or follow their letter."""
+    return plain(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())))
 
 
 def token(resource: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,32 +52,3 @@ def injections(located: DataFrame, unlocated: DataFrame, grid: str, bus: str, mw
     rest = unlocated.groupBy(grid).agg(F.sum(mw).alias("rest"))
     share = F.col("mw") / F.sum("mw").over(Window.partitionBy(grid))
     return own.join(rest, grid, "left").select(grid, bus, (F.col("mw") + F.coalesce("rest", F.lit(0.0)) * share).alias("mw"))
-
-
-def dc_flows(branches: DataFrame, injected: DataFrame, case: str) -> DataFrame:
-    """Flow of each branch for each case, by one linear solve per case; the least bus is the slack.
-
-    Cases are solved in parallel; a case is one network (thousands of buses), which one task holds.
-    """
-
-    def solve(left, right):
-        names = sorted(set(left["u"]) | set(left["v"]))
-        at = {b: i for i, b in enumerate(names)}
-        b = np.zeros((len(names), len(names)))
-        for r in left.itertuples():
-            i, j, y = at[r.u], at[r.v], 1.0 / r.x
-            b[i, i] += y
-            b[j, j] += y
-            b[i, j] -= y
-            b[j, i] -= y
-        p = np.zeros(len(names))
-        for r in right.itertuples():
-            if r.bus in at:
-                p[at[r.bus]] += r.mw
-        angle = np.zeros(len(names))
-        if len(names) > 1:
-            angle[1:] = np.linalg.solve(b[1:, 1:], p[1:])
-        flow = [(angle[at[r.u]] - angle[at[r.v]]) / r.x for r in left.itertuples()]
-        return pd.DataFrame({case: left[case], "u": left["u"], "v": left["v"], "flow": flow})
-
-    return branches.groupBy(case).cogroup(injected.groupBy(case)).applyInPandas(solve, f"{case} long, u long, v long, flow double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,34 +58,6 @@ def forced_outages(units: DataFrame, unit: str, mw: str, percent_out: str, draws
     return short.agg(F.count("*").alias("draws"), F.count_if(F.col("short") > 0).alias("short_draws"), F.sum("short").alias("short_mw"), F.max("short").alias("worst"))
 
 
-def storage_day(hours: DataFrame, keys: list[str], hour: str, price: str, demand: str, power: float, energy: float, efficiency: float) -> DataFrame:
-    """Charge in the cheapest hours, discharge in the dearest, by (price, demand, hour); state of charge from 0, steps cut to 0.1 MW.
-
-    A day is a fold over 24 rows, so days run side by side as groups.
-    """
-    import math
-
-    n_charge = min(24, math.ceil(energy / (power * efficiency)))
-    n_discharge = min(24 - n_charge, math.ceil(energy / power))
-
-    def run(pdf):
-        ranked = pdf.sort_values([price, demand, hour])[hour].tolist()
-        charge, discharge = set(ranked[:n_charge]), set(ranked[len(ranked) - n_discharge :])
-        soc, rows = 0.0, []
-        for h in sorted(ranked):
-            c = math.floor(min(power, (energy - soc) / efficiency) * 10) / 10 if h in charge else 0.0
-            d = math.floor(min(power, soc) * 10) / 10 if h in discharge and h not in charge else 0.0
-            soc = soc + c * efficiency - d
-            rows.append((h, c, d, round(soc, 6)))
-        out = pd.DataFrame(rows, columns=[hour, "charge", "discharge", "soc"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, hour, "charge", "discharge", "soc"]]
-
-    kinds = dict(hours.dtypes)
-    return hours.select(*keys, hour, price, demand).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {hour} {kinds[hour]}, charge double, discharge double, soc double")
-
-
 def shortage_price(price):
     """The price where supply is short."""
     return F.coalesce(price, F.lit(CAP))

@@ -132,23 +132,24 @@ def price_label(unserved: Column, own: Column, price: Column, storage: Column, h
 
 
 def compact_book(book: DataFrame, keys: list[str], price: str, mw: str, most: int) -> DataFrame:
-    """Merge price levels of the smallest gap until `most` are left; a sequential fold over one book at a time."""
-    import pandas as pd
-
-    def fold(pdf):
-        levels = pdf.assign(_p=pdf[price].round(3)).groupby("_p", sort=True)[mw].sum()
-        p, q = list(levels.index), list(levels)
-        while len(p) > most:
-            i = min(range(len(p) - 1), key=lambda k: (p[k + 1] - p[k], k))
-            total = q[i] + q[i + 1]
-            p[i : i + 2], q[i : i + 2] = [round((p[i] * q[i] + p[i + 1] * q[i + 1]) / total, 3) if total else p[i]], [total]
-        out = pd.DataFrame({price: p, mw: [round(x, 1) for x in q]})
-        out = out[out[mw] > 0.05]
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, price, mw]]
-
-    kinds = dict(book.dtypes)
-    # one row a price: a fold holds a book's price levels, not its blocks
-    levels = book.select(*keys, F.col(price).cast("double"), F.col(mw).cast("double")).groupBy(*keys, price).agg(F.sum(mw).alias(mw))
-    return levels.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {price} double, {mw} double")
+    """Each book's price levels, the two closest joined (MW-weighted price) until `most` are left.
+
+    Levels are summed before they meet, so an array holds a book's distinct prices. Fixed values:
+    prices to 3 digits, MW to 1, levels of at most 0.05 MW dropped.
+    """
+    cost = F.round(F.col(price).cast("double"), 3)
+    levels = book.groupBy(*keys, cost.alias("p")).agg(F.sum(F.col(mw).cast("double")).alias("q"))
+    books = levels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("a"))
+
+    def join_closest(a, _):
+        gaps = F.transform(F.slice(a, 2, F.size(a) - 1), lambda x, i: F.struct((x["p"] - F.get(a, i)["p"]).alias("gap"), i.alias("i")))
+        at = F.array_min(gaps)["i"]
+        x, y = F.get(a, at), F.get(a, at + 1)
+        both = x["q"] + y["q"]
+        one = F.struct(F.coalesce(F.round(F.try_divide(x["p"] * x["q"] + y["p"] * y["q"], both), 3), x["p"]).alias("p"), both.alias("q"))
+        return F.concat(F.slice(a, F.lit(1), at), F.array(one), F.slice(a, at + 3, F.size(a)))
+
+    surplus = F.greatest(F.lit(0), F.size("a") - most)
+    steps = F.when(surplus > 0, F.sequence(F.lit(1), surplus)).otherwise(F.array().cast("array<int>"))
+    done = books.select(*keys, F.inline(F.aggregate(steps, F.col("a"), join_closest)))
+    return done.select(*keys, F.col("p").alias(price), F.round("q", 1).alias(mw)).where(F.col(mw) > 0.05)

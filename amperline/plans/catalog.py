@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amperline.plans import interval_plans, market_plans
+from amperline.plans import feed_plans, file_plans, interval_plans, market_plans
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_plans.QUERIES, **market_plans.QUERIES}
-ORACLE: dict[str, str] = {**interval_plans.ORACLE, **market_plans.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_plans.QUERIES, **market_plans.QUERIES, **feed_plans.QUERIES, **file_plans.QUERIES}
+ORACLE: dict[str, str] = {**interval_plans.ORACLE, **market_plans.ORACLE, **feed_plans.ORACLE, **file_plans.ORACLE}

@@ -30,11 +30,11 @@ def interval_hour(spark, d):
 
 @query(
     "q_day_slots",
-    f"""WITH {EVENTS}, h AS (SELECT grid, {_HOUR} AS hour, count(*) AS n, {r(mean('value'))} AS mean FROM e WHERE day <= '2024-01-01' AND equipment < 20 GROUP BY ALL)
+    f"""WITH {EVENTS}, h AS (SELECT grid, {_HOUR} AS hour, count(*) AS n, {r(mean('value'))} AS mean FROM e GROUP BY ALL)
     SELECT g.grid, s.hour, h.mean FROM (SELECT DISTINCT grid FROM h) g CROSS JOIN (SELECT unnest(range(24))::INTEGER AS hour) s LEFT JOIN h USING (grid, hour)""",
 )
 def day_slots(spark, d):
-    rows = intervals(spark, d).where("day <= '2024-01-01' AND equipment < 20")
+    rows = intervals(spark, d)
     return op.day_slots(op.hourly_mean(rows, ["grid"], clock.hour_of_stamp(F.col("ts")), "value"), ["grid"], "mean")
 
 
@@ -85,14 +85,14 @@ def equipment_collapse(spark, d):
 
 
 _DAILY = f"""d0 AS (SELECT day, grid, CAST(max(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS peak, {r(dsum('value / 4') + ' * 5 / 60')} AS curtailed_mwh,
-    CAST(min(CAST(value - 20 AS DECIMAL(18,4))) AS DOUBLE) AS min_slack, count(*) FILTER (WHERE value - 20 < 0) AS short_rows FROM e WHERE equipment < 40 GROUP BY ALL),
+    CAST(min(CAST(value - 20 AS DECIMAL(18,4))) AS DOUBLE) AS min_slack, count(*) FILTER (WHERE value - 20 < 0) AS short_rows FROM e GROUP BY ALL),
     daily AS (SELECT a.day, b.grid, coalesce(peak, 0.0) AS peak, coalesce(curtailed_mwh, 0.0) AS curtailed_mwh, coalesce(min_slack, 0.0) AS min_slack, coalesce(short_rows, 0) AS short_rows
-    FROM (SELECT DISTINCT day FROM e WHERE equipment < 40) a CROSS JOIN (SELECT DISTINCT grid FROM e WHERE equipment < 40) b LEFT JOIN d0 USING (day, grid))"""
+    FROM (SELECT DISTINCT day FROM e) a CROSS JOIN (SELECT DISTINCT grid FROM e) b LEFT JOIN d0 USING (day, grid))"""
 
 
 @query("q_reliability_daily", f"WITH {EVENTS}, {_DAILY} SELECT * FROM daily")
 def reliability_daily(spark, d):
-    return _reliability(intervals(spark, d).where("equipment < 40"))
+    return _reliability(intervals(spark, d))
 
 
 def _reliability(e):
@@ -180,11 +180,11 @@ def fractional_credit(spark, d):
 
 @query(
     "q_dense_grid_fill",
-    f"""WITH {EVENTS}, f AS (SELECT * FROM e WHERE equipment < 10), o AS (SELECT day, grid, {r(mean('value'))} AS mean FROM f GROUP BY ALL)
+    f"""WITH {EVENTS}, f AS (SELECT * FROM e), o AS (SELECT day, grid, {r(mean('value'))} AS mean FROM f GROUP BY ALL)
     SELECT a.day, b.grid, mean FROM (SELECT DISTINCT day FROM f) a CROSS JOIN (SELECT DISTINCT grid FROM f) b LEFT JOIN o USING (day, grid)""",
 )
 def dense_grid_fill(spark, d):
-    return op.dense_daily(intervals(spark, d).where("equipment < 10"), "day", ["grid"], "value")
+    return op.dense_daily(intervals(spark, d), "day", ["grid"], "value")
 
 
 @query("q_dense_grid_fill_all")

@@ -107,11 +107,11 @@ _CORR = f"CASE WHEN n >= 3 AND {_VX} > 0 AND {_VY} > 0 THEN {r(f'(n * sxy - sx *
 
 @query(
     "q_affine_fit",
-    f"""WITH m AS (SELECT l_returnflag, {_moments('l_quantity', 'l_extendedprice / 100')} FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+    f"""WITH m AS (SELECT l_returnflag, {_moments('l_quantity', 'l_extendedprice / 100')} FROM lineitem GROUP BY 1)
     SELECT l_returnflag, n, {_CORR} AS corr, {r(f'(n * sxy - sx * sy) / {_VX}')} AS slope, {r(f'(sy - (n * sxy - sx * sy) / {_VX} * sx) / n')} AS intercept FROM m""",
 )
 def affine_fit(spark, d):
-    return win.correlation(table(spark, d, "lineitem").where("l_linenumber <= 2"), ["l_returnflag"], F.col("l_quantity"), F.col("l_extendedprice") / 100)
+    return win.correlation(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity"), F.col("l_extendedprice") / 100)
 
 
 @query("q_affine_fit_all")
@@ -172,9 +172,13 @@ def within_day_corr(spark, d):
     return win.within_group_correlation(_pairs(spark, d), ["g"], "day", "obs", "mod", 24)
 
 
-@query("q_dedupe_close")
+@query(
+    "q_dedupe_close",
+    f"""WITH RECURSIVE {EVENTS}, t AS (SELECT DISTINCT equipment, grid, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM e), j AS (SELECT a.equipment, a.grid, a.t, min(b.t) AS n FROM t a JOIN t b ON a.equipment = b.equipment AND a.grid = b.grid AND a.t + 21600 < b.t GROUP BY ALL),
+    k AS (SELECT equipment, grid, min(t) AS t FROM t GROUP BY ALL UNION ALL SELECT k.equipment, k.grid, j.n FROM k JOIN j ON k.equipment = j.equipment AND k.grid = j.grid AND k.t = j.t) SELECT equipment, grid, t AS kept_at FROM k""",
+)
 def dedupe_close(spark, d):
-    return win.dedupe_close(intervals(spark, d).where("grid = 'error'"), ["equipment"], "ts", 6 * 3600)
+    return win.dedupe_close(intervals(spark, d), ["equipment", "grid"], "ts", 6 * 3600)
 
 
 @query("q_exposure_curve", f"WITH {EVENTS} SELECT grid, event_id, value, row_number() OVER (PARTITION BY grid ORDER BY value DESC, event_id) AS rank, greatest(0.0, CAST(equipment % 40 AS DOUBLE) - 15.0) AS exposed FROM e")
@@ -318,12 +322,12 @@ def coupled_clear(spark, d):
 
 @query(
     "q_n1",
-    f"""WITH {_STACK}, u AS (SELECT grid, l_partkey % 5 AS unit, mw, cost, l_orderkey, l_linenumber, l_partkey FROM b WHERE grid < 20), o AS (SELECT DISTINCT grid, unit AS lost FROM u),
+    f"""WITH {_STACK}, u AS (SELECT grid, l_partkey % 5 AS unit, mw, cost, l_orderkey, l_linenumber, l_partkey FROM b), o AS (SELECT DISTINCT grid, unit AS lost FROM u),
     k AS (SELECT o.grid, o.lost, u.cost, u.mw, sum(u.mw) OVER (PARTITION BY o.grid, o.lost ORDER BY u.cost, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS cum FROM o JOIN u ON o.grid = u.grid AND o.lost <> u.unit)
     SELECT grid, lost, CAST(sum(mw) AS BIGINT) AS available, CAST(greatest(0, 9000 - sum(mw)) AS BIGINT) AS shortfall, CAST(coalesce(min(cost) FILTER (WHERE cum >= 9000), 32) AS DOUBLE) AS price FROM k GROUP BY ALL""",
 )
 def n1(spark, d):
-    return _n1(_blocks(spark, d).where("grid < 20"))
+    return _n1(_blocks(spark, d))
 
 
 def _n1(blocks):
@@ -338,11 +342,11 @@ def n1_all(spark, d):
 
 @query(
     "q_load_sweep",
-    f"""WITH {_STACK}, p AS (SELECT unnest(range(0, 3001, 25)) AS add), c AS (SELECT grid, add, coalesce(min(cost) FILTER (WHERE cum >= 8000 + add), 32) AS price FROM s CROSS JOIN p WHERE grid < 20 GROUP BY ALL)
+    f"""WITH {_STACK}, p AS (SELECT unnest(range(0, 3001, 25)) AS add), c AS (SELECT grid, add, coalesce(min(cost) FILTER (WHERE cum >= 8000 + add), 32) AS price FROM s CROSS JOIN p GROUP BY ALL)
     SELECT grid, CAST(coalesce(min(add) FILTER (WHERE price > 7), -1) AS INTEGER) AS first_over, CAST(coalesce(min(add) FILTER (WHERE price = 32), -1) AS INTEGER) AS first_short FROM c GROUP BY grid""",
 )
 def load_sweep(spark, d):
-    return scenario.load_sweep(_stacked(spark, d).where("grid < 20"), "grid", "cost", 8000, 0, 3000, 25, 7)
+    return scenario.load_sweep(_stacked(spark, d), "grid", "cost", 8000, 0, 3000, 25, 7)
 
 
 @query("q_load_sweep_all")
@@ -354,12 +358,12 @@ def load_sweep_all(spark, d):
 @query(
     "q_tornado",
     f"""WITH {_STACK}, v(lever, add, fuel, scale) AS (VALUES ('base', 0, '', 1), ('load +5%', 400, '', 1), ('load -5%', -400, '', 1), ('A costs double', 0, 'A', 2), ('N costs double', 0, 'N', 2)),
-    x AS (SELECT lever, add, b.grid, CASE WHEN b.fuel = v.fuel THEN cost * scale ELSE cost END AS c, mw, l_orderkey, l_linenumber, l_partkey FROM b CROSS JOIN v WHERE grid < 20),
+    x AS (SELECT lever, add, b.grid, CASE WHEN b.fuel = v.fuel THEN cost * scale ELSE cost END AS c, mw, l_orderkey, l_linenumber, l_partkey FROM b CROSS JOIN v),
     y AS (SELECT *, sum(mw) OVER (PARTITION BY lever, grid ORDER BY c, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS cum FROM x), p AS (SELECT lever, grid, coalesce(min(c) FILTER (WHERE cum >= 8000 + add), 32) AS price FROM y GROUP BY ALL)
     SELECT a.lever, CAST(sum(a.price - b.price) AS BIGINT) AS delta FROM p a JOIN p b ON a.grid = b.grid AND b.lever = 'base' WHERE a.lever <> 'base' GROUP BY a.lever""",
 )
 def tornado(spark, d):
-    return _tornado(spark, _blocks(spark, d).where("grid < 20"))
+    return _tornado(spark, _blocks(spark, d))
 
 
 @query("q_tornado_all")
@@ -375,13 +379,13 @@ def _tornado(spark, blocks):
 
 @query(
     "q_monte_carlo",
-    """WITH u AS (SELECT s_suppkey AS unit, CAST(floor(abs(s_acctbal)) AS BIGINT) AS mw, 5 + s_suppkey % 10 AS pct FROM supplier WHERE s_suppkey < 60), d AS (SELECT unnest(range(2000)) AS draw),
+    """WITH u AS (SELECT s_suppkey AS unit, CAST(floor(abs(s_acctbal)) AS BIGINT) AS mw, 5 + s_suppkey % 10 AS pct FROM supplier), d AS (SELECT unnest(range(2000)) AS draw),
     h AS (SELECT draw, unit, mw, pct, (((draw * 7919 + unit * 104729 + 42) * 1103515245 + 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 AS x FROM u CROSS JOIN d),
     a AS (SELECT draw, sum(CASE WHEN (x // 65536) % 100 >= pct THEN mw ELSE 0 END) AS up FROM h GROUP BY draw), t AS (SELECT CAST(floor(sum(mw) * 0.9) AS BIGINT) AS load FROM u), s AS (SELECT greatest(0, load - up) AS short FROM a, t)
     SELECT count(*) AS draws, count(*) FILTER (WHERE short > 0) AS short_draws, CAST(sum(short) AS BIGINT) AS short_mw, CAST(max(short) AS BIGINT) AS worst FROM s""",
 )
 def monte_carlo(spark, d):
-    return _monte_carlo(table(spark, d, "supplier").where("s_suppkey < 60"))
+    return _monte_carlo(table(spark, d, "supplier"))
 
 
 @query("q_monte_carlo_all")
@@ -412,12 +416,12 @@ def haversine_nn(spark, d):
     return joins.nearest(place("part", "p_partkey", "point", 37, 91), "point", place("supplier", "s_suppkey", "station", 53, 71), "station", 20.0)
 
 
-_EDGES = "g AS (SELECT CAST(n_nationkey AS BIGINT) AS u, CAST((n_nationkey * 7 + 3) % 25 AS BIGINT) AS v, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS w FROM nation WHERE n_nationkey % 4 <> 1), ed AS (SELECT u, v, w FROM g UNION ALL SELECT v, u, w FROM g)"
+_EDGES = "g AS (SELECT CAST(n_nationkey AS BIGINT) AS u, CAST((n_nationkey * 7 + 3) % 25 AS BIGINT) AS v, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS w FROM nation), ed AS (SELECT u, v, w FROM g UNION ALL SELECT v, u, w FROM g)"
 
 
 def _edges(spark, d):
     n = F.col("n_nationkey").cast("long")
-    return table(spark, d, "nation").where("n_nationkey % 4 <> 1").select(n.alias("u"), ((n * 7 + 3) % 25).alias("v"), (n % 5 + 1).cast("double").alias("w"))
+    return table(spark, d, "nation").select(n.alias("u"), ((n * 7 + 3) % 25).alias("v"), (n % 5 + 1).cast("double").alias("w"))
 
 
 @query("q_components", f"WITH RECURSIVE {_EDGES}, rch AS (SELECT u AS node, u AS other FROM ed UNION SELECT rch.node, ed.v FROM rch JOIN ed ON rch.other = ed.u) SELECT node, min(other) AS component FROM rch GROUP BY node")
@@ -492,9 +496,9 @@ def not_yet_archived(spark, d):
     return joins.not_yet(table(spark, d, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
 
 
-@query("q_complete_sets", "SELECT l_suppkey, count(DISTINCT l_discount) AS parts FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(DISTINCT l_discount) = 11")
+@query("q_complete_sets", "SELECT l_suppkey, count(DISTINCT l_discount) AS parts FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_discount) = 11")
 def complete_sets(spark, d):
-    return joins.complete_sets(table(spark, d, "lineitem").where("l_linenumber = 1"), ["l_suppkey"], "l_discount", 11)
+    return joins.complete_sets(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount", 11)
 
 
 @query("q_complete_sets_all")
@@ -506,10 +510,3 @@ def complete_sets_all(spark, d):
 @query("q_compact_book")
 def compact_book(spark, d):
     return stack.compact_book(_blocks(spark, d), ["grid"], "cost", "mw", 6)
-
-
-@query("q_dc_flows")
-def dc_flows(spark, d):
-    lines = _edges(spark, d).where("u <> v").select("u", "v", F.lit(0.1).alias("x")).withColumn("case", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))))
-    inj = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("bus"), (F.col("s_suppkey") % 3).cast("long").alias("case")).agg(F.sum(F.col("s_acctbal") / 1000).alias("mw"))
-    return graph.dc_flows(lines.join(graph.components(_edges(spark, d).select("u", "v")).withColumnRenamed("node", "u"), "u").where("component = 0").drop("component"), inj, "case")
