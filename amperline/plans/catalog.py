@@ -10,3 +10,5 @@ from amperline.plans import feed_plans, file_plans, interval_plans, market_plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_plans.QUERIES, **market_plans.QUERIES, **feed_plans.QUERIES, **file_plans.QUERIES}
 ORACLE: dict[str, str] = {**interval_plans.ORACLE, **market_plans.ORACLE, **feed_plans.ORACLE, **file_plans.ORACLE}
+#: The `_all` names are of the same whole tables as the names without.
+ORACLE |= {name: ORACLE[name.removesuffix("_all")] for name in QUERIES if name.endswith("_all") and name not in ORACLE}

@@ -38,7 +38,11 @@ def day_slots(spark, d):
     return op.day_slots(op.hourly_mean(rows, ["grid"], clock.hour_of_stamp(F.col("ts")), "value"), ["grid"], "mean")
 
 
-@query("q_day_slots_all")
+@query(
+    "q_day_slots_all",
+    f"""WITH {EVENTS}, h AS (SELECT day, grid, {_HOUR} AS hour, count(*) AS n, {r(mean('value'))} AS mean FROM e GROUP BY ALL)
+    SELECT g.day, g.grid, s.hour, h.mean FROM (SELECT DISTINCT day, grid FROM h) g CROSS JOIN (SELECT unnest(range(24))::INTEGER AS hour) s LEFT JOIN h USING (day, grid, hour)""",
+)
 def day_slots_all(spark, d):
     """The slots of every day, over all equipment."""
     return op.day_slots(op.hourly_mean(intervals(spark, d), ["day", "grid"], clock.hour_of_stamp(F.col("ts")), "value"), ["day", "grid"], "mean")
