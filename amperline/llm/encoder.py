@@ -13,6 +13,7 @@ text is mostly table look-ups. Where the borders aren't safe, or where the liter
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -120,3 +121,10 @@ def _borders(spec: dict) -> str:
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Let go of this worker's tables; for tasks that need memory and no tokenizer, as Spark uses a worker for many jobs."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its tables hold each other

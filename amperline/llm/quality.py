@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from amperline.llm import boosting
+from amperline.llm.encoder import forget
 from amperline.llm.kernel import Text, chunks, mix, ngram_hashes, u64
 
 MIN_WORDS = 10
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     empty_model = not len(model.trees.roots)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, hi, t in chunks(batch.column(text_at)):
                 base, x = statistics(t, model.listed)

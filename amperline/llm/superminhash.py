@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amperline.llm.encoder import forget
 from amperline.llm.kernel import Text, blobs, chunks, mix, ngram_hashes, rows_of_counts, u64
 from amperline.llm.store import discard, save
 
@@ -107,6 +108,7 @@ def signatures(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS, fu
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, hi, t in chunks(batch.column(1)):
                 h, d = shingle_sets(t, n)
