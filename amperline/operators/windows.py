@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amperline.functions.numeric import exact_mean, half_up, index_clipped, index_low, index_near, money, ratio
+from amperline.operators.ranked import at_places, between, interpolated, placed, same, value_places
 
 
 def rolling_trigger(rows: DataFrame, keys: list[str], epoch: str, value: str, seconds: int, full: int, trigger: float) -> DataFrame:
@@ -46,25 +47,24 @@ def largest_rise(hourly: DataFrame, keys: list[str], order: str, value: str) ->
 
 def duration_curve(rows: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """Values from high to low with the percent of time they are reached: 100 i / (n - 1)."""
-    w = Window.partitionBy(*keys)
-    i, n = F.row_number().over(w.orderBy(F.desc(value), tie)) - 1, F.count("*").over(w)
-    return rows.select(*keys, tie, value, half_up(F.try_divide(100.0 * i, (n - 1).cast("double"))).alias("percent"))
+    i, n = F.col("_place"), F.col("_n")
+    ordered = placed(rows.select(*keys, tie, value), keys, [F.desc(value), F.asc(tie)])
+    return ordered.select(*keys, tie, value, half_up(F.try_divide(100.0 * i, (n - 1).cast("double"))).alias("percent"))
 
 
 def hour_band(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Interpolated 10th, 50th and 90th percentiles."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return rows.groupBy(*keys).agg(p.alias("p")).select(*keys, *(half_up(F.col("p")[i]).alias(f"p{q}") for i, q in enumerate((10, 50, 90))))
+    bands = {f"p{q}": q / 100 for q in (10, 50, 90)}
+    a = at_places(rows, keys, value, {k: f for name, q in bands.items() for k, f in between(q, name).items()})
+    return a.select(*keys, *(half_up(interpolated(q, name, F.col("n"))).alias(name) for name, q in bands.items()))
 
 
 def percentile_kinds(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """One percentile by each definition in use: low, clipped and near index, interpolated, upper median, plain median."""
-    s = F.sort_array(F.collect_list(value))
-    a = rows.groupBy(*keys).agg(s.alias("s"), F.count(value).cast("int").alias("n"), F.percentile(value, q).alias("lin"), F.median(value).alias("med"))
-    return a.select(
-        *keys, F.get("s", index_low(F.col("n"), q)).alias("p_low"), F.get("s", index_clipped(F.col("n"), q)).alias("p_clipped"), F.get("s", index_near(F.col("n"), q)).alias("p_near"),
-        half_up(F.col("lin")).alias("p_linear"), F.get("s", F.floor(F.col("n") / 2).cast("int")).alias("median_upper"), half_up(F.col("med")).alias("median"),
-    )
+    kinds = {"p_low": lambda n: index_low(n, q), "p_clipped": lambda n: index_clipped(n, q), "p_near": lambda n: index_near(n, q), "median_upper": lambda n: F.floor(n / 2)}
+    a = at_places(rows, keys, value, {**kinds, **between(q, "lin"), **between(0.5, "med")})
+    n = F.col("n")
+    return a.select(*keys, "p_low", "p_clipped", "p_near", half_up(interpolated(q, "lin", n)).alias("p_linear"), "median_upper", half_up(interpolated(0.5, "med", n)).alias("median"))
 
 
 def _moments(x: Column, y: Column) -> list[Column]:
@@ -84,8 +84,8 @@ def correlation(pairs: DataFrame, keys: list[str], x: Column, y: Column) -> Data
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Ranks from 1; ties get the mean of their ranks."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+    ranks = value_places(rows, keys, value).withColumn(out, F.col("_first") + 1 + (F.col("_c") - 1) / 2)
+    return rows.alias("r").join(ranks.alias("v"), same("r", "v", [*keys, value])).select("r.*", f"v.{out}")
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -100,9 +100,9 @@ def score_pairs(pairs: DataFrame, keys: list[str], observed: str, modeled: str)
     own 90th percentile is not above its median.
     """
     o, m = F.col(observed), F.col(modeled)
-    n = F.col("_n")
-    cuts = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(o)).alias("so"), F.sort_array(F.collect_list(m)).alias("sm"), F.count("*").cast("int").alias("_n"))
-    cuts = cuts.select(*keys, F.get("so", index_low(n, 0.9)).alias("to"), F.get("sm", index_low(n, 0.9)).alias("tm"), F.get("sm", index_low(n, 0.5)).alias("mm"))
+    high, middle = lambda n: index_low(n, 0.9), lambda n: index_low(n, 0.5)
+    of_model = at_places(pairs, keys, modeled, {"tm": high, "mm": middle}).drop("n")
+    cuts = at_places(pairs, keys, observed, {"to": high}).drop("n").join(of_model, keys)
     d = money(m) - money(o)
     both = pairs.join(cuts, keys)
     a = both.groupBy(*keys).agg(
@@ -137,5 +137,5 @@ def dedupe_close(events: DataFrame, keys: list[str], ts: str, seconds: int) -> D
 
 def exposure_curve(rows: DataFrame, keys: list[str], spot: str, generated: str, contracted: str, tie: str) -> DataFrame:
     """Uncovered generation by falling spot price."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(spot), tie)
-    return rows.select(*keys, tie, spot, F.row_number().over(w).cast("long").alias("rank"), F.greatest(F.lit(0.0), F.col(generated) - F.col(contracted)).alias("exposed"))
+    ordered = placed(rows.select(*keys, tie, spot, generated, contracted), keys, [F.desc(spot), F.asc(tie)])
+    return ordered.select(*keys, tie, spot, (F.col("_place") + 1).alias("rank"), F.greatest(F.lit(0.0), F.col(generated) - F.col(contracted)).alias("exposed"))
