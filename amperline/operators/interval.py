@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amperline.functions.numeric import exact_mean, half_up, money, ratio
+from amperline.operators.ranked import at_places, between, interpolated
 
 
 def hourly_mean(rows: DataFrame, keys: list[str], hour: Column, value: str) -> DataFrame:
@@ -95,8 +96,10 @@ def equal_width_bins(rows: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     span = rows.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).where((F.col("n") >= bins) & (F.col("hi") > F.col("lo")))
     width = (F.col("hi") - F.col("lo")) / bins
     k = F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("lo")) / width)).cast("int")
-    one = rows.join(F.broadcast(span), how="cross")  # one row of limits
-    return one.groupBy(k.alias("bin")).agg(F.count("*").alias("n"), half_up(exact_mean(money(y))).alias("mean"), half_up(F.median(y)).alias("median"))
+    one = rows.join(F.broadcast(span.select("lo", "hi")), how="cross").select(k.alias("bin"), F.col(y))  # one row of limits
+    means = one.groupBy("bin").agg(F.count("*").alias("n"), half_up(exact_mean(money(y))).alias("mean"))
+    middles = at_places(one, ["bin"], y, between(0.5, "med")).select(F.col("bin").alias("_bin"), half_up(interpolated(0.5, "med", F.col("n"))).alias("median"))
+    return means.join(middles, F.col("bin").eqNullSafe(F.col("_bin"))).drop("_bin")
 
 
 def widest_swing(rows: DataFrame, keys: list[str], day: str, value: str, at_least: int) -> DataFrame:

@@ -86,6 +86,16 @@ def stream_hourly(spark, d):
     return _ntz(flows.hourly_means(_stream(spark, d), ["grid"], "hour_ts", "value", _fresh(spark, "hourly"), _fresh(spark, "hourly-state")), "hour_ts")
 
 
+@query(
+    "q_stream_rolling",
+    f"""WITH {EVENTS}, s AS (SELECT grid, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS slot, sum(CAST(value AS DECIMAL(18,4))) AS v, count(*) AS n, count(value) AS k FROM e GROUP BY ALL),
+    w AS (SELECT grid, slot, sum(v) OVER x AS v, sum(n) OVER x AS n, sum(k) OVER x AS k, count(*) OVER x AS slots FROM s WINDOW x AS (PARTITION BY grid ORDER BY slot RANGE BETWEEN 11 PRECEDING AND CURRENT ROW))
+    SELECT grid, TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST((slot + 1) * 6 AS INTEGER)) AS until, CAST(n AS BIGINT) AS n, {r('CAST(v AS DOUBLE) / CAST(k AS DOUBLE)')} AS mean FROM w WHERE slots = 12""",
+)
+def stream_rolling(spark, d):
+    return _ntz(flows.rolling_full(_stream(spark, d), ["grid"], "ts", "value", 72, 6, _fresh(spark, "rolling"), _fresh(spark, "rolling-state")), "until")
+
+
 @query("q_stream_revisions", f"WITH {EVENTS} SELECT equipment, ts, event_id, value FROM e QUALIFY row_number() OVER (PARTITION BY equipment ORDER BY ts DESC, event_id DESC) = 1")
 def stream_revisions(spark, d):
     rows = _stream(spark, d).select("equipment", "ts", "event_id", "value")

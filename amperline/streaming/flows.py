@@ -25,6 +25,15 @@ def hourly_means(rows: DataFrame, keys: list[str], hour: str, value: str, folder
     return rows.sparkSession.read.parquet(folder)
 
 
+def rolling_full(rows: DataFrame, keys: list[str], stamp: str, value: str, span: int, step: int, folder: str, checkpoint: str) -> DataFrame:
+    """Rows and mean of every sliding window of `span` hours, one each `step` hours, in which no slot of `step` hours is empty; every batch replaces the result."""
+    slot = F.floor(F.unix_seconds(stamp) / (step * 3600))
+    sums = rows.groupBy(*keys, F.window(stamp, f"{span} hours", f"{step} hours").alias("w")).agg(F.count("*").alias("n"), half_up(F.sum(money(value)).cast("double") / F.count(value)).alias("mean"), F.size(F.collect_set(slot)).alias("slots"))
+    full = sums.where(F.col("slots") == span // step).select(*keys, F.col("w.end").alias("until"), "n", "mean")
+    _drain(full, "complete", folder, checkpoint, lambda df, _: df.write.mode("overwrite").parquet(folder))
+    return rows.sparkSession.read.parquet(folder)
+
+
 def latest_revisions(rows: DataFrame, keys: list[str], revision: list[str], folder: str, checkpoint: str) -> DataFrame:
     """The newest row of each key so far."""
     rest = [c for c in rows.columns if c not in keys]
