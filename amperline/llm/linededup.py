@@ -6,7 +6,7 @@ the largest doc_id among them.
 
 1. Digests of long lines are counted with a partial aggregate before the shuffle; only those that
    occur `min_docs` times can matter, and their occurrences go on.
-2. Occurrences are range-partitioned by digest with a secondary sort by document (descending) and
+2. Occurrences are range-partitioned by digest, ROWS_A_TASK to a range, with a secondary sort by document (descending) and
    position. A digest with more than RANGE_ROWS occurrences is split into parts by a hash of the
    document, so no range grows with a hot line.
 3. A range streams in that order: the first occurrence of each digest gives the winning document,
@@ -23,12 +23,15 @@ count for nothing; a table without rows gives none; columns of `docs` other than
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amperline.llm.store import save
 
 RANGE_ROWS = 256
+ROWS_A_TASK = 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,9 +63,10 @@ def streamed_lines(seen: DataFrame, min_docs: int) -> DataFrame:
     """(doc_id, row, position, d1, d2, parts, leads, winner, n_docs): occurrences in sorted ranges, each with its part's first document and number of documents."""
     counts = seen.groupBy("d1", "d2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     parts = F.ceil(F.col("n") / RANGE_ROWS).cast("int")
-    common = seen.join(save(counts.select("d1", "d2", parts.alias("parts")), "common-digests"), ["d1", "d2"])
+    counts = save(counts.select("d1", "d2", "n", parts.alias("parts")), "common-digests")
+    n = -(-(counts.agg(F.sum("n")).first()[0] or 1) // ROWS_A_TASK)
+    common = seen.join(counts.drop("n"), ["d1", "d2"])
     common = common.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
-    n = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = common.repartitionByRange(n, "d1", "d2", "part").sortWithinPartitions("d1", "d2", "part", F.desc("doc_id"), "position")
     digest = Window.partitionBy("d1", "d2", "part")
     stream = digest.orderBy(F.desc("doc_id"), "position")
@@ -108,18 +112,24 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     )
 
 
+def _let(value, body):
+    """`body` of a value that is computed once: what a lambda only mentions is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unpacked(bitmap):
-    """The numbers that `_packed` wrote."""
+    """The numbers that `_packed` wrote, in time that is linear in their bytes."""
     octets = F.transform(F.sequence(F.lit(1), F.length(bitmap)), lambda i: F.conv(F.hex(F.substring(bitmap, i, F.lit(1))), 16, 10).cast("long"))
-    numbers = F.aggregate(
-        octets,
-        F.struct(F.array().cast("array<long>").alias("done"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit")),
-        lambda acc, b: F.when(b < 128, F.struct(F.array_append(acc["done"], acc["value"] + b * acc["unit"]).alias("done"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit"))).otherwise(
-            F.struct(acc["done"].alias("done"), (acc["value"] + (b - 128) * acc["unit"]).alias("value"), (acc["unit"] * 128).alias("unit"))
-        ),
-        lambda acc: acc["done"],
-    )
-    return F.when(F.length(bitmap) > 0, numbers)
+
+    def number(o, first, last):
+        digits = (F.when(first + j <= last, F.get(o, first + j) % 128 * 128**j).otherwise(0) for j in range(5))
+        return functools.reduce(lambda x, y: x + y, digits).cast("long")
+
+    def numbers(o):
+        ends = F.filter(F.transform(o, lambda b, i: F.when(b < 128, i)), lambda i: i.isNotNull())
+        return _let(ends, lambda e: F.transform(e, lambda last, k: number(o, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), last)))
+
+    return F.when(F.length(bitmap) > 0, _let(octets, numbers))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -131,7 +141,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     both = base.join(own.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("_row") == F.col("_own")), "left")  # bitmaps grow with docs: the same plan at every size
     runs = F.col("_runs")
     flags = F.flatten(F.transform(runs, lambda g: F.concat(F.array_repeat(F.lit(True), g.cast("int")), F.array(F.lit(False)))))
-    kept = F.filter(F.col("_lines"), lambda x, i: F.coalesce(F.get(F.col("_flags"), i), F.lit(True)))
+    # lines behind the last flag are kept; arguments of a function are computed once, what its lambda mentions for each line
+    kept = F.filter(F.zip_with("_lines", "_flags", lambda x, flag: F.when(F.coalesce(flag, F.lit(True)), x)), lambda x: x.isNotNull())
     return (
         both.withColumns({"_lines": lines, "_runs": _unpacked(F.col("keep_runs"))})
         .withColumn("_flags", flags)
