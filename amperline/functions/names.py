@@ -49,6 +49,8 @@ def token(resource: Column) -> Column:
 
 
 def limitation_cause(remark: Column) -> Column:
-    """Cause of a limitation from free text, spaces and hyphens squeezed."""
-    r = F.upper(F.regexp_replace(remark, r"[\s\-]+", ""))
-    return F.when(r.rlike("OVERLOAD|CONGEST"), "congestion").when(r.rlike("OUTAGE|MAINT"), "outage").when(r.rlike("FREQ|RESERVE"), "reserve").otherwise("other")
+    """What a remark on a limitation names, spaces and hyphens squeezed: leyte-cebu, hvdc or other; null for remarks that tell of none."""
+    r = F.lower(F.coalesce(remark, F.lit("")))
+    squeezed = F.regexp_replace(r, r"[\s\-]+", "")
+    cause = F.when(F.contains(squeezed, F.lit("leytecebu")), "leyte-cebu").when(F.contains(squeezed, F.lit("hvdc")), "hvdc").otherwise("other")
+    return F.when(F.contains(r, F.lit("limitation")), cause)

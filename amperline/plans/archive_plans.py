@@ -60,16 +60,25 @@ def zip_congestion(spark, d):
 
 
 _BOOK = """b AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'not dispatched' ELSE 'dispatched' END AS side, l_suppkey, l_quantity, l_linenumber,
-sum(CAST(l_quantity AS DECIMAL(18,4))) OVER (PARTITION BY l_orderkey, l_returnflag = 'N' ORDER BY l_linenumber, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS total FROM lineitem)"""
+sum(CAST(l_quantity AS DECIMAL(18,4))) OVER (PARTITION BY l_orderkey, l_returnflag = 'N' ORDER BY CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END * l_linenumber, CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END * l_suppkey, CASE WHEN l_returnflag = 'N' THEN -1 ELSE 1 END * l_quantity ROWS UNBOUNDED PRECEDING)
++ CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 1 + l_orderkey % 3 THEN 100 WHEN l_orderkey % 7 = 0 AND l_linenumber = 2 THEN -0.5 ELSE 0 END AS total FROM lineitem)"""
 
 
 def _book_archives(spark, d):
-    """Orders as merit-order members: a stamp, the two sections with their headers, rows, a row that is none, blank lines and the EOF mark."""
+    """Orders as merit-order members: a stamp, the two sections with their headers, rows, a row that is none, blank lines and the EOF mark.
+
+    Running totals grow away from the cut, which the offers that are not dispatched come down to; some orders have totals that are too high or too low.
+    """
     li = table(spark, d, "lineitem")
     side = F.when(F.col("l_returnflag") == "N", "Offers Not Dispatched").otherwise("Offers Dispatched")
     rows = li.select("l_orderkey", side.alias("side"), "l_suppkey", "l_quantity", "l_linenumber")
     order = Window.partitionBy("l_orderkey", "side").orderBy("l_linenumber", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.col("l_quantity").cast("decimal(18,4)")).over(order)
+    sign = F.when(F.col("side") == "Offers Not Dispatched", -1).otherwise(1)
+    away = [sign * F.col(c) for c in ("l_linenumber", "l_suppkey", "l_quantity")]
+    from_cut = Window.partitionBy("l_orderkey", "side").orderBy(*away).rowsBetween(Window.unboundedPreceding, 0)
+    high = (F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1 + F.col("l_orderkey") % 3)
+    low = (F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 2)
+    total = F.sum(F.col("l_quantity").cast("decimal(18,4)")).over(from_cut) + F.when(high, F.lit(100)).when(low, F.lit(-0.5)).otherwise(0).cast("decimal(18,4)")
     line = F.concat_ws(",", F.concat(F.lit(" S"), "l_suppkey"), "l_quantity", "l_linenumber", total)
     placed = rows.select("l_orderkey", "side", F.struct(F.row_number().over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("i"), line.alias("line")).alias("x"))
     section = F.concat(F.col("side"), F.lit("\nResource ID,MW,Block,Total\n"), F.array_join(F.sort_array(F.collect_list("x"))["line"], "\n"), F.lit("\nbroken,row\n\n"))
@@ -95,7 +104,12 @@ def merit_members(spark, d):
     return _book(spark, d).select("l_orderkey", "stamp", "side", "resource", "mw", "block", "running_total")
 
 
-@query("q_running_totals", "SELECT l_orderkey, CAST(0 AS BIGINT) AS faults FROM lineitem GROUP BY l_orderkey")
+@query(
+    "q_running_totals",
+    f"""WITH {_BOOK}, o AS (SELECT *, lag(total) OVER w AS before, lead(total) OVER w AS after FROM b WINDOW w AS (PARTITION BY l_orderkey, side ORDER BY l_linenumber, l_suppkey, l_quantity))
+    SELECT l_orderkey, count(*) FILTER (WHERE side = 'not dispatched' AND total > before + 0.001) + count(*) FILTER (WHERE side = 'dispatched' AND total < before - 0.001)
+    + count(*) FILTER (WHERE side = 'not dispatched' AND after IS NULL AND abs(total - l_quantity) > 0.01) + count(*) FILTER (WHERE side = 'dispatched' AND before IS NULL AND abs(total - l_quantity) > 0.01) AS faults FROM o GROUP BY l_orderkey""",
+)
 def running_totals(spark, d):
     return archives.running_total_faults(_book(spark, d), ["l_orderkey"])
 

@@ -289,14 +289,15 @@ def folded_names(spark, d):
 
 @query(
     "q_region_grids",
-    "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'luzon' WHEN 1 THEN 'luzon' WHEN 2 THEN 'visayas' WHEN 3 THEN 'mindanao' END AS grid, CASE s_suppkey % 4 WHEN 0 THEN 'congestion' WHEN 1 THEN 'outage' WHEN 2 THEN 'reserve' ELSE 'other' END AS cause, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_suppkey % 24 * 60 + 30 AS INTEGER) END AS minute FROM supplier",
+    "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'luzon' WHEN 1 THEN 'luzon' WHEN 2 THEN 'visayas' WHEN 3 THEN 'mindanao' END AS grid, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 4 < 2 THEN 'leyte-cebu' WHEN s_suppkey % 4 = 2 THEN 'hvdc' ELSE 'other' END AS cause, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_suppkey % 24 * 60 + 30 AS INTEGER) END AS minute FROM supplier",
 )
 def region_grids(spark, d):
     from amperline.functions import clock
 
     k = F.col("s_suppkey")
     region = F.when(k % 5 == 0, "CLUZ").when(k % 5 == 1, " luzon ").when(k % 5 == 2, "Visayas").when(k % 5 == 3, "cmin").otherwise("elsewhere")
-    remark = F.when(k % 4 == 0, "line over-load at bus").when(k % 4 == 1, "planned main tenance").when(k % 4 == 2, "low frequency").otherwise("none given")
+    place = F.when(k % 4 == 0, "Leyte - Cebu").when(k % 4 == 1, "LEYTE CEBU HVDC").when(k % 4 == 2, "Luzon HVDC").otherwise("bus")
+    remark = F.concat(F.when(k % 7 == 0, "work on the ").otherwise("Limitation of "), place)
     mark = F.when(k % 3 != 0, F.concat(F.lit("issued at "), (k % 24).cast("string"), F.lit("30H"))).otherwise("issued later")
     return table(spark, d, "supplier").select("s_suppkey", names.grid_of(region).alias("grid"), names.limitation_cause(remark).alias("cause"), clock.advisory_minute(mark).alias("minute"))
 

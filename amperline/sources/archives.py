@@ -111,7 +111,17 @@ def after_preamble(texts: DataFrame, mark: str, schema: str, key: str, keep: lis
 
 
 def running_total_faults(rows: DataFrame, member: list[str]) -> DataFrame:
-    """Members whose running total falls along a section, with the number of such rows."""
-    order = Window.partitionBy(*member, "side").orderBy("line_no")
-    falls = F.col("running_total") < F.lag("running_total").over(order) - 1e-9
-    return rows.withColumn("falls", falls).groupBy(*member).agg(F.count_if("falls").alias("faults"))
+    """Faults of each member against the cut between its sections, 0 where it is sound.
+
+    Running totals grow away from the cut: they do not rise along the offers that are not dispatched
+    nor fall along those that are (by 0.001), and the rows at the cut, the last and the first of the
+    two, carry their own MW (to 0.01). Each row that breaks this is a fault.
+    """
+    w = Window.partitionBy(*member, "side").orderBy("line_no")
+    total, before = F.col("running_total"), F.lag("running_total").over(w)
+    off = F.col("side") == "not dispatched"
+    turns = F.when(off, total > before + 1e-3).otherwise(total < before - 1e-3)
+    at_cut = F.when(off, F.lead("line_no").over(w).isNull()).otherwise(before.isNull())
+    own = F.abs(total - F.col("mw")) > 1e-2
+    faults = F.coalesce(turns, F.lit(False)).cast("int") + (at_cut & own).cast("int")
+    return rows.withColumn("_faults", faults).groupBy(*member).agg(F.sum("_faults").alias("faults"))

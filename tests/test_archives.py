@@ -31,6 +31,20 @@ def test_sections_and_running_totals(spark):
     assert [r.faults for r in archives.running_total_faults(rows, ["path", "member"]).collect()] == [1]
 
 
+def _faults(spark, *sections):
+    rows = [("m", side, 10 * k + i, float(mw), float(total)) for k, (side, own) in enumerate(sections) for i, (mw, total) in enumerate(own)]
+    return archives.running_total_faults(spark.createDataFrame(rows, "member string, side string, line_no long, mw double, running_total double"), ["member"]).first().faults
+
+
+def test_totals_grow_away_from_the_cut(spark):
+    off, on = "not dispatched", "dispatched"
+    assert _faults(spark, (off, [(10, 30), (12, 20), (8, 8)]), (on, [(5, 5), (6, 11)])) == 0
+    assert _faults(spark, (off, [(10, 10), (12, 22)])) == 2  # it rises, and the row at the cut is not its own MW
+    assert _faults(spark, (on, [(5, 500), (6, 506)])) == 1
+    assert _faults(spark, (on, [(5, 5), (6, 4.5), (1, 12)])) == 1
+    assert _faults(spark, (off, [(5, 5.005)]), (on, [(5, 4.995)])) == 0
+
+
 def test_preamble(spark):
     texts = spark.createDataFrame([(1, "title\nUNIT,N\nu,1\n ,2\n\n"), (2, "no header"), (3, None)], "id long, value string")
     got = archives.after_preamble(texts, "UNIT,", "unit string, n long", "unit", ["id"]).collect()
