@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from amperline.functions.numeric import lenient
+from amperline.functions.numeric import exact_mean, half_up, lenient, money
 from amperline.plans.common import EVENTS, intervals, mean, r, table
+from amperline.plans.market_plans import _WINDOWS
 from amperline.sources import files, sinks
 from amperline.sources.tables import shared_folder
-from amperline.streaming import flows
+from amperline.streaming import flows, outages
 
 QUERIES, ORACLE = {}, {}
 
@@ -93,7 +94,7 @@ def stream_hourly(spark, d):
     SELECT grid, TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST((slot + 1) * 6 AS INTEGER)) AS until, CAST(n AS BIGINT) AS n, {r('CAST(v AS DOUBLE) / CAST(k AS DOUBLE)')} AS mean FROM w WHERE slots = 12""",
 )
 def stream_rolling(spark, d):
-    return _ntz(flows.rolling_full(_stream(spark, d), ["grid"], "ts", "value", 72, 6, _fresh(spark, "rolling"), _fresh(spark, "rolling-state")), "until")
+    return _ntz(flows.rolling_full(_stream(spark, d), ["grid"], "ts", "value", 72 * 3600, 6 * 3600, _fresh(spark, "rolling"), _fresh(spark, "rolling-state")), "until")
 
 
 @query("q_stream_revisions", f"WITH {EVENTS} SELECT equipment, ts, event_id, value FROM e QUALIFY row_number() OVER (PARTITION BY equipment ORDER BY ts DESC, event_id DESC) = 1")
@@ -120,3 +121,59 @@ def stream_append(spark, d):
 def stream_join(spark, d):
     s = _stream(spark, d)
     return flows.interval_join(s.where("grid = 'click'"), _stream(spark, d).where("grid = 'purchase'"), "equipment", "ts", "6 HOURS", "45 days", _fresh(spark, "pairs"), _fresh(spark, "pairs-state"))
+
+
+@query("q_stream_outages", f'WITH {_WINDOWS} SELECT equipment, "start", "end", "open" FROM w')
+def stream_outages(spark, d):
+    """The windows of q_gaps_islands_windows, by keyed state."""
+    e = _stream(spark, d)
+    return _ntz(outages.outage_windows(e, "equipment", "ts", "event_id", F.col("grid") == "error", F.col("grid") == "purchase", "2 days", _fresh(spark, "outages"), _fresh(spark, "outages-state")), "start", "end")
+
+
+@query(
+    "q_stream_streaks",
+    f"""WITH {EVENTS}, d AS (SELECT equipment, CAST(ts AS DATE) AS day, count(*) AS n FROM e WHERE grid = 'error' GROUP BY ALL),
+    i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY equipment ORDER BY day) AS INTEGER) AS island FROM d),
+    s AS (SELECT equipment, min(day) AS first_day, max(day) AS last_day, CAST(count(*) AS INTEGER) AS days, CAST(sum(n) AS BIGINT) AS n FROM i GROUP BY equipment, island)
+    SELECT * FROM s WHERE last_day + INTERVAL 36 HOUR <= (SELECT max(day) FROM d) - INTERVAL 2 DAY""",
+)
+def stream_streaks(spark, d):
+    """Runs of days with alerts that had ended when the stream did."""
+    alerts = _stream(spark, d).where("grid = 'error'").select("equipment", "ts")
+    return flows.streaks(alerts, ["equipment"], "ts", "2 days", _fresh(spark, "streaks"), _fresh(spark, "streaks-state"))
+
+
+_DAILY = f"WITH {EVENTS}, n AS (SELECT grid, hour_ts, arg_max(value, (event_id, value)) AS value FROM e GROUP BY ALL) SELECT grid, CAST(hour_ts AS DATE) AS day, count(*) AS n, {r(mean('value'))} AS mean FROM n GROUP BY ALL"
+
+
+@query("q_stream_corrected", _DAILY)
+def stream_corrected(spark, d):
+    """Daily means of each hour's newest revision."""
+    rows = _stream(spark, d).select("grid", "hour_ts", "value", "event_id")
+    return flows.corrected_days(rows, ["grid"], "hour_ts", "value", "event_id", 4, _fresh(spark, "corrected"), _fresh(spark, "corrected-state"))[0]
+
+
+@query("q_stream_derived", f"WITH {EVENTS}, g AS (SELECT day FROM e GROUP BY day HAVING count(DISTINCT (grid, date_part('hour', ts))) >= 30) SELECT day, grid, count(*) AS n, {r(mean('value'))} AS mean FROM e JOIN g USING (day) GROUP BY day, grid")
+def stream_derived(spark, d):
+    """A derived day for each day that at least 30 hours of grids cover; run twice, the second run finds nothing new."""
+    def gate(rows):
+        return rows.groupBy("day").agg(F.count_distinct("grid", F.hour("ts")).alias("slots")).where("slots >= 30")
+
+    def derive(rows):
+        return rows.groupBy("day", "grid").agg(F.count("*").alias("n"), half_up(exact_mean(money("value"))).alias("mean"))
+
+    folder, state = _fresh(spark, "derived"), _fresh(spark, "derived-state")
+    for _ in range(2):
+        out = flows.derive_days(_stream(spark, d), "day", gate, derive, folder, state)
+    return out
+
+
+@query("q_stream_orders_lines", "SELECT o_orderkey AS k, o_custkey AS left_id, CAST(l_linenumber AS BIGINT) AS right_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY")
+def stream_orders_lines(spark, d):
+    """Two sources with a key and a time each: orders, and the lines that ship within 60 days."""
+    def stream(name):
+        return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+    o = stream("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_custkey").alias("id"))
+    li = stream("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_linenumber").cast("long").alias("id"))
+    return flows.interval_join(o, li, "k", "at", "60 DAYS", "3650 days", _fresh(spark, "orders-lines"), _fresh(spark, "orders-lines-state"), "id")
