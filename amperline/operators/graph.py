@@ -52,3 +52,42 @@ def injections(located: DataFrame, unlocated: DataFrame, grid: str, bus: str, mw
     rest = unlocated.groupBy(grid).agg(F.sum(mw).alias("rest"))
     share = F.col("mw") / F.sum("mw").over(Window.partitionBy(grid))
     return own.join(rest, grid, "left").select(grid, bus, (F.col("mw") + F.coalesce("rest", F.lit(0.0)) * share).alias("mw"))
+
+
+def routes(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b, hop, line, forward, line_metres, metres): the lines of a shortest path of at most `most` metres for each pair, in order from a.
+
+    `edges`: (line, u, v, metres), metres a whole number over 0. All sources spread at once, each
+    round only what the last one improved, and carry the node and line that they came by: of equally
+    short ways the one by the least node, then the least line. Paths are then read backwards from
+    their ends, one step of all paths a round. Pairs without a path have no rows.
+    """
+    spark = edges.sparkSession
+    forth = edges.select(F.col("u").alias("_from"), F.col("v").alias("_to"), "line", "metres", F.lit(True).alias("forward"))
+    out = written(forth.unionByName(edges.select(F.col("v").alias("_from"), F.col("u").alias("_to"), "line", "metres", F.lit(False).alias("forward"))), "ways")
+    came = "struct<metres: bigint, prev: string, line: bigint, forward: boolean, own: bigint>"
+    best = written(pairs.select("a").distinct().select("a", F.col("a").alias("node"), F.lit(None).cast(came.replace(": ", ":")).alias("way"), F.lit(0).cast("long").alias("far")), "reached")
+    front = best.select("a", "node", "far")
+    while not front.isEmpty():
+        step = front.join(out, F.col("node") == F.col("_from")).where(F.col("far") + F.col("metres") <= most)
+        way = F.struct((F.col("far") + F.col("metres")).alias("metres"), F.col("_from").alias("prev"), F.col("line").cast("long").alias("line"), "forward", F.col("metres").alias("own"))
+        new = step.groupBy("a", F.col("_to").alias("node")).agg(F.min(way).alias("new"))
+        both = best.join(new, ["a", "node"], "full")
+        # a way that is as short as the known one, but comes by a lesser node, changes the path and not the distance
+        lower = F.col("far").isNull() | (F.col("new.metres") < F.col("far"))
+        better = lower | ((F.col("new.metres") == F.col("far")) & F.col("way").isNotNull() & (F.col("new") < F.col("way")))
+        take = F.col("new").isNotNull() & better
+        best = written(both.select("a", "node", F.when(take, F.col("new")).otherwise(F.col("way")).alias("way"), F.when(take, F.col("new.metres")).otherwise(F.col("far")).alias("far"), (take & lower).alias("moved")), "reached")
+        front = best.where("moved").select("a", "node", "far")
+        best = best.drop("moved")
+    ends = pairs.select("a", "b").where("a <> b").distinct().join(best.select("a", F.col("node").alias("b"), F.col("far").alias("total")), ["a", "b"])
+    at = written(ends.select("a", "b", "total", F.col("b").alias("node"), F.lit(0).alias("back")), "path-ends")
+    found = None
+    while not at.isEmpty():
+        own = written(at.join(best.where("way IS NOT NULL"), ["a", "node"]).select("a", "b", "total", "back", "way.*"), "path-steps")
+        found = own if found is None else found.unionByName(own)
+        at = own.where("prev <> a").select("a", "b", "total", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
+    if found is None:
+        return spark.createDataFrame([], "a string, b string, hop int, line long, forward boolean, line_metres long, metres long")
+    hops = F.max("back").over(Window.partitionBy("a", "b"))
+    return found.select("a", "b", (hops - F.col("back")).alias("hop"), "line", "forward", F.col("own").alias("line_metres"), F.col("total").alias("metres"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amperline.plans import archive_plans, feed_plans, file_plans, interval_plans, market_plans
+from amperline.plans import archive_plans, feed_plans, file_plans, interval_plans, map_plans, market_plans
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_plans.QUERIES, **market_plans.QUERIES, **feed_plans.QUERIES, **file_plans.QUERIES, **archive_plans.QUERIES}
-ORACLE: dict[str, str] = {**interval_plans.ORACLE, **market_plans.ORACLE, **feed_plans.ORACLE, **file_plans.ORACLE, **archive_plans.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_plans.QUERIES, **market_plans.QUERIES, **feed_plans.QUERIES, **file_plans.QUERIES, **archive_plans.QUERIES, **map_plans.QUERIES}
+ORACLE: dict[str, str] = {**interval_plans.ORACLE, **market_plans.ORACLE, **feed_plans.ORACLE, **file_plans.ORACLE, **archive_plans.ORACLE, **map_plans.ORACLE}
 #: The `_all` names are of the same whole tables as the names without.
 ORACLE |= {name: ORACLE[name.removesuffix("_all")] for name in QUERIES if name.endswith("_all") and name not in ORACLE}
