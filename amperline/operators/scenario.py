@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amperline.operators.stack import CAP, clear, running_stack
+from amperline.functions.numeric import half_up, index_low
+from amperline.operators.ranked import at_places
+from amperline.operators.stack import clear, running_stack
+from amperline.sources.tables import written
 
 
 def each_unit_out(blocks: DataFrame, grid: str, unit: str, cost: str, mw: str, ties: list[str], demand: int) -> DataFrame:
@@ -47,17 +52,56 @@ def tornado(blocks: DataFrame, grid: str, fuel: str, cost: str, mw: str, ties: l
 
 def forced_outages(units: DataFrame, unit: str, mw: str, percent_out: str, draws: int, seed: int, load_share: float) -> DataFrame:
     """Monte Carlo of units on or off by a portable integer generator: draws, draws short of load, MW short, worst draw."""
-    m = 2147483648
-    step = lambda x: (x * 1103515245 + 12345) % m
     # units stay where they are and each makes its draws; a task sums over its units before anything is shuffled
-    rows = units.repartition(F.col(unit)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    u = step(step(F.col("draw") * 7919 + F.col(unit) * 104729 + seed))
-    up = rows.groupBy("draw").agg(F.sum(F.when(F.floor(u / 65536) % 100 >= F.col(percent_out), F.col(mw)).otherwise(0)).alias("up"))
+    up = _available(units, [], unit, mw, percent_out, draws, seed)
     load = units.agg(F.floor(F.sum(mw) * load_share).cast("long").alias("load"))
     short = up.join(F.broadcast(load), how="cross").select(F.greatest(F.lit(0), F.col("load") - F.col("up")).alias("short"))
     return short.agg(F.count("*").alias("draws"), F.count_if(F.col("short") > 0).alias("short_draws"), F.sum("short").alias("short_mw"), F.max("short").alias("worst"))
 
 
-def shortage_price(price):
-    """The price where supply is short."""
-    return F.coalesce(price, F.lit(CAP))
+def noisy_outages(units: DataFrame, grid: str, unit: str, mw: str, percent_out: str, loads: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Monte Carlo of units on or off against a normal load: (grid, draws, short_draws, expected, p50, p90, p99, worst) MW short.
+
+    `loads`: (grid, mean, sd). Each draw's load is mean + sd * z to whole MW, z by Box-Muller from two
+    numbers of the same counter-based generator as the outages. Units make their draws where they
+    are and a task sums over its units before anything is shuffled; quantiles are taken at the low
+    places over ranges.
+    """
+    short = written(shortfalls(units, grid, unit, mw, percent_out, loads, draws, seed), "shortfalls")
+    places = {f"p{q}": (lambda n, q=q: index_low(n, q / 100)) for q in (50, 90, 99)}
+    sums = short.groupBy(grid).agg(F.count("*").alias("draws"), F.count_if(F.col("short") > 0).alias("short_draws"), half_up(F.sum("short") / F.count("*"), 3).alias("expected"), F.max("short").alias("worst"))
+    return sums.join(at_places(short, [grid], "short", places).drop("n"), grid)
+
+
+def shortfalls(units: DataFrame, grid: str, unit: str, mw: str, percent_out: str, loads: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(grid, draw, short) of the draws of `noisy_outages`."""
+    up = _available(units, [grid], unit, mw, percent_out, draws, seed)
+    u1, u2 = ((_number(F.col("draw") * 15485863 + seed * 31 + k) + 1) / 32769.0 for k in (1, 2))
+    z = F.sqrt(-2 * F.log(u1)) * F.cos(u2 * (2 * math.pi))
+    load = F.floor(F.col("mean") + F.col("sd") * z + 0.5).cast("long")
+    return up.join(loads, grid).select(grid, "draw", F.greatest(F.lit(0).cast("long"), load - F.col("up")).alias("short"))
+
+
+def _step(x):
+    return (x * 1103515245 + 12345) % 2147483648
+
+
+def _number(x):
+    """A number of 15 bits for a counter."""
+    return F.floor(_step(_step(x % 2147483648)) / 65536) % 32768
+
+
+def _available(units: DataFrame, keys: list[str], unit: str, mw: str, percent_out: str, draws: int, seed: int) -> DataFrame:
+    """(keys, draw, up): the MW of the units that are on in each draw."""
+    rows = units.repartition(F.col(unit)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    u = _step(_step(F.col("draw") * 7919 + F.col(unit) * 104729 + seed))
+    return rows.groupBy(*keys, "draw").agg(F.sum(F.when(F.floor(u / 65536) % 100 >= F.col(percent_out), F.col(mw)).otherwise(0)).alias("up"))
+
+
+def buy_back(short: DataFrame, keys: list[str], short_mw: str, storage_mw: int, draws: str) -> DataFrame:
+    """(keys, lolp_without, lolp_with, bought_back): the share of draws that are short without and with so much storage, in percent, and the MW that it covers on average."""
+    mw = F.col(short_mw)
+    n = F.count(draws)
+    return short.groupBy(*keys).agg(
+        half_up(100.0 * F.count_if(mw > 0) / n).alias("lolp_without"), half_up(100.0 * F.count_if(mw > storage_mw) / n).alias("lolp_with"), half_up(F.sum(F.least(mw, F.lit(storage_mw))) / n).alias("bought_back")
+    )

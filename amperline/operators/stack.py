@@ -153,3 +153,28 @@ def compact_book(book: DataFrame, keys: list[str], price: str, mw: str, most: in
     steps = F.when(surplus > 0, F.sequence(F.lit(1), surplus)).otherwise(F.array().cast("array<int>"))
     done = books.select(*keys, F.inline(F.aggregate(steps, F.col("a"), join_closest)))
     return done.select(*keys, F.col("p").alias(price), F.round("q", 1).alias(mw)).where(F.col(mw) > 0.05)
+
+
+def replay(stacked: DataFrame, demands: DataFrame, keys: list[str], cost: str, label: str, demand: str) -> DataFrame:
+    """(keys, label, demand, price, short) of many demands against each book, linear in both.
+
+    A book's blocks stand at their running totals, demands at their MW; in that order a demand's
+    price is that of the next block. Beyond the book the price is the cap and `short` is set (with
+    1e-9 to spare); a demand of 0 or less, or without a book, has no price.
+    """
+    blocks = stacked.select(*keys, F.col("cum").cast("double").alias("_x"), F.lit(1).alias("_kind"), F.col(cost).cast("double").alias("_p"), F.lit(None).cast(demands.schema[label].dataType).alias(label), F.lit(None).cast("double").alias("_d"))
+    asked = demands.select(*keys, (F.col(demand).cast("double") - 1e-9).alias("_x"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_p"), label, F.col(demand).cast("double").alias("_d"))
+    w = Window.partitionBy(*keys)
+    ahead = w.orderBy("_x", "_kind", F.desc("_p")).rowsBetween(0, Window.unboundedFollowing)
+    both = blocks.unionByName(asked).withColumns({"_next": F.first("_p", ignorenulls=True).over(ahead), "_has": F.max("_kind").over(w) == 1})
+    real = F.col("_has") & (F.col("_d") > 0)
+    out = both.where("_kind = 0").select(*keys, label, F.col("_d").alias(demand), F.when(real, F.coalesce("_next", F.lit(CAP))).alias("price"), (real & F.col("_next").isNull()).alias("short"))
+    return out
+
+
+def availability(plants: DataFrame, fuel: str, mw: str, derates: dict[str, float], shaped: str, profile: list[float]) -> DataFrame:
+    """A row for each plant and hour: installed MW times the fuel's derate (1 where there is none), and for the fuel `shaped` times the hour's share of `profile`."""
+    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in derates.items() for x in kv)), F.col(fuel)), F.lit(1.0))
+    hours = F.posexplode(F.array(*map(F.lit, profile)))
+    rows = plants.select("*", hours.alias("hour", "_shape"))
+    return rows.withColumn("available", F.col(mw) * share * F.when(F.col(fuel) == shaped, F.col("_shape")).otherwise(1.0)).drop("_shape")
