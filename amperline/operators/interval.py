@@ -162,7 +162,7 @@ def deviation_from_mean(rows: DataFrame, day: str, keys: list[str], value: str,
     own = rows.groupBy(day, *keys).agg(F.sum(money(value)).alias("v"))
     n = rows.agg(F.count_distinct(day).alias("n_days"))
     mean = own.groupBy(*keys).agg(F.sum("v").alias("all")).join(F.broadcast(n), how="cross")  # one row
-    grid = rows.select(day).distinct().join(F.broadcast(mean), how="cross")  # keys x days of the report
+    grid = mean.join(F.broadcast(rows.select(day).distinct()), how="cross")  # a calendar's days, so many rows at most
     dev = half_up(F.coalesce(F.col("v").cast("double"), F.lit(0.0)) - ratio(F.col("all"), F.col("n_days")))
     return grid.join(own, [day, *keys], "left").select(day, *keys, dev.alias("deviation")).where(F.abs("deviation") >= least)
 

@@ -4,26 +4,43 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amperline.functions.numeric import half_up, index_low
 from amperline.operators.ranked import at_places
-from amperline.operators.stack import clear, running_stack
+from amperline.operators.stack import CAP, clear, replay, running_stack
 from amperline.sources.tables import written
 
 
-def each_unit_out(blocks: DataFrame, grid: str, unit: str, cost: str, mw: str, ties: list[str], demand: int) -> DataFrame:
-    """Each unit lost in turn: what is left, what is missing, the price. One scenario per unit, not per block.
+def each_unit_out(blocks: DataFrame, grid: str, unit: str, cost: str, mw: str, demand: int) -> DataFrame:
+    """Each unit lost in turn: (grid, lost, available, shortfall, price), one scenario per unit that leaves others.
 
-    A unit's blocks of one cost are summed first (no MW is below 0, so the price stays), and
-    units are joined with these sums; `ties` would only order blocks of equal cost.
+    A unit takes its own MW out of the grid's cumulative curve. From one of its costs to the next
+    that is a constant, so there the price is where the whole curve reaches the demand and that
+    constant: one lookup for each of a unit's costs, all of them in one pass over the curve.
     """
     levels = blocks.groupBy(grid, unit, cost).agg(F.sum(mw).alias(mw))
-    lost = levels.select(F.col(grid), F.col(unit).alias("lost")).distinct()
-    left = lost.join(levels, grid).where(F.col("lost") != F.col(unit))
-    out = clear(running_stack(left, [grid, "lost"], cost, mw, [unit]), [grid, "lost"], cost, mw, F.lit(demand).cast("long"), [unit])
-    return out.select(grid, "lost", "available", "shortfall", F.col("price").cast("double").alias("price"))
+    curve = running_stack(levels.groupBy(grid, cost).agg(F.sum(mw).alias(mw)), [grid], cost, mw, [])
+    w = Window.partitionBy(grid, unit).orderBy(cost)
+    own = running_stack(levels, [grid, unit], cost, mw, [])
+    steps = own.select(grid, unit, F.col(cost).cast("double").alias("_from"), F.lead(cost).over(w).cast("double").alias("_to"), F.col("cum").alias("_out"))
+    first = own.groupBy(grid, unit).agg(F.lit(None).cast("double").alias("_from"), F.min(cost).cast("double").alias("_to"), F.lit(0).alias("_out"))
+    asked = steps.unionByName(first).select(grid, F.struct(unit, "_from", "_to").alias("_part"), (F.lit(demand) + F.col("_out")).alias("_d"))
+    found = replay(curve, asked, [grid], cost, "_part", "_d").where("NOT short").select(grid, F.col(f"_part.{unit}").alias("lost"), F.greatest("price", "_part._from").alias("_p"), F.col("_part._to").alias("_to"))
+    prices = found.where("_to IS NULL OR _p < _to").groupBy(grid, "lost").agg(F.min("_p").alias("price"))
+    all_mw = levels.groupBy(grid).agg(F.sum(mw).alias("_all"), F.count_distinct(unit).alias("_units"))
+    left = levels.groupBy(grid, F.col(unit).alias("lost")).agg(F.sum(mw).alias("_own")).join(all_mw, grid).where("_units > 1").select(grid, "lost", (F.col("_all") - F.col("_own")).alias("available"))
+    short = F.greatest(F.lit(0), F.lit(demand) - F.col("available"))
+    return left.join(prices, [grid, "lost"], "left").select(grid, "lost", "available", short.alias("shortfall"), F.coalesce("price", F.lit(CAP)).alias("price"))
+
+
+def ranked_outages(out: DataFrame, stacked: DataFrame, grid: str, cost: str, mw: str, demand: int) -> DataFrame:
+    """The rows of `each_unit_out` with the capacity lost, the change of the price and the rank in the grid: by shortfall, change of price and capacity, largest first, then by name."""
+    base = clear(stacked, [grid], cost, mw, F.lit(demand).cast("long"), []).select(grid, F.col("price").cast("double").alias("_base"), F.col("available").alias("_all"))
+    both = out.join(base, grid).withColumns({"capacity": F.col("_all") - F.col("available"), "change": F.col("price") - F.col("_base")})
+    order = Window.partitionBy(grid).orderBy(F.desc("shortfall"), F.desc("change"), F.desc("capacity"), "lost")
+    return both.withColumn("rank", F.row_number().over(order)).drop("_base", "_all")
 
 
 def load_sweep(stacked: DataFrame, grid: str, cost: str, base: int, start: int, stop: int, step: int, over: float) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amperline.functions.numeric import half_up
+from amperline.functions.numeric import exact_mean, half_up, money
 
 CAP = 32.0
 
@@ -67,14 +69,23 @@ def leave_one_out_median(samples: DataFrame, keys: list[str], day: str, value: s
 
 def dispatch_cut(rows: DataFrame, keys: list[str], side: str, order: str, resource: str, mw: str) -> DataFrame:
     """Dispatched MW, headroom of the first undispatched block, resources on both sides of the cut, the last undispatched row."""
-    w = Window.partitionBy(*keys, side).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.withColumn("_run", F.sum(mw).over(w))
     on, off = F.col(side) == "DP", F.col(side) == "ND"
-    a = r.groupBy(*keys).agg(
-        F.max(F.when(on, F.struct(order, "_run")))["_run"].alias("dispatched"), F.min(F.when(off, F.struct(order, "_run")))["_run"].alias("headroom"), F.max(F.when(off, F.struct(order, resource)))[resource].alias("next_up"),
-        F.size(F.array_intersect(F.collect_set(F.when(on, F.col(resource))), F.collect_set(F.when(off, F.col(resource))))).alias("marginal"),
+    cut = rows.groupBy(*keys).agg(
+        F.sum(F.when(on, F.col(mw))).alias("dispatched"), F.min(F.when(off, F.struct(order, mw)))[mw].alias("headroom"), F.max(F.when(off, F.struct(order, resource)))[resource].alias("next_up"),
+    )
+    both = rows.groupBy(*keys, resource).agg((F.count_if(on) > 0).alias("_on"), (F.count_if(off) > 0).alias("_off"))
+    marginal = both.groupBy(*keys).agg(F.count_if(F.col("_on") & F.col("_off") & F.col(resource).isNotNull()).cast("int").alias("marginal"))
+    return cut.alias("c").join(marginal.alias("m"), reduce(lambda x, y: x & y, (F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys))).select("c.*", "m.marginal")
+
+
+def cut_summary(cuts: DataFrame, keys: list[str], cut: str, observed: DataFrame) -> DataFrame:
+    """(keys, cuts, mean, least and largest headroom, share of cuts with a marginal resource in percent, mean of dispatched / observed MW) of cuts; `observed`: (cut, observed), values of at most 1 MW do not count."""
+    both = cuts.join(observed, cut, "left")
+    share = F.when(F.col("observed") > 1, F.col("dispatched").cast("double") / F.col("observed"))
+    return both.groupBy(*keys).agg(
+        F.count("*").alias("cuts"), half_up(exact_mean(money("headroom")), 1).alias("mean_headroom"), F.min("headroom").alias("min_headroom"), F.max("headroom").alias("max_headroom"),
+        half_up(100.0 * F.count_if(F.col("marginal") > 0) / F.count("*"), 1).alias("marginal_share"), half_up(exact_mean(money(share)), 3).alias("ratio"),
     )
-    return a
 
 
 def _zone_cost(stacks: Column, need: Column) -> Column:

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from amperline.functions.numeric import exact_mean, half_up, index_clipped, index_low, index_near, money, ratio
 from amperline.operators.ranked import at_places, between, interpolated, placed, same, value_places
+from amperline.sources.tables import written
 
 
 def rolling_trigger(rows: DataFrame, keys: list[str], epoch: str, value: str, seconds: int, full: int, trigger: float) -> DataFrame:
     """Rolling means over (t - seconds, t] that hold exactly `full` rows: how many, how many over the trigger, the largest and the first time it stands."""
-    w = Window.partitionBy(*keys).orderBy(epoch).rangeBetween(-(seconds - 1), 0)
+    # rows are dealt by key and day: a day's windows are made of it and of as many days before it as a window spans
+    day = F.floor(F.col(epoch) / 86400)
+    reach = -(-seconds // 86400)
+    dealt = rows.select(*keys, epoch, value, F.explode(F.sequence(day, day + reach)).alias("_day"))
+    w = Window.partitionBy(*keys, "_day").orderBy(epoch).rangeBetween(-(seconds - 1), 0)
     mean = half_up(ratio(F.sum(money(value)).over(w), F.count("*").over(w)))
-    means = rows.select(*keys, epoch, mean.alias("m"), F.count("*").over(w).alias("n")).where(F.col("n") == full)
+    means = dealt.select(*keys, epoch, mean.alias("m"), F.count("*").over(w).alias("n"), (day == F.col("_day")).alias("own")).where((F.col("n") == full) & F.col("own"))
     best = F.min(F.struct((-F.col("m")).alias("m"), F.col(epoch).alias("at")))
     return means.groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.col("m") > trigger).alias("breaches"), best.alias("b")).select(*keys, "windows", "breaches", (-F.col("b.m")).alias("max_mean"), F.col("b.at").alias("max_at"))
 
@@ -101,6 +106,7 @@ def score_pairs(pairs: DataFrame, keys: list[str], observed: str, modeled: str)
     """
     o, m = F.col(observed), F.col(modeled)
     high, middle = lambda n: index_low(n, 0.9), lambda n: index_low(n, 0.5)
+    pairs = written(pairs, "pairs")  # four passes read it
     of_model = at_places(pairs, keys, modeled, {"tm": high, "mm": middle}).drop("n")
     cuts = at_places(pairs, keys, observed, {"to": high}).drop("n").join(of_model, keys)
     d = money(m) - money(o)
@@ -127,11 +133,19 @@ def within_group_correlation(pairs: DataFrame, keys: list[str], day: str, observ
 
 
 def dedupe_close(events: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
-    """Events at least `seconds` after the last kept one of their key: a fold over each key's sorted times."""
+    """Events more than `seconds` after the last kept one of their key.
+
+    An event that long after the one before it is kept whatever came before, so times are folded
+    from one such event to the next and no fold sees more than a run of close events.
+    """
     t = F.unix_seconds(F.col(ts).cast("timestamp"))
-    sorted_times = events.groupBy(*keys).agg(F.sort_array(F.collect_set(t)).alias("t"))
+    times = events.select(*keys, t.alias("t")).distinct()
+    w = Window.partitionBy(*keys).orderBy("t")
+    starts = F.coalesce(F.col("t") - F.lag("t").over(w) > seconds, F.lit(True)).cast("int")
+    runs = times.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(w))
+    sorted_times = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list("t")).alias("t"))
     empty = F.expr("CAST(array() AS ARRAY<BIGINT>)")
-    kept = F.aggregate("t", empty, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > seconds), F.concat(acc, F.array(x))).otherwise(acc))
+    kept = F.aggregate("t", empty, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > seconds), F.array_append(acc, x)).otherwise(acc))
     return sorted_times.select(*keys, F.explode(kept).alias("kept_at"))
 
 

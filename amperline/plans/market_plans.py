@@ -298,6 +298,20 @@ def dispatch_cut(spark, d):
     return stack.dispatch_cut(first, ["grid"], "side", "seq", "resource", "mw")
 
 
+@query(
+    "q_cut_summary",
+    f"""WITH {_CUT}, a AS (SELECT grid, sum(mw) FILTER (WHERE side = 'DP') AS dispatched, arg_min(mw, seq) FILTER (WHERE side = 'ND') AS headroom, sum(mw) AS mw FROM u GROUP BY grid), m AS (SELECT grid, count(*) AS marginal FROM (SELECT grid, resource FROM u GROUP BY ALL HAVING count(DISTINCT side) = 2) GROUP BY grid)
+    SELECT grid % 3 AS region, count(*) AS cuts, {r(mean('headroom'), 1)} AS mean_headroom, min(headroom) AS min_headroom, max(headroom) AS max_headroom, {r('100.0 * count(*) FILTER (WHERE coalesce(marginal, 0) > 0) / count(*)', 1)} AS marginal_share, {r(mean('CAST(dispatched AS DOUBLE) / mw'), 3)} AS ratio FROM a LEFT JOIN m USING (grid) GROUP BY 1""",
+)
+def cut_summary(spark, d):
+    """Headroom, how often a resource stands on both sides, and dispatched against observed MW of a region's cuts."""
+    observed = table(spark, d, "lineitem")
+    q = F.col("l_quantity").cast("long")
+    seq = F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey") * 10 + q % 10
+    once = observed.groupBy(F.col("l_suppkey").alias("grid"), seq.alias("seq")).agg(F.min(q).alias("mw"))
+    return stack.cut_summary(dispatch_cut(spark, d).withColumn("region", F.col("grid") % 3), ["region"], "grid", once.groupBy("grid").agg(F.sum("mw").alias("observed")))
+
+
 _ZONES = """z AS (SELECT l_linenumber AS hour, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS zone, CAST(round(l_discount * 100) AS BIGINT) AS price, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS mw FROM lineitem GROUP BY ALL),
     dm AS (SELECT hour, zone, CAST(floor(sum(mw) * (CASE zone WHEN 1 THEN 4 WHEN 2 THEN 9 ELSE 6 END) / 10.0) AS BIGINT) AS d FROM z GROUP BY hour, zone),
     cu AS (SELECT hour, zone, price, mw, CAST(sum(mw) OVER (PARTITION BY hour, zone ORDER BY price) AS BIGINT) AS cum FROM z), st AS (SELECT hour, zone, cum FROM cu UNION SELECT hour, zone, 0 FROM cu),
@@ -331,7 +345,7 @@ def n1(spark, d):
 
 
 def _n1(blocks):
-    return scenario.each_unit_out(blocks.withColumn("unit", F.col("l_partkey") % 5), "grid", "unit", "cost", "mw", _TIES, 9000)
+    return scenario.each_unit_out(blocks.withColumn("unit", F.col("l_partkey") % 5), "grid", "unit", "cost", "mw", 9000)
 
 
 @query("q_n1_all")
@@ -340,6 +354,18 @@ def n1_all(spark, d):
     return _n1(_blocks(spark, d))
 
 
+@query(
+    "q_n1_ranked",
+    f"""WITH {_STACK}, u AS (SELECT grid, l_partkey % 5 AS unit, cost, sum(mw) AS mw FROM b GROUP BY ALL), g AS (SELECT grid, coalesce(min(cost) FILTER (WHERE cum >= 9000), 32) AS base FROM s GROUP BY grid), o AS (SELECT grid, unit AS lost, sum(mw) AS capacity FROM u GROUP BY ALL),
+    k AS (SELECT o.grid, o.lost, capacity, u.cost, u.mw, sum(u.mw) OVER (PARTITION BY o.grid, o.lost ORDER BY u.cost) AS cum FROM o JOIN u ON o.grid = u.grid AND o.lost <> u.unit),
+    n AS (SELECT grid, lost, CAST(any_value(capacity) AS BIGINT) AS capacity, CAST(sum(mw) AS BIGINT) AS available, CAST(greatest(0, 9000 - sum(mw)) AS BIGINT) AS shortfall, CAST(coalesce(min(cost) FILTER (WHERE cum >= 9000), 32) AS DOUBLE) AS price FROM k GROUP BY ALL)
+    SELECT grid, lost, available, shortfall, price, capacity, price - base AS change, CAST(row_number() OVER (PARTITION BY grid ORDER BY shortfall DESC, price - base DESC, capacity DESC, lost) AS INTEGER) AS rank FROM n JOIN g USING (grid)""",
+)
+def n1_ranked(spark, d):
+    """Lost units of each grid, the gravest first."""
+    return scenario.ranked_outages(n1(spark, d), stack.running_stack(_blocks(spark, d), ["grid"], "cost", "mw", _TIES), "grid", "cost", "mw", 9000)
+
+
 @query(
     "q_load_sweep",
     f"""WITH {_STACK}, p AS (SELECT unnest(range(0, 3001, 25)) AS add), c AS (SELECT grid, add, coalesce(min(cost) FILTER (WHERE cum >= 8000 + add), 32) AS price FROM s CROSS JOIN p GROUP BY ALL)
