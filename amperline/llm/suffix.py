@@ -21,7 +21,7 @@ without losing any match, then sorted.
 
 Defined cases: null text is empty; documents under 50 bytes lose nothing; rows with the same
 doc_id are one document's, they never take from each other, and each loses only its own bytes;
-rows without a doc_id take nothing and lose nothing; an empty table gives no rows; other columns
+rows without a doc_id take nothing and lose nothing; a text of 2**28 bytes or more is refused with an error; an empty table gives no rows; other columns
 are not read. Hashes only bring candidates together: equal runs and windows are told by their
 bytes.
 """
@@ -56,6 +56,8 @@ class Runs:
 
     def __init__(self, t: Text):
         n = len(t.buf) - LENGTH + 1
+        if len(t.buf) >> _PLACE_BITS:
+            raise ValueError(f"a text of {len(t.buf)} bytes: places in texts of 2**{_PLACE_BITS} bytes and more do not fit beside their hashes")
         self.text, self.first = t, np.zeros(0, np.int64)
         self.last, self.doc, self.anchor = self.first, self.first, np.zeros(0, u64)
         if n <= 0:

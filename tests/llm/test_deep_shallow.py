@@ -50,3 +50,11 @@ def test_rows_with_one_id_and_other_texts(spark):
         [(1, len(a), 0, sha[a]), (5, len(a) + 5, len(a), sha[" tail"]), (5, len(b), 0, sha[b]), (5, len(b), 0, sha[b]), (7, len(b), len(b), sha[""]), (9, len(a), 0, sha[a]), (9, 0, 0, sha[""])]
     )
     assert plain.cut_repeats([(1, a), (5, a + " tail"), (7, b)])[1][2] == len(a)
+
+
+def test_too_long_text_is_refused(monkeypatch):
+    from amperline.llm.kernel import Text
+
+    monkeypatch.setattr(suffix, "_PLACE_BITS", 10)
+    with pytest.raises(ValueError, match="do not fit"):
+        suffix.Runs(Text(np.zeros(1024, np.uint8), np.array([0, 1024])))

@@ -34,3 +34,15 @@ def test_rows_with_one_id_and_other_texts(spark):
     rows = [(i, LINE) for i in range(5)] + [(2, f"unique first line here\n{LINE}"), (None, LINE), (4, "no such line")]
     found = linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id if r.doc_id is not None else 9, r.kept_text) for r in found) == [(0, ""), (1, ""), (2, ""), (2, "unique first line here"), (3, ""), (4, "no such line"), (4, LINE), (9, LINE)]
+
+
+def test_many_dropped_lines_in_one_text(spark):
+    """Time is linear in a text's lines: this took minutes when numbers were appended one by one."""
+    import time
+
+    text = "\n".join(f"{LINE} {i}" for i in range(100_000))
+    rows = [(i, text) for i in range(5)] + [(9, "short\n" + text + "\nlast")]
+    start = time.time()
+    got_rows = linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(6)).select("doc_id", "n_lines", "n_dropped", F.length("kept_text").alias("n")).collect()
+    assert sorted(map(tuple, got_rows)) == [(i, 100_000, 100_000, 0) for i in range(5)] + [(9, 100_002, 0, len("short\n" + text + "\nlast"))]
+    assert time.time() - start < 180
