@@ -165,3 +165,9 @@ def corridor_routes(edges: DataFrame, nodes: DataFrame, corridors: DataFrame, co
     whole = legs.where("NOT last").join(fine, ["a", "b"], "left").groupBy(corridor).agg(F.min(F.coalesce("fine", F.lit(False))).alias("whole")).where("whole").select(corridor)
     steps = legs.where("NOT last").join(whole, corridor).join(paths, ["a", "b"])
     return steps.select(corridor, F.row_number().over(Window.partitionBy(corridor).orderBy("leg", "hop")).alias("step"), "line", "forward", F.col("line_metres").alias("metres"))
+
+
+def without_detours(paths: DataFrame, metres: str, factor: float = 3.0, more_km: float = 60.0, most_km: float = 200.0) -> DataFrame:
+    """Paths (with lon_a, lat_a, lon_b, lat_b of their ends) that are no longer than `factor` times the straight line, or than it and `more_km`, and in any case `most_km`."""
+    straight = haversine_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
+    return paths.where(F.col(metres) / 1000 <= F.least(F.greatest(factor * straight, straight + more_km), F.lit(most_km)))
