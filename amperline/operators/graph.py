@@ -1,4 +1,4 @@
-"""Networks: components, shortest paths, parallel circuits, injections, DC power flow."""
+"""Networks: components, shortest paths and routes, parallel circuits, injections."""
 
 from __future__ import annotations
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from amperline.sources.files import csv_fields
+
 ROWS_A_BATCH = 10_000
 
 
@@ -102,12 +104,19 @@ def merit_sections(lines: DataFrame) -> DataFrame:
 def after_preamble(texts: DataFrame, mark: str, schema: str, key: str, keep: list[str]) -> DataFrame:
     """`keep` and the CSV rows of the column `value` after the header that starts with `mark`.
 
-    `schema` names the header's columns in order. Texts without the mark and rows with a blank `key` give nothing.
+    `schema` names the columns wanted and their types; a text's own header, in any case and order,
+    says where they stand, and a column that it lacks is null. Texts without the mark and rows with a blank `key` give
+    nothing. A field does not go over a line's end.
     """
+    wanted = [c.split() for c in schema.split(",")]
     at = F.instr("value", mark)
-    lines = texts.where(at > 0).select(*keep, F.posexplode(F.split(F.substring("value", at, F.length("value")), "\r?\n")).alias("place", "line"))
-    rows = lines.where("place > 0 AND trim(line) <> ''").select(*keep, F.from_csv("line", F.lit(schema)).alias("row"))
-    return rows.select(*keep, "row.*").where(F.trim(key) != "")
+    rest = texts.where(at > 0).select(*keep, F.substring("value", at, F.length("value")).alias("_rest"))
+    most = rest.agg(F.max(F.size(F.split(F.regexp_substr("_rest", F.lit("^[^\r\n]*")), ",")))).first()[0] or 1
+    names = F.transform(csv_fields(F.regexp_substr("_rest", F.lit("^[^\r\n]*")), most), lambda x: F.lower(F.trim(x)))
+    lines = rest.select(*keep, F.array(*(F.array_position(names, n.lower()).cast("int") for n, _ in wanted)).alias("_at"), F.posexplode(F.split("_rest", "\r?\n")).alias("place", "line"))
+    rows = lines.where("place > 0 AND trim(line) <> ''").select(*keep, "_at", csv_fields(F.col("line"), most).alias("_f"))
+    own = [F.when(F.col("_at")[i] > 0, F.get("_f", F.col("_at")[i] - 1)).try_cast(kind).alias(n) for i, (n, kind) in enumerate(wanted)]
+    return rows.select(*keep, *own).where(F.trim(key) != "")
 
 
 def running_total_faults(rows: DataFrame, member: list[str]) -> DataFrame:

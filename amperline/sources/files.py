@@ -22,7 +22,7 @@ def day_file(path):
     return F.when(own != "", own).otherwise(F.element_at(F.split(path, "/"), -1))
 
 
-def _fields(line: Column, most: int) -> Column:
+def csv_fields(line: Column, most: int) -> Column:
     """The fields of a CSV line; those that the line does not have are null."""
     names = [f"c{i}" for i in range(most)]
     row = F.from_csv(line, F.lit(", ".join(f"{n} string" for n in names)))
@@ -42,16 +42,16 @@ def read_day_files(spark: SparkSession, folder: str, needed: list[str]) -> DataF
     lines = written(lines.where(F.trim("value") != "").withColumn("value", F.decode(F.encode("value", "UTF-8"), "UTF-8")), "day-lines")
     heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"), F.min("line").alias("first"))
     most = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
-    names = F.transform(_fields(F.col("head"), most), lambda x: F.btrim(x, F.lit(" \ufeff")))
+    names = F.transform(csv_fields(F.col("head"), most), lambda x: F.btrim(x, F.lit(" \ufeff")))
     heads = heads.select(F.col("file").alias("of"), "first", *(F.array_position(names, n).cast("int").alias(f"at_{i}") for i, n in enumerate(needed)))
-    given = F.filter(_fields(F.col("value"), most), lambda x: F.trim(x) != "")
+    given = F.filter(csv_fields(F.col("value"), most), lambda x: F.trim(x) != "")
     rows = lines.join(heads, (F.col("file") == F.col("of")) & (F.col("line") != F.col("first")))
     full = rows.where((F.size(given) > 0) & (F.upper(F.coalesce(F.trim(F.get(given, F.lit(0))), F.lit(""))) != "EOF"))
     missing = F.filter(F.array(*(F.when(F.coalesce(f"at_{i}", F.lit(0)) == 0, F.lit(n)) for i, n in enumerate(needed))), lambda n: n.isNotNull())
     lacking = full.withColumn("missing", missing).where(F.size("missing") > 0).groupBy("file").agg(F.first("missing").alias("missing"))
     if bad := lacking.orderBy("file").limit(5).collect():
         raise ValueError("columns missing: " + "; ".join(f"{r.file} lacks {', '.join(r.missing)}" for r in bad))
-    fields = full.select("file", *(f"at_{i}" for i in range(len(needed))), _fields(F.col("value"), most).alias("fields"))
+    fields = full.select("file", *(f"at_{i}" for i in range(len(needed))), csv_fields(F.col("value"), most).alias("fields"))
     values = [F.nullif(F.trim(F.get("fields", F.col(f"at_{i}") - 1)), F.lit("")).alias(n) for i, n in enumerate(needed)]
     return fields.select(*values, clock.day_of_file(day_file(F.col("file"))).alias("day"))
 

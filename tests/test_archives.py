@@ -49,3 +49,9 @@ def test_preamble(spark):
     texts = spark.createDataFrame([(1, "title\nUNIT,N\nu,1\n ,2\n\n"), (2, "no header"), (3, None)], "id long, value string")
     got = archives.after_preamble(texts, "UNIT,", "unit string, n long", "unit", ["id"]).collect()
     assert list(map(tuple, got)) == [(1, "u", 1)]
+
+
+def test_preamble_by_each_header(spark):
+    texts = spark.createDataFrame([(1, "title\r\nUNIT,Other,N\r\nu,\"x,y\",1\r\n"), (2, "UNIT,n\nv,2"), (3, "UNIT,M\nw,9"), (4, "UNIT,N\nz,no")], "id long, value string")
+    got = archives.after_preamble(texts, "UNIT,", "unit string, n long", "unit", ["id"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "u", 1), (2, "v", 2), (3, "w", None), (4, "z", None)]
