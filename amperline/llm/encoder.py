@@ -9,6 +9,8 @@ text is mostly table look-ups. Where the borders aren't safe, or where the liter
 * Word BPE that drops white space: every ASCII white space is a border. Such a tokenizer lowers
   case itself.
 * In both, the place between an ASCII letter and a single mark at a piece's end is a border too.
+
+In byte-level BPE a piece of letters only is one word, so it goes to the merges without the pattern.
 """
 
 from __future__ import annotations
@@ -38,6 +40,15 @@ def _safe(text: bytes) -> bool:
 
 
 _MARKS = b".,;:!?|"
+#: Latin and basic Cyrillic letters only, as UTF-8: such a piece is one word for the byte-level pattern.
+_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xd0[\x90-\xbf]|\xd1[\x80-\x8f])+")
+
+
+def _signs() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from U+0100 on."""
+    plain = {b: chr(b) for b in range(256) if chr(b).isprintable() and b != 32}
+    others = (b for b in range(256) if b not in plain)
+    return plain | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class _Table(dict):
@@ -57,6 +68,8 @@ class _Table(dict):
             ids = self.owner.line_break + self.marks[piece[1:]]
         elif len(piece) > 1 and piece[-1] in _MARKS and piece[-2:-1].isalpha():
             ids = self[piece[:-1]] + self.marks[piece[-1:]]
+        elif not self.lowers and _WORD.fullmatch(piece):
+            ids = self.owner.word(self.before.encode() + piece)
         else:
             ids = self.owner.whole((self.before + piece.decode("utf-8", "replace")))
         self[piece] = ids
@@ -80,6 +93,7 @@ class Encoder:
         added = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
         #: Texts that hold the literal of an added token go to the library whole.
         self._added = re.compile(b"|".join(map(re.escape, added)), re.I) if added else None
+        self._model, self._signs = self.tokenizer.model, _signs()
         self._first = _Table(self, "", None, self.borders == "white")
         self._inner = _Table(self, " ", self._first, False)
         self.line_break = self.whole("\n") if self.borders == "space" else b""
@@ -87,6 +101,10 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, piece: bytes) -> bytes:
+        """Ids of a piece that the byte-level pattern leaves whole, by the merges alone."""
+        return array(self._code, [t.id for t in self._model.tokenize(piece.decode("latin-1").translate(self._signs))]).tobytes()
+
     def blob(self, text: bytes) -> bytes:
         if self._added and self._added.search(text):
             return self.whole(text.decode("utf-8", "replace"))

@@ -332,6 +332,21 @@ def test_added_tokens_in_texts(spark):
             assert np.frombuffer(enc.blob(text.encode()), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters(spark):
+    """Pieces of letters, with and without a mark, get the ids that the library gives, whatever stands before them."""
+    from amperline.llm.encoder import Encoder
+
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(0x41, 0x460)]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(3000)] + ["Straße", "unglaublich", "x×y", "a÷b", "ß", "слово", "Ünïcödé", "don't", "it's", "e\u0301te"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tok, enc = Tokenizer.from_file(path), Encoder(path)
+        for w in words:
+            for text in (w, f"one {w}, {w}\n{w}."):
+                assert np.frombuffer(enc.blob(text.encode()), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_files_of_lost_attempts_go(spark, small, tmp_path):
     out = f"file://{tmp_path}/files"
     (tmp_path / "files").mkdir()
