@@ -97,10 +97,10 @@ def _zone_cost(stacks: Column, need: Column) -> Column:
     return used["cost"] + F.greatest(F.lit(0), need - used["cum"]) * F.lit(3200)
 
 
-def coupled_clear(zones: DataFrame, keys: list[str], cap1: int, cap2: int, wheel: int) -> DataFrame:
+def coupled_clear(zones: DataFrame, keys: list[str], cap1: int | Column, cap2: int | Column, wheel: int) -> DataFrame:
     """The cheapest flows of three zones in a row (1 - 2 - 3), all quantities integers.
 
-    `zones`: keys, d1..d3 (demand), s1..s3 (blocks price and mw, by price). Cost is convex and
+    `zones`: keys, d1..d3 (demand), s1..s3 (blocks price and mw, by price); limits may be columns of it. Cost is convex and
     piecewise linear in the flows, so some cheapest pair lies where two break lines cross: a flow
     that ends a block of zone 1 or 3, is 0 or a limit, or a difference that ends a block of zone 2.
     """
@@ -109,26 +109,27 @@ def coupled_clear(zones: DataFrame, keys: list[str], cap1: int, cap2: int, wheel
         cum = F.aggregate(s, zero, lambda a, b: F.concat(a, F.array(F.struct((F.element_at(a, -1)["c"] + b["mw"]).alias("c")))))
         return F.transform(cum, lambda x: x["c"])
 
-    lines = zones.select(
-        *keys, "d1", "d2", "d3", "s1", "s2", "s3",
-        F.array_distinct(F.concat(F.transform(ends("s1"), lambda c: c - F.col("d1")), F.array(*(F.lit(x).cast("long") for x in (0, cap1, -cap1))))).alias("a"),
-        F.array_distinct(F.concat(F.transform(ends("s3"), lambda c: F.col("d3") - c), F.array(*(F.lit(x).cast("long") for x in (0, cap2, -cap2))))).alias("b"),
+    limits = F.lit(cap1).cast("long").alias("_c1"), F.lit(cap2).cast("long").alias("_c2")
+    lines = zones.select(*keys, "d1", "d2", "d3", "s1", "s2", "s3", *limits).select(
+        "*",
+        F.array_distinct(F.concat(F.transform(ends("s1"), lambda c: c - F.col("d1")), F.array(F.lit(0).cast("long"), F.col("_c1"), -F.col("_c1")))).alias("a"),
+        F.array_distinct(F.concat(F.transform(ends("s3"), lambda c: F.col("d3") - c), F.array(F.lit(0).cast("long"), F.col("_c2"), -F.col("_c2")))).alias("b"),
         F.array_distinct(F.transform(ends("s2"), lambda c: c - F.col("d2"))).alias("d"),
     )
     # zone 2 produces d2 + f2 - f1, so its breaks are f2 - f1 = d
     ab = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(x.alias("f1"), y.alias("f2")))))
     ad = F.flatten(F.transform("a", lambda x: F.transform("d", lambda z: F.struct(x.alias("f1"), (x + z).alias("f2")))))
     bd = F.flatten(F.transform("b", lambda y: F.transform("d", lambda z: F.struct((y - z).alias("f1"), y.alias("f2")))))
-    f = lines.select(*keys, "d1", "d2", "d3", "s1", "s2", "s3", F.explode(F.array_distinct(F.concat(ab, ad, bd))).alias("f")).select("*", "f.f1", "f.f2").drop("f")
+    f = lines.select(*keys, "d1", "d2", "d3", "s1", "s2", "s3", "_c1", "_c2", F.explode(F.concat(ab, ad, bd)).alias("f")).select("*", "f.f1", "f.f2").drop("f")
     g1, g2, g3 = F.col("d1") + F.col("f1"), F.col("d2") + F.col("f2") - F.col("f1"), F.col("d3") - F.col("f2")
-    inside = f.where((F.abs("f1") <= cap1) & (F.abs("f2") <= cap2) & (g1 >= 0) & (g2 >= 0) & (g3 >= 0))
+    inside = f.where((F.abs("f1") <= F.col("_c1")) & (F.abs("f2") <= F.col("_c2")) & (g1 >= 0) & (g2 >= 0) & (g3 >= 0))
     size = F.abs("f1") + F.abs("f2")
     cost = _zone_cost(F.col("s1"), g1) + _zone_cost(F.col("s2"), g2) + _zone_cost(F.col("s3"), g3) + wheel * size
     best = inside.groupBy(*keys).agg(F.min(F.struct(cost.alias("cost"), size.alias("size"), "f1", "f2")).alias("m"))
     return best.select(*keys, F.col("m.cost").alias("cost"), F.col("m.f1").alias("f1"), F.col("m.f2").alias("f2"))
 
 
-def corridor_report(flows: DataFrame, flow: str, cap: float, price_from: str, price_to: str) -> DataFrame:
+def corridor_report(flows: DataFrame, flow: str, cap: float | Column, price_from: str, price_to: str) -> DataFrame:
     """Saturation of a corridor and the rent across it; a closed corridor never saturates."""
     full = (F.lit(cap) > 0.5) & (F.abs(flow) >= cap - 0.5)
     gap = F.when(F.col(flow) > 0, F.col(price_to) - F.col(price_from)).otherwise(F.col(price_from) - F.col(price_to))
