@@ -162,3 +162,25 @@ def apply_levers(blocks: DataFrame, fuel: str, cost: str, mw: str, carbon_price:
         return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col(fuel)), F.lit(default))
 
     return blocks.withColumns({cost: half_up(F.col(cost) + F.lit(carbon_price) * of(tonnes, 0.0)), mw: half_up(F.col(mw) * of(scales, 1.0))}).where(F.col(mw) > 0)
+
+
+def sound_days(rows: DataFrame, day: str, hour: str, whole: Column, parts: list[Column], most: float, hours: int) -> DataFrame:
+    """Rows of the days on which every price is the sum of its parts to within `most` and at least `hours` hours have rows."""
+    residual = F.abs(money(whole) - sum((money(p) for p in parts), F.lit(0).cast("decimal(18,4)")))
+    good = rows.groupBy(day).agg(F.max(residual).alias("_r"), F.count_distinct(hour).alias("_h")).where((F.col("_r") <= most) & (F.col("_h") >= hours)).select(day)
+    return rows.join(good, day, "left_semi")
+
+
+def nodal_hours(rows: DataFrame, keys: list[str], price: str, reference: str, congestion: str, mw: str) -> DataFrame:
+    """Per key (day, grid, node, hour): rows, mean deviation from the reference price, mean MW, mean of the congestion parts that aren't 0 (null without any)."""
+    part = F.when(F.col(congestion) != 0, money(congestion))
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), half_up(exact_mean(money(F.col(price) - F.col(reference))), 3).alias("deviation"), half_up(exact_mean(money(mw)), 2).alias("mw"), half_up(exact_mean(part), 3).alias("congestion")
+    )
+
+
+def reference_hours(rows: DataFrame, keys: list[str], interval: str, reference: str) -> DataFrame:
+    """Per key (day, grid, hour): mean over intervals of each interval's most frequent reference price to 2 digits (of equals the least), intervals, and those with more than one price."""
+    counted = rows.groupBy(*keys, interval, half_up(F.col(reference), 2).alias("_v")).count()
+    modal = counted.groupBy(*keys, interval).agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("_v").alias("v"))).alias("m"), F.count("*").alias("_k"))
+    return modal.groupBy(*keys).agg(F.count("*").alias("intervals"), F.count_if(F.col("_k") > 1).alias("multimodal"), half_up(exact_mean(money(F.col("m.v")))).alias("reference"))

@@ -200,3 +200,37 @@ def levers(spark, d):
     levels = v.groupBy("grid", "cost").agg(F.sum(F.col("mw").cast("decimal(18,4)")).cast("double").alias("mw"))
     out = stack.clear(stack.running_stack(levels, ["grid"], "cost", "mw", []), ["grid"], "cost", "mw", F.lit(8000.0), [])
     return out.select("grid", F.col("price").cast("double").alias("price"), half_up(F.col("available")).alias("available"))
+
+
+#: Prices of nodes from their parts: the value's twenties as reference, 2 of congestion at every third node, the rest losses; on every fifth of the month one row in 99 does not add up.
+_PARTS = f"""{EVENTS}, pt AS (SELECT *, equipment % 40 AS node, hour(ts) AS hour, strftime(ts, '%Y-%m-%d %H:') || lpad(CAST(minute(ts) // 20 AS VARCHAR), 2, '0') AS slot, floor(value / 20) * 20 AS smp, CASE WHEN equipment % 3 = 0 THEN 2.0 ELSE 0.0 END AS cong FROM e),
+    pl AS (SELECT *, value - smp - cong + CASE WHEN event_id % 99 = 0 AND day(ts) % 5 = 0 THEN 1 ELSE 0 END AS loss FROM pt), sd AS (SELECT day FROM pl GROUP BY day HAVING max(abs(CAST(value AS DECIMAL(18,4)) - CAST(smp AS DECIMAL(18,4)) - CAST(loss AS DECIMAL(18,4)) - CAST(cong AS DECIMAL(18,4)))) <= 0.05 AND count(DISTINCT hour) >= 12), nx AS (SELECT * FROM pl SEMI JOIN sd USING (day))"""
+
+
+def _nodal(spark, d):
+    c = F.col
+    rows = intervals(spark, d).select(
+        "day", "grid", (c("equipment") % 40).alias("node"), F.hour("ts").alias("hour"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:"), F.lpad(F.floor(F.minute("ts") / 20).cast("string"), 2, "0")).alias("slot"),
+        "value", (F.floor(c("value") / 20) * 20).alias("smp"), F.when(c("equipment") % 3 == 0, 2.0).otherwise(0.0).alias("cong"), ((c("event_id") % 99 == 0) & (F.dayofmonth("ts") % 5 == 0)).cast("int").alias("off"),
+    )
+    parts = rows.withColumn("loss", c("value") - c("smp") - c("cong") + c("off"))
+    return desk.sound_days(parts, "day", "hour", c("value"), [c("smp"), c("loss"), c("cong")], 0.05, 12)
+
+
+@query(
+    "q_nodal_hours",
+    f"WITH {_PARTS} SELECT day, grid, node, hour, count(*) AS n, {r(mean('(value - smp)'), 3)} AS deviation, {r(mean('value'), 2)} AS mw, {r(mean('CASE WHEN cong <> 0 THEN cong END'), 3)} AS congestion FROM nx GROUP BY ALL",
+)
+def nodal_hours(spark, d):
+    """Nodes by hour on days whose prices add up and that are covered."""
+    return desk.nodal_hours(_nodal(spark, d), ["day", "grid", "node", "hour"], "value", "smp", "cong", "value")
+
+
+@query(
+    "q_reference_hours",
+    f"""WITH {_PARTS}, c AS (SELECT day, grid, hour, slot, smp AS v, count(*) AS k FROM nx GROUP BY ALL), m AS (SELECT day, grid, hour, slot, v, count(*) OVER (PARTITION BY day, grid, hour, slot) AS kinds FROM c QUALIFY row_number() OVER (PARTITION BY day, grid, hour, slot ORDER BY k DESC, v) = 1)
+    SELECT day, grid, hour, count(*) AS intervals, count(*) FILTER (WHERE kinds > 1) AS multimodal, {r(mean('v'))} AS reference FROM m GROUP BY ALL""",
+)
+def reference_hours(spark, d):
+    """The reference price by hour, from each interval's most frequent one."""
+    return desk.reference_hours(_nodal(spark, d), ["day", "grid", "hour"], "slot", "smp")
