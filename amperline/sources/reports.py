@@ -81,10 +81,16 @@ class PlantSheet:
             if alone and not self._name(lines[below]):
                 rest = lines[below + 1] if below + 1 < len(lines) else ""
                 more = self._name(rest)
-                ends_name = more and not _CONNECTION.search(rest) and not self._cells(rest, edges)
+                ends_name = more and not self._own_kind(rest, fuels) and not _CONNECTION.search(rest) and not self._cells(rest, edges)
                 return (f"{name} {more}" if ends_name else name), alone[1].lower()
         return None
 
+    @staticmethod
+    def _own_kind(line: str, fuels: dict) -> bool:
+        """Whether a line is a header, a total or a section, which are never part of a name."""
+        section = _SHEET_SECTION.fullmatch(line)
+        return ("INSTALLED" in line and "DEPENDABLE" in line) or bool(_SHEET_TOTAL.match(line)) or bool(section and section[1].strip() in fuels)
+
     @staticmethod
     def _name(line: str) -> str:
         """The first cell of a line that does not begin with a blank."""

@@ -47,6 +47,14 @@ def test_sheet_that_does_not_add_up(spark):
     assert {(r.fuel, r.ok) for r in reports.sheet_reconciliation(rows, "report").collect()} == {("coal", False), ("wind", True)}
 
 
+def test_total_or_section_below_a_wrapped_row_is_no_name(spark):
+    head = "NAME                TYPE         INSTALLED   DEPENDABLE  UNITS\n"
+    row = "{}                                 9.5          9.0\n                    Grid\n"
+    sheet = head + "COAL   9.5   9.0\n" + row.format("Alpha") + "WIND   9.5   9.0\n" + row.format("Gamma") + "TOTAL LUZON   19.0\n"
+    rows = reports.plant_sheets(spark.createDataFrame([(1, sheet)], "report long, text string"), "report", "text", FUELS)
+    assert [(r.fuel, r.name) for r in rows.where("kind = 'row'").orderBy("line").collect()] == [("coal", "Alpha"), ("wind", "Gamma")]
+
+
 def test_project_list(spark):
     text = "5.00 TBD\nCOAL   10.50\n A 4.25 Mar-26 x 6.25 2027 Q3 2028\nWIND (NEW)  1.00\n B 1.00 2025\nWIND   3.00\n B 2.00 Completed\nCOAL  0.00"
     sections = reports.project_sections(spark.createDataFrame([(1, text), (2, None)], "report long, text string"), "report", "text", FUELS)
