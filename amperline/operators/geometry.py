@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from amperline.functions.names import folded
 from amperline.functions.numeric import half_up
 from amperline.operators.graph import routes
-from amperline.operators.joins import haversine_km
+from amperline.operators.joins import haversine_km, nearest_places
 from amperline.sources.tables import written
 
 KM_A_DEGREE = 111.0
@@ -48,20 +48,6 @@ def _cell(c: Column, side: float) -> Column:
     return F.floor(c / side)
 
 
-def _around(points: DataFrame, side: float) -> DataFrame:
-    x, y = _cell(F.col("lon"), side), _cell(F.col("lat"), side)
-    return points.withColumn("cx", F.explode(F.sequence(x - 1, x + 1))).withColumn("cy", F.explode(F.sequence(y - 1, y + 1)))
-
-
-def pairs_within(points: DataFrame, point: str, others: DataFrame, other: str, km: float) -> DataFrame:
-    """(point, other, km) of all pairs less than `km` apart."""
-    side = km / KM_A_DEGREE * 2
-    a = points.select(F.col(point), "lon", "lat", _cell(F.col("lon"), side).alias("cx"), _cell(F.col("lat"), side).alias("cy"))
-    b = _around(others.select(F.col(other).alias("_other"), "lon", "lat"), side).select("_other", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "cx", "cy")
-    apart = half_up(haversine_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")), 6)
-    return a.join(b, ["cx", "cy"]).select(F.col(point), F.col("_other").alias(other), apart.alias("km")).where(F.col("km") < km)
-
-
 def near_lines(points: DataFrame, vertices: DataFrame, line: str, place: str, km: float) -> DataFrame:
     """The points less than `km` from some line, each once: segments go to all the cells that they pass, points to theirs.
 
@@ -108,10 +94,10 @@ def snapped_graph(vertices: DataFrame, line: str, place: str, stations: DataFram
     step = haversine_km(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
     lengths = vertices.withColumn("km", step).groupBy(line).agg(F.round(F.sum(half_up(F.coalesce("km", F.lit(0.0)), 6).cast("decimal(18,6)")) * 1000).cast("long").alias("metres"), F.min_by(F.struct("lon", "lat"), place).alias("a"), F.max_by(F.struct("lon", "lat"), place).alias("b"))
     both = lengths.select(line, "metres", F.explode(F.array(F.struct(F.lit("u").alias("end"), "a.lon", "a.lat"), F.struct(F.lit("v").alias("end"), "b.lon", "b.lat"))).alias("p")).select(line, "metres", "p.*")
-    points = both.withColumn("end_id", F.struct(line, "end"))
-    near = pairs_within(points, "end_id", stations, station, snap_km).groupBy("end_id").agg(F.min(F.struct("km", station)).alias("n")).select("end_id", F.col(f"n.{station}").alias("_s"))
+    both = written(both, "line-ends")
+    near = nearest_places(both, stations, station, snap_km, lambda km: half_up(km, 6) < snap_km).select("lon", "lat", F.col(station).alias("_s"))
     at = stations.select(F.col(station).alias("_s"), node_key(F.col("lon"), F.col("lat"), digits).alias("_node"))
-    nodes = points.join(near.join(at, "_s"), "end_id", "left").select(line, "metres", "end", F.coalesce("_node", node_key(F.col("lon"), F.col("lat"), digits)).alias("node"))
+    nodes = both.join(near.join(at, "_s"), ["lon", "lat"], "left").select(line, "metres", "end", F.coalesce("_node", node_key(F.col("lon"), F.col("lat"), digits)).alias("node"))
     edges = nodes.groupBy(line, "metres").agg(F.max(F.when(F.col("end") == "u", F.col("node"))).alias("u"), F.max(F.when(F.col("end") == "v", F.col("node"))).alias("v"))
     return edges.where("u <> v").select(line, "u", "v", "metres")
 
@@ -151,8 +137,8 @@ def corridor_routes(edges: DataFrame, nodes: DataFrame, corridors: DataFrame, co
     points in a row have the same, or a leg has no path or one longer than four times the straight
     line and than it and 80 km. `forward`: the line goes from its u to its v.
     """
-    points = corridors.withColumn("_id", F.struct(corridor, place))
-    near = pairs_within(points, "_id", nodes, "node", end_km).groupBy("_id").agg(F.min(F.struct("km", "node"))["node"].alias("a")).select("_id.*", "a")
+    near = nearest_places(corridors, nodes, "node", end_km, lambda km: half_up(km, 6) < end_km)
+    near = corridors.join(near, ["lon", "lat"]).select(corridor, place, F.col("node").alias("a"))
     w = Window.partitionBy(corridor).orderBy(place)
     legs = corridors.select(corridor, place).join(near, [corridor, place], "left").select(corridor, F.col(place).alias("leg"), "a", F.lead("a").over(w).alias("b"), F.lead(place).over(w).isNull().alias("last"))
     legs = written(legs, "legs")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from amperline.operators import geometry, graph
+from amperline.operators import geometry, graph, joins
 
 EDGES = "line long, u string, v string, metres long"
 
@@ -104,3 +104,15 @@ def test_prefixes(spark):
     stations = spark.createDataFrame([(1, "San José"), (2, "San Roque"), (3, "SANTA"), (4, None), (5, "Sa")], "station long, name string")
     codes = spark.createDataFrame([("SAN",), ("sanjo",), ("Sa",), ("XYZ",), (None,)], "code string")
     assert sorted(map(tuple, geometry.prefix_candidates(codes, "code", stations, "station", "name").collect())) == [("SAN", 1), ("SAN", 2), ("SAN", 3), ("sanjo", 1)]
+
+
+def test_copies_at_one_place_are_looked_up_once(spark):
+    """The nearest of many: equal places take the least station, and the pairs compared do not grow with the square of the copies."""
+    places = [(120.0, 10.0), (120.001, 10.0), (120.1, 10.0), (121.0, 12.0)]
+    stations = spark.createDataFrame([(1000 - i, *places[i % 4]) for i in range(800)], "station long, lon double, lat double")
+    points = spark.createDataFrame([(i, 120.0004 + (i % 3) * 0.04, 10.0) for i in range(900)] + [(900, 121.0, 12.19), (901, None, 10.0)], "point long, lon double, lat double")
+    got = {r.point: (r.station, r.km) for r in joins.nearest(points, "point", stations, "station", 20.0).collect()}
+    least = {p: min(1000 - i for i in range(800) if i % 4 == p) for p in range(4)}
+    assert len(got) == 900 and got[0] == (least[0], 0.044) and got[1] == (least[1], 4.315) and got[2] == (least[2], 2.146)
+    looked = joins.nearest_places(points, stations, "station", 22.0, lambda km: km < 22.0)
+    assert looked.count() == 4 and looked.where("lat > 11").first().station == least[3]
