@@ -58,10 +58,15 @@ def load_sweep(stacked: DataFrame, grid: str, cost: str, base: int, start: int,
     return ends.select(grid, first("cheap").alias("first_over"), first("all").alias("first_short"))
 
 
-def tornado(blocks: DataFrame, grid: str, fuel: str, cost: str, mw: str, ties: list[str], demand: int, levers: DataFrame) -> DataFrame:
-    """Change of the summed price by each lever (lever, add, lever_fuel, scale) against 'base'."""
-    rows = blocks.join(F.broadcast(levers), how="cross").withColumn(cost, F.when(F.col(fuel) == F.col("lever_fuel"), F.col(cost) * F.col("scale")).otherwise(F.col(cost)))  # a handful of levers
-    out = clear(running_stack(rows, ["lever", grid], cost, mw, ties), ["lever", grid], cost, mw, F.lit(demand).cast("long") + F.col("add"), ties)
+def tornado(blocks: DataFrame, grid: str, fuel: str, cost: str, mw: str, demand: int, levers: DataFrame) -> DataFrame:
+    """Change of the summed price by each lever (lever, add, lever_fuel, scale) against 'base'.
+
+    Blocks of one cost reach the demand at one price, so a book is its MW at each cost (none under 0), and levers only meet those sums.
+    """
+    levels = blocks.groupBy(grid, fuel, cost).agg(F.sum(mw).alias(mw))
+    rows = levels.join(F.broadcast(levers), how="cross").withColumn(cost, F.when(F.col(fuel) == F.col("lever_fuel"), F.col(cost) * F.col("scale")).otherwise(F.col(cost)))  # a handful of levers
+    book = rows.groupBy("lever", "add", grid, cost).agg(F.sum(mw).alias(mw))
+    out = clear(running_stack(book, ["lever", grid], cost, mw, []), ["lever", grid], cost, mw, F.lit(demand).cast("long") + F.col("add"), [])
     prices = out.groupBy(grid, "lever").agg(F.max("price").cast("long").alias("price"))
     base = prices.where("lever = 'base'").select(grid, F.col("price").alias("base"))
     return prices.where("lever <> 'base'").join(base, grid).groupBy("lever").agg(F.sum(F.col("price") - F.col("base")).alias("delta"))

@@ -400,7 +400,7 @@ def tornado_all(spark, d):
 
 def _tornado(spark, blocks):
     levers = spark.createDataFrame([("base", 0, "", 1), ("load +5%", 400, "", 1), ("load -5%", -400, "", 1), ("A costs double", 0, "A", 2), ("N costs double", 0, "N", 2)], "lever string, add int, lever_fuel string, scale int")
-    return scenario.tornado(blocks, "grid", "fuel", "cost", "mw", _TIES, 8000, levers)
+    return scenario.tornado(blocks, "grid", "fuel", "cost", "mw", 8000, levers)
 
 
 @query(

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from amperline.operators import scenario
 from amperline.plans import catalog, market_plans
 
 SF = "/root/testdata/sf0.01"
@@ -122,3 +123,12 @@ def test_hours_reach_from_the_first_to_the_last(spark, tmp_path):
     first = int(day.replace(tzinfo=datetime.UTC).timestamp())
     assert got == {("a", first): 5.0, ("b", first + 40 * 86400): 7.0}
     assert market_plans._hours(spark, str(tmp_path)).count() == 2 * (40 * 24 + 1)
+
+
+def test_levers_over_books_of_equal_costs(spark):
+    """Blocks of one cost, also where a lever moves one fuel onto another's cost, reach the demand at one price."""
+    rows = [("g", "A", 2, 5), ("g", "A", 2, 5), ("g", "N", 4, 10), ("g", "N", 4, 5), ("h", "N", 3, 40)]
+    blocks = spark.createDataFrame(rows, "grid string, fuel string, cost int, mw long")
+    levers = spark.createDataFrame([("base", 0, "", 1), ("up", 10, "", 1), ("A", 0, "A", 2), ("N", 0, "N", 2)], "lever string, add int, lever_fuel string, scale int")
+    got = {r.lever: r.delta for r in scenario.tornado(blocks, "grid", "fuel", "cost", "mw", 20, levers).collect()}
+    assert got == {"up": 28, "A": 0, "N": 7}
