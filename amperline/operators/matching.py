@@ -23,12 +23,15 @@ def _grams(text: Column, n: int) -> Column:
 
 def _inside(outer: DataFrame, o: str, o_text: str, inner: DataFrame, i: str, i_text: str) -> DataFrame:
     """(o, i): the inner text stands in the outer one."""
+    own = inner.select(F.col(i).alias("_i"), F.col(i_text).alias("_it")).where(F.length("_it") > 0)
+    own = own.withColumn("_gs", F.when(F.length("_it") < GRAM, F.array("_it")).otherwise(_grams(F.col("_it"), GRAM)))
+    looked = own.select("_i", "_it", F.size("_gs").alias("_n"), F.explode("_gs").alias("_g"))
     rows = outer.select(F.col(o).alias("_o"), F.col(o_text).alias("_ot"))
-    index = reduce(DataFrame.unionByName, [rows.select("_o", "_ot", F.explode(_grams(F.col("_ot"), n)).alias("_g")) for n in range(1, GRAM + 1)])
+    every = reduce(DataFrame.unionByName, [rows.select("_o", "_ot", F.explode(_grams(F.col("_ot"), n)).alias("_g")) for n in range(1, GRAM + 1)])
+    index = every.join(looked.select("_g").distinct(), "_g", "left_semi")
     often = index.groupBy("_g").agg(F.count("*").alias("_often"))
-    own = inner.select(F.col(i).alias("_i"), F.col(i_text).alias("_it")).where(F.length("_it") > 0)
-    looked = own.select("_i", "_it", F.explode(F.when(F.length("_it") < GRAM, F.array("_it")).otherwise(_grams(F.col("_it"), GRAM))).alias("_g"))
-    rarest = looked.join(often, "_g").groupBy("_i", "_it").agg(F.min(F.struct("_often", "_g"))["_g"].alias("_g"))
+    # a text that has a run which no outer text has stands in none of them
+    rarest = looked.join(often, "_g").groupBy("_i", "_it", "_n").agg(F.count("*").alias("_found"), F.min(F.struct("_often", "_g"))["_g"].alias("_g")).where("_found >= _n").select("_i", "_it", "_g")
     return index.join(rarest, "_g").where(F.contains("_ot", F.col("_it"))).select(F.col("_o").alias(o), F.col("_i").alias(i))
 
 
@@ -51,7 +54,10 @@ def classify(resources: DataFrame, res: str, core: str, grid: str, plants: DataF
     own = resources.select(res, core, grid, F.regexp_replace(F.upper(core), "[^A-Z0-9]", "").alias("_n"))
     cores = own.select("_n").where(F.length("_n") >= least).distinct().withColumn("_c", F.col("_n"))
     named = plants.select("plant", F.col("grid").alias("_pg"), F.regexp_replace(F.upper("name"), "[^A-Z0-9]", "").alias("_pn"))
-    hits = one_in_the_other(cores, "_c", "_n", named, "plant", "_pn").join(named, "plant").groupBy("_c", "_pg").agg(F.min(F.struct("_pn", "plant"))["plant"].alias("_hit"))
+    # plants of one name in one grid match alike: the least of them stands for all, and each name is looked up once
+    firsts = named.groupBy("_pn", "_pg").agg(F.min("plant").alias("plant"))
+    names = named.select("_pn").distinct().withColumn("_name", F.col("_pn"))
+    hits = one_in_the_other(cores, "_c", "_n", names, "_name", "_pn").join(firsts, F.col("_name") == F.col("_pn")).groupBy("_c", "_pg").agg(F.min(F.struct("_pn", "plant"))["plant"].alias("_hit"))
     found = own.join(hits, (F.col("_n") == F.col("_c")) & (F.col(grid) == F.col("_pg")), "left")
     alias, alias_grid, extra = known(aliases, lambda v: v[0]), known(aliases, lambda v: v[1]), known(extras, lambda v: v)
     hint = reduce(lambda a, b: a | b, (F.contains(core, F.lit(h)) for h in hints), F.lit(False))

@@ -130,3 +130,11 @@ def test_storage_goes_down_the_day(spark):
     for d in range(4):
         order = [h for _, _, h in sorted((p, q, h) for a, h, p, q in hours if a == d)]
         assert {x.h for x in out if x.d == d and x.charge > 0} <= set(order[:3]) and {x.h for x in out if x.d == d and x.discharge > 0} <= set(order[-3:])
+
+
+def test_plants_of_one_name_are_looked_up_once(spark):
+    """Copies of a plant match as their least does: the rows compared do not grow with the copies."""
+    own = spark.createDataFrame([("R1", "COLD5", "a"), ("R2", "COLD5", "b"), ("R3", "LONGCOLD5NAME", "a"), ("R4", "COLX", "a")], "res string, core string, grid string")
+    plants = spark.createDataFrame([(900 - i, "Cold 5 Plant" if i % 2 else "Cold-5", "a") for i in range(400)], "plant long, name string, grid string")
+    got = {r.res: (r.outcome, r.plant) for r in matching.classify(own, "res", "core", "grid", plants, {}, {}, set(), ["ZZ"]).collect()}
+    assert got == {"R1": ("matched", "502"), "R2": ("unclassified", None), "R3": ("matched", "502"), "R4": ("unclassified", None)}
