@@ -94,23 +94,35 @@ def located(resources: DataFrame, res: str, grid: str, rungs: list[tuple[str, Da
     return resources.select(res).join(best, res, "left").select(res, "b.source", "b.site", "b.lon", "b.lat")
 
 
-def overlap_null_model(pools: DataFrame, named: DataFrame, marginal: DataFrame, key: str, resource: str, draws: int, seed: int) -> DataFrame:
+def overlap_null_model(pools: DataFrame, named: DataFrame, marginal: DataFrame, key: str, resource: str, draws: int, seed: int, in_row: int = 2000) -> DataFrame:
     """How often named resources are marginal, against names drawn at random: (keys, agree, null_mean, as_high, p_value).
 
     For each key as many names as are named (at most all) are drawn without replacement from its
     pool, `draws` times: a draw takes the names with the least md5 of (seed, draw, key, name), so
     draws are dealt by key and draw and repeat anywhere. p_value: (1 + draws that agree as often or
-    more) / (1 + draws). Keys without a pool, names or marginal resources are left out.
+    more) / (1 + draws). Keys without a pool, names or marginal resources are left out. A pool of at
+    most `in_row` names is drawn from in its row; a larger one goes by a sort of its names for each draw.
     """
-    cells = pools.select(key, resource).distinct()
-    hit = marginal.select(key, resource).distinct().withColumn("_m", F.lit(1))
-    k = named.select(key, resource).distinct().join(hit, [key, resource], "left").groupBy(key).agg(F.count("*").alias("_k"), F.max(F.coalesce("_m", F.lit(0))).alias("_hit"))
-    usable = k.join(hit.select(key).distinct(), key, "left_semi")
-    rows = cells.join(usable, key).join(hit, [key, resource], "left").select(key, resource, "_k", "_hit", F.coalesce("_m", F.lit(0)).alias("_m"))
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string"), F.col(resource).cast("string")))
-    place = F.row_number().over(Window.partitionBy(key, "draw").orderBy(h, resource))
-    drawn = each.withColumn("_place", place).where(F.col("_place") <= F.col("_k")).groupBy(key, "draw").agg(F.max("_m").alias("_null"), F.max("_hit").alias("_hit"))
+    parts = [df.select(key, resource, *(F.lit(int(i == j)).alias(c) for j, c in enumerate(("_pool", "_named", "_m")))) for i, df in enumerate((pools, named, marginal))]
+    cells = reduce(DataFrame.unionByName, parts).where(F.col(key).isNotNull()).groupBy(key, resource).agg(F.max("_pool").alias("_pool"), F.max("_named").alias("_named"), F.max("_m").alias("_any"))
+    cells = cells.withColumn("_m", F.when(F.col(resource).isNotNull(), F.col("_any")).otherwise(0))
+    sums = cells.groupBy(key).agg(F.sum("_pool").alias("_n"), F.sum("_named").alias("_k"), F.max(F.col("_named") * F.col("_m")).alias("_hit"), F.max("_any").alias("_any"))
+    usable = sums.where("_n > 0 AND _k > 0 AND _any = 1").select(key, "_n", F.col("_k").cast("int").alias("_k"), "_hit")
+    rows = cells.where("_pool = 1").select(key, resource, "_m").join(usable, key)
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+
+    def lot(name: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string"), name.cast("string")))
+
+    # draws multiply the rows after the shuffle, so small partitions must not be joined before them
+    spread = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.where(F.col("_n") <= in_row).repartition(spread, key).groupBy(key, "_k", "_hit").agg(F.collect_list(F.struct(F.col(resource).alias("r"), "_m")).alias("_p"))
+    order = F.sort_array(F.transform("_p", lambda x: F.struct(lot(x["r"]).alias("h"), x["r"].alias("r"), x["_m"].alias("m"))))
+    small = held.select(key, "_k", "_hit", "_p", every).select("draw", F.exists(F.slice(order, F.lit(1), F.col("_k")), lambda x: x["m"] == 1).cast("int").alias("_null"), "_hit")
+    each = rows.where(F.col("_n") > in_row).select("*", every)
+    place = F.row_number().over(Window.partitionBy(key, "draw").orderBy(lot(F.col(resource)), resource))
+    large = each.withColumn("_place", place).where(F.col("_place") <= F.col("_k")).groupBy(key, "draw").agg(F.max("_m").alias("_null"), F.max("_hit").alias("_hit")).select("draw", "_null", "_hit")
+    drawn = small.unionByName(large)
     totals = drawn.groupBy("draw").agg(F.count("*").alias("keys"), F.sum("_hit").alias("agree"), F.sum("_null").alias("null_agree"))
     n, high = F.count("*"), F.count_if(F.col("null_agree") >= F.col("agree"))
     return totals.agg(F.max("keys").alias("keys"), F.max("agree").alias("agree"), (F.sum("null_agree").cast("double") / n).alias("null_mean"), high.alias("as_high"), ((high + 1).cast("double") / (n + 1)).alias("p_value"))

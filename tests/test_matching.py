@@ -132,6 +132,18 @@ def test_storage_goes_down_the_day(spark):
         assert {x.h for x in out if x.d == d and x.charge > 0} <= set(order[:3]) and {x.h for x in out if x.d == d and x.discharge > 0} <= set(order[-3:])
 
 
+def test_null_model_in_rows_and_by_sorts(spark):
+    """Pools drawn from in their row and pools too large for that give the same draws; odd rows count as they do in the sets."""
+    rows = [(k, (k * 7 + i * 3) % 23, i) for k in range(30) for i in range(k % 9 + 1)] + [(None, 1, 0), (3, None, 0), (4, 2, 1)]
+    every = spark.createDataFrame(rows, "k long, v long, i int")
+    named, marginal = every.where("i < 3"), every.where("v % 3 = 0")
+    found = [tuple(matching.overlap_null_model(every, named, marginal, "k", "v", 20, 7, n).first()) for n in (0, 4, 2000)]
+    pool, names, hits = ({(k, v) for k, v, i in rows if k is not None and keep(v, i)} for keep in (lambda v, i: True, lambda v, i: i < 3, lambda v, i: v is not None and v % 3 == 0))
+    keys = {k for k, _ in names} & {k for k, _ in hits}
+    assert found[0] == found[1] == found[2]
+    assert found[0][:2] == (len(keys), sum(bool({x for x in names if x[0] == k} & hits) for k in keys))
+
+
 def test_plants_of_one_name_are_looked_up_once(spark):
     """Copies of a plant match as their least does: the rows compared do not grow with the copies."""
     own = spark.createDataFrame([("R1", "COLD5", "a"), ("R2", "COLD5", "b"), ("R3", "LONGCOLD5NAME", "a"), ("R4", "COLX", "a")], "res string, core string, grid string")
