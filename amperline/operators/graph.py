@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,40 +58,141 @@ def injections(located: DataFrame, unlocated: DataFrame, grid: str, bus: str, mw
     return own.join(rest, grid, "left").select(grid, bus, (F.col("mw") + F.coalesce("rest", F.lit(0.0)) * share).alias("mw"))
 
 
+def _ways(edges: DataFrame) -> DataFrame:
+    """(u, v, metres, line, forward) of each line in both directions; between two nodes only the shortest, of equal ones the least, as no other is ever on a way."""
+    own = written(edges.select("line", "u", "v", "metres"), "lines")
+    both = own.select("u", "v", "line", "metres", F.lit(True).alias("forward")).unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v"), "line", "metres", F.lit(False).alias("forward")))
+    least = both.groupBy("u", "v").agg(F.min(F.struct(F.col("metres").cast("long").alias("metres"), F.col("line").cast("long").alias("line"), "forward")).alias("w"))
+    return written(least.select("u", "v", "w.*"), "ways")
+
+
+def _spread(labels: DataFrame, ways: DataFrame, over: int, most: int) -> DataFrame:
+    """(s, node, way) one line on from labels (s, node, far), where that is more than `over` and at most `most` metres from s."""
+    on = labels.select("s", "node", "far").join(ways, F.col("node") == F.col("u")).where((F.col("far") + F.col("metres") > over) & (F.col("far") + F.col("metres") <= most))
+    way = F.struct((F.col("far") + F.col("metres")).alias("far"), F.col("u").alias("prev"), "line", "forward", F.col("metres").alias("own"))
+    return on.groupBy("s", F.col("v").alias("node")).agg(F.min(way).alias("way"))
+
+
+def _grown(labels: DataFrame, begun: DataFrame, ways: DataFrame, over: int, most: int) -> DataFrame:
+    """The labels (s, node, far, way) over `over` and up to `most`, where `labels` are all up to `over` and `begun` those of them that go on."""
+    def unknown(came):
+        return came.join(labels.select("s", "node"), ["s", "node"], "left_anti")
+
+    new = written(unknown(_spread(begun, ways, over, most)).withColumn("moved", F.lit(True)), "reached")
+    while True:
+        front = new.where("moved").select("s", "node", F.col("way.far").alias("far"))
+        came = unknown(_spread(front, ways, over, most)).select("s", "node", "way", F.lit(True).alias("came"))
+        both = new.select("s", "node", "way", F.lit(False).alias("came")).unionByName(came).groupBy("s", "node").agg(F.min("way").alias("way"), F.min(F.when(~F.col("came"), F.col("way.far"))).alias("old"))
+        # a way that is as short as the known one, but comes by a lesser node, changes the path and not the distance
+        new = written(both.select("s", "node", "way", (F.col("old").isNull() | (F.col("way.far") < F.col("old"))).alias("moved")), "reached")
+        if new.where("moved").isEmpty():
+            return new.select("s", "node", F.col("way.far").alias("far"), "way")
+
+
+def _ends(left: DataFrame, right: DataFrame, items: DataFrame) -> DataFrame:
+    every = left.select("item", F.col("a").alias("s")).unionByName(right.select("item", F.col("b").alias("s")))
+    return every.join(items, "item", "left_semi").select("s").distinct()
+
+
+def _meetings(edges: DataFrame, left: DataFrame, right: DataFrame, most: int, factor: float, met_at: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(meetings, labels, ways) of the pairs of nodes (item, a) of `left` and (item, b) of `right`, a <> b: at least those within `factor` of their item's least.
+
+    `met_at` makes of a step's meetings (item, a, b, node, way, left, metres) the rows (item, metres and others) that count.
+
+    Distances grow around all ends at once, in steps up to `reach`; a pair is looked up over the
+    lines that leave the distance of the step before around a and end within `reach` around b, which
+    gives every path of up to the sum of the two. So an end is spread over half a path, not over the
+    graph. An item ends when that sum passes `factor` times its least; those without a pair
+    end at `most` or where nothing is left to reach.
+    """
+    ways = _ways(edges)
+    step, longest = ways.groupBy("u").agg(F.min("metres").alias("least"), F.max("metres").alias("most")).agg(F.avg("least"), F.max("most")).first()
+    left, right = written(left.select("item", "a").distinct(), "left"), written(right.select("item", "b").distinct(), "right")
+    items = written(left.select("item").intersect(right.select("item")), "items")
+    labels = written(_ends(left, right, items).select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("far"), F.lit(None).cast("struct<far: bigint, prev: string, line: bigint, forward: boolean, own: bigint>").alias("way")), "labels")
+    size, reach, last, found, met = labels.count(), 0, 0, None, None
+    step = max(1.0, step or 1.0)
+    while longest is not None and not items.isEmpty():
+        before, reach = reach, min(most, reach + math.ceil(step))
+        ends = _ends(left, right, items)
+        new = _grown(labels, labels.join(ends, "s", "left_semi"), ways, before, reach)
+        n = new.count()
+        labels, size, last = labels.unionByName(new), size + n, reach if n else last
+        step = step * 2 if n < size / 4 else step
+        own_a = left.join(items, "item", "left_semi")
+        out = _spread(labels.where(F.col("far") <= before).join(own_a.select(F.col("a").alias("s")).distinct(), "s", "left_semi"), ways, before, min(most, before + reach))
+        out = out.join(own_a, F.col("s") == F.col("a")).select("item", "a", "node", "way")
+        back = labels.join(right.join(items, "item", "left_semi"), F.col("s") == F.col("b")).select("item", "b", "node", F.col("far").alias("left"))
+        total = F.col("way.far") + F.col("left")
+        meet = out.join(back, ["item", "node"]).where((F.col("a") != F.col("b")) & (total <= min(most, before + reach))).withColumn("metres", total)
+        own = written(met_at(meet).withColumn("before", F.lit(before).cast("long")), "meetings")
+        met = own if met is None else met.unionByName(own)
+        found = met.groupBy("item").agg(F.min("metres").alias("least")).where(F.col("least") * factor <= before + reach)
+        if before + reach >= most or reach - last > longest:
+            break
+        items = written(items.join(found, "item", "left_anti"), "items")
+    return met, labels, ways
+
+
+def closest_pairs(edges: DataFrame, left: DataFrame, right: DataFrame, most: int, factor: float, counts: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(item, a, b, metres) of the pairs of an (item, a) of `left` and an (item, b) of `right` whose shortest path is within `factor` of their item's shortest and `most`, a <> b.
+
+    Pairs farther apart are not looked up. `counts` may leave out pairs or put others (item, metres and more) in their place before the shortest is taken; its other columns are then the pair's.
+    """
+    seen: list[DataFrame] = []
+
+    def met_at(own: DataFrame) -> DataFrame:
+        new = own.groupBy("item", "a", "b").agg(F.min("metres").alias("metres"))
+        # a pair met before can be met again by a longer way
+        seen.append(written(reduce(lambda df, old: df.join(old, ["item", "a", "b"], "left_anti"), seen, new), "close-pairs"))
+        return counts(seen[-1])
+
+    met, _, _ = _meetings(edges, left, right, most, factor, met_at)
+    if met is None:
+        return counts(left.join(right, "item").withColumn("metres", F.lit(0).cast("long")).limit(0))
+    pair = [c for c in met.columns if c not in ("metres", "before")]
+    least = F.min("metres").over(Window.partitionBy("item"))
+    return met.groupBy(*pair).agg(F.min("metres").alias("metres")).withColumn("_least", least).where(F.col("metres") <= F.col("_least") * factor).drop("_least")
+
+
 def routes(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     """(a, b, hop, line, forward, line_metres, metres): the lines of a shortest path of at most `most` metres for each pair, in order from a.
 
-    `edges`: (line, u, v, metres), metres a whole number over 0. All sources spread at once, each
-    round only what the last one improved, and carry the node and line that they came by: of equally
-    short ways the one by the least node, then the least line. Paths are then read backwards from
-    their ends, one step of all paths a round. Pairs without a path have no rows.
+    `edges`: (line, u, v, metres), metres a whole number over 0. Of equally short ways to a node the
+    one by the least node counts, then the least line. Both ends spread over half of a path (see
+    `_meetings`). What lies on a shortest path beyond the half around a is then marked from the
+    meetings on towards b, and paths are read backwards from b. Pairs without a path have no rows.
     """
     spark = edges.sparkSession
-    forth = edges.select(F.col("u").alias("_from"), F.col("v").alias("_to"), "line", "metres", F.lit(True).alias("forward"))
-    out = written(forth.unionByName(edges.select(F.col("v").alias("_from"), F.col("u").alias("_to"), "line", "metres", F.lit(False).alias("forward"))), "ways")
-    came = "struct<metres: bigint, prev: string, line: bigint, forward: boolean, own: bigint>"
-    best = written(pairs.select("a").distinct().select("a", F.col("a").alias("node"), F.lit(None).cast(came.replace(": ", ":")).alias("way"), F.lit(0).cast("long").alias("far")), "reached")
-    front = best.select("a", "node", "far")
+    wanted = written(pairs.select("a", "b").where("a <> b").distinct().withColumn("item", F.monotonically_increasing_id()), "pairs")
+    shortest = F.min("metres").over(Window.partitionBy("item"))
+    met, labels, ways = _meetings(edges, wanted.select("item", "a"), wanted.select("item", "b"), most, 1.0, lambda own: own.withColumn("least", shortest).where("metres = least").drop("least"))
+    if met is None:
+        return spark.createDataFrame([], "a string, b string, hop int, line long, forward boolean, line_metres long, metres long")
+    known = labels.select("s", "node", "far")
+    by = met.select("item", "node", "way.prev", "way.line", "way.forward", "way.own")
+    front = met.select("item", "b", "node", "left")
     while not front.isEmpty():
-        step = front.join(out, F.col("node") == F.col("_from")).where(F.col("far") + F.col("metres") <= most)
-        way = F.struct((F.col("far") + F.col("metres")).alias("metres"), F.col("_from").alias("prev"), F.col("line").cast("long").alias("line"), "forward", F.col("metres").alias("own"))
-        new = step.groupBy("a", F.col("_to").alias("node")).agg(F.min(way).alias("new"))
-        both = best.join(new, ["a", "node"], "full")
-        # a way that is as short as the known one, but comes by a lesser node, changes the path and not the distance
-        lower = F.col("far").isNull() | (F.col("new.metres") < F.col("far"))
-        better = lower | ((F.col("new.metres") == F.col("far")) & F.col("way").isNotNull() & (F.col("new") < F.col("way")))
-        take = F.col("new").isNotNull() & better
-        best = written(both.select("a", "node", F.when(take, F.col("new")).otherwise(F.col("way")).alias("way"), F.when(take, F.col("new.metres")).otherwise(F.col("far")).alias("far"), (take & lower).alias("moved")), "reached")
-        front = best.where("moved").select("a", "node", "far")
-        best = best.drop("moved")
-    ends = pairs.select("a", "b").where("a <> b").distinct().join(best.select("a", F.col("node").alias("b"), F.col("far").alias("total")), ["a", "b"])
-    at = written(ends.select("a", "b", "total", F.col("b").alias("node"), F.lit(0).alias("back")), "path-ends")
-    found = None
+        on = front.where("left > 0").join(ways, F.col("node") == F.col("u")).where("metres <= left").select("item", F.col("b").alias("s"), F.col("v").alias("node"), F.col("u").alias("prev"), "line", "forward", F.col("metres").alias("own"), (F.col("left") - F.col("metres")).alias("far"))
+        on = written(on.join(known, ["s", "node", "far"]), "path-ways")
+        by = by.unionByName(on.select("item", "node", "prev", "line", "forward", "own"))
+        front = on.select("item", F.col("s").alias("b"), "node", F.col("far").alias("left")).distinct()
+    came = F.struct("prev", "line", "forward", "own")
+    beyond = written(by.groupBy("item", "node").agg(F.min(came).alias("way")).select("item", "node", "way.*"), "path-tree")
+    within = labels.where("way IS NOT NULL").select(F.col("s").alias("a"), "node", "way.prev", "way.line", "way.forward", "way.own")
+    ends = wanted.join(met.select("item", F.col("metres").alias("total")).distinct(), "item")
+    at = written(ends.select("item", "a", "b", "total", F.col("b").alias("node"), F.lit(0).alias("back")), "path-ends")
+    steps = ["item", "a", "b", "total", "back", "prev", "line", "forward", "own"]
+    found, inner = [], []
     while not at.isEmpty():
-        own = written(at.join(best.where("way IS NOT NULL"), ["a", "node"]).select("a", "b", "total", "back", "way.*"), "path-steps")
-        found = own if found is None else found.unionByName(own)
-        at = own.where("prev <> a").select("a", "b", "total", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
-    if found is None:
-        return spark.createDataFrame([], "a string, b string, hop int, line long, forward boolean, line_metres long, metres long")
-    hops = F.max("back").over(Window.partitionBy("a", "b"))
-    return found.select("a", "b", (hops - F.col("back")).alias("hop"), "line", "forward", F.col("own").alias("line_metres"), F.col("total").alias("metres"))
+        own = written(at.join(beyond, ["item", "node"], "left").select(*steps, "node"), "path-steps")
+        found.append(own.where("prev IS NOT NULL").select(*steps))
+        inner.append(own.where("prev IS NULL AND node <> a").select("item", "a", "b", "total", "node", "back"))
+        at = own.where("prev IS NOT NULL").select("item", "a", "b", "total", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
+    at = reduce(DataFrame.unionByName, inner)
+    while not at.isEmpty():
+        own = written(at.join(within, ["a", "node"]).select(*steps), "path-steps")
+        found.append(own)
+        at = own.where("prev <> a").select("item", "a", "b", "total", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
+    hops = F.max("back").over(Window.partitionBy("item"))
+    return reduce(DataFrame.unionByName, found).select("a", "b", (hops - F.col("back")).alias("hop"), "line", "forward", F.col("own").alias("line_metres"), F.col("total").alias("metres"))

@@ -116,3 +116,43 @@ def test_copies_at_one_place_are_looked_up_once(spark):
     assert len(got) == 900 and got[0] == (least[0], 0.044) and got[1] == (least[1], 4.315) and got[2] == (least[2], 2.146)
     looked = joins.nearest_places(points, stations, "station", 22.0, lambda km: km < 22.0)
     assert looked.count() == 4 and looked.where("lat > 11").first().station == least[3]
+
+
+def test_ends_spread_over_half_a_path(spark):
+    """A pair close together on a long chain reaches a few nodes, not the chain."""
+    edges = spark.createDataFrame([(i, f"n{i:03}", f"n{i + 1:03}", 10) for i in range(120)], EDGES)
+    left, right = (spark.createDataFrame([(1, x)], f"item long, {s} string") for s, x in (("a", "n050"), ("b", "n054")))
+    met, labels, _ = graph._meetings(edges, left, right, 10**6, 1.0, lambda own: own)
+    assert met.agg({"metres": "min"}).first()[0] == 40 and labels.count() < 20
+
+
+def test_routes_with_ties_everywhere(spark):
+    """On a grid of equal lines the path goes back from its end by the least node, then the least line, of those on a shortest path."""
+    at = lambda x, y: f"{x}{y}"
+    lines = [(at(x, y), at(x + dx, y + dy)) for x in range(5) for y in range(5) for dx, dy in ((1, 0), (0, 1)) if x + dx < 5 and y + dy < 5] * 2
+    edges = spark.createDataFrame([(100 - i, *(e if i % 3 else e[::-1]), 7) for i, e in enumerate(lines)], EDGES)
+    pairs = [("00", "44"), ("40", "04"), ("12", "33"), ("44", "00")]
+    got = {}
+    for r in graph.routes(edges, spark.createDataFrame(pairs, "a string, b string"), 10**6).orderBy("hop").collect():
+        got.setdefault((r.a, r.b), []).append((r.line, r.forward))
+    ways = [(u, v, 100 - i, i % 3 > 0) for i, (u, v) in enumerate(lines)]
+    ways += [(v, u, line, not f) for u, v, line, f in ways]
+    far = lambda a, b: abs(int(a[0]) - int(b[0])) + abs(int(a[1]) - int(b[1]))
+    for a, b in pairs:
+        want, node = [], b
+        while node != a:
+            u, line, f = min((u, line, f) for u, v, line, f in ways if v == node and far(a, u) + 1 == far(a, node))
+            want.insert(0, (line, f))
+            node = u
+        assert got[a, b] == want
+
+
+def test_closest_pairs(spark):
+    """All pairs within the factor of their item's shortest; pairs that do not count leave the shortest to others; none where no path is."""
+    lines = [("a", "m", 10), ("m", "b", 10), ("m", "c", 13), ("m", "d", 30), ("x", "y", 5)]
+    edges = spark.createDataFrame([(i, *e) for i, e in enumerate(lines)], EDGES)
+    left = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "m"), (4, "b")], "item long, a string")
+    right = spark.createDataFrame([(1, "b"), (1, "c"), (1, "d"), (2, "x"), (3, "c"), (3, "d"), (4, "b"), (4, "m"), (5, "a")], "item long, b string")
+    found = lambda *more: sorted(map(tuple, graph.closest_pairs(edges, left, right, 1000, 1.2, *more).select("item", "a", "b", "metres").collect()))
+    assert found() == [(1, "a", "b", 20), (1, "a", "c", 23), (3, "a", "c", 23), (4, "b", "m", 10), (4, "m", "b", 10)]
+    assert found(lambda pairs: pairs.where("metres > 25")) == [(1, "a", "d", 40), (3, "a", "d", 40)]
