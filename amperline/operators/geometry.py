@@ -117,7 +117,7 @@ def best_pairs(items: DataFrame, item: str, near_a: DataFrame, near_b: DataFrame
     near_a and near_b: (item, a) and (item, b); paths: (a, b, metres); places: (station, lon, lat).
     Another pair is the same place if both its stations are less than `same_km` from the best pair's.
     """
-    scored = items.select(item).join(near_a, item).join(near_b, item).join(paths, ["a", "b"])
+    scored = items.select(item).join(near_a, item).join(paths, "a").join(near_b, [item, "b"])
     first = Window.partitionBy(item)
     best = F.min(F.struct("metres", "a", "b")).over(first)
     close = scored.withColumn("best", best).where(F.col("metres") < F.col("best.metres") * factor).select(item, "a", "b", "best")

@@ -213,8 +213,8 @@ def best_pair(spark, d):
     near = {}
     for side in "ab":
         found = geometry.prefix_candidates(codes.select(F.col(f"code_{side}").alias("code")), "code", st, "station", "name")
-        near[side] = codes.select("item", F.col(f"code_{side}").alias("code")).join(found, "code").select("item", F.col("station").alias(side))
-    nodes = {side: st.select(F.col("station").alias(side), F.col("node").alias(f"node_{side}")) for side in "ab"}
-    pairs = near["a"].join(near["b"], "item").select("a", "b").distinct().join(nodes["a"], "a").join(nodes["b"], "b")
-    lengths = graph.routes(_graph(spark, d), pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), 60_000).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "metres").distinct()
-    return geometry.best_pairs(codes, "item", near["a"], near["b"], pairs.join(lengths, ["node_a", "node_b"]).select("a", "b", "metres"), st)
+        near[side] = written(codes.select("item", F.col(f"code_{side}").alias("code")).join(found, "code").select("item", F.col("station").alias(side)).join(st.select(F.col("station").alias(side), F.col("node").alias(f"node_{side}")), side), f"near-{side}")
+    ends = {side: near[side].select("item", F.col(f"node_{side}").alias(side)) for side in "ab"}
+    close = graph.closest_pairs(_graph(spark, d), ends["a"], ends["b"], 60_000, 1.2).withColumnsRenamed({"a": "node_a", "b": "node_b"})
+    paths = close.join(near["a"], ["item", "node_a"]).join(near["b"], ["item", "node_b"]).groupBy("a", "b").agg(F.min("metres").alias("metres"))
+    return geometry.best_pairs(codes, "item", near["a"].select("item", "a"), near["b"].select("item", "b"), paths, st)
