@@ -9,6 +9,7 @@ from amperline.operators import desk, geometry, graph, stack
 from amperline.operators import windows as win
 from amperline.plans.common import EVENTS, intervals, mean, r, table
 from amperline.plans.map_plans import _GRAPH, _STATION_NODES, _graph, _km, _routes_sql, _station_nodes
+from amperline.sources.tables import written
 
 QUERIES, ORACLE = {}, {}
 
@@ -62,10 +63,19 @@ def equipment_match(spark, d):
     candidates = geometry.prefix_candidates(tokens, "token", named, "station", "name").join(named.select("station", "voltage"), "station")
     lines = own.where(F.regexp_extract("code", desk.TRANSFORMER, 1) == "").select("code", F.regexp_extract("code", desk.CIRCUIT, 1).alias("x"), F.regexp_extract("code", desk.CIRCUIT, 2).alias("y"))
     a, b = (lines.join(candidates, F.col(x) == F.col("token")).select("code", F.col("station").alias(s)) for x, s in (("x", "a"), ("y", "b")))
-    nodes = {s: named.select(F.col("station").alias(s), F.col("node").alias(f"node_{s}"), F.col("lon").alias(f"lon_{s}"), F.col("lat").alias(f"lat_{s}")) for s in "ab"}
-    pairs = a.join(b, "code").select("a", "b").distinct().join(nodes["a"], "a").join(nodes["b"], "b")
-    lengths = graph.routes(_graph(spark, d), pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), 200_000).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "metres").distinct()
-    paths = geometry.without_detours(pairs.join(lengths, ["node_a", "node_b"]), "metres").select("a", "b", "metres")
+    sides = {}
+    for side, own_side in (("a", a), ("b", b)):
+        at = named.select(F.col("station").alias(side), F.col("node").alias(f"node_{side}"), F.col("lon").alias(f"lon_{side}"), F.col("lat").alias(f"lat_{side}"))
+        sides[side] = written(own_side.withColumnRenamed("code", "item").join(at, side), f"sides-{side}")
+
+    def plausible(found):
+        pairs = found.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(sides["a"], ["item", "node_a"]).join(sides["b"], ["item", "node_b"])
+        return geometry.without_detours(pairs, "metres").select("item", "a", "b", "metres")
+
+    ends = {s: sides[s].select("item", F.col(f"node_{s}").alias(s)) for s in "ab"}
+    # only pairs within 1.2 times a code's best can be its best one or that one's rivals
+    close = graph.closest_pairs(_graph(spark, d), ends["a"], ends["b"], 200_000, 1.2, plausible)
+    paths = close.groupBy("a", "b").agg(F.min("metres").alias("metres"))
     return desk.match_report(own, "code", "volts", candidates, paths, named)
 
 
