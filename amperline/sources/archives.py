@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from amperline.sources.files import csv_fields
 
 ROWS_A_BATCH = 10_000
+#: Marks in a line that open the sections of a merit-order member.
+SECTIONS = {"Offers Not Dispatched": "not dispatched", "Offers Dispatched": "dispatched"}
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,40 +67,54 @@ def csv_members(files: DataFrame, needed: list[str]) -> DataFrame:
     return files.select("path", "content").mapInArrow(read, ", ".join(f"`{c}` string" for c in ["path", "member", *needed]))
 
 
+def _sectioned(lines: Iterator[str]) -> Iterator[tuple[int, str, str, str | None, bool]]:
+    """(number, line, first line, section, whether it opens that) of each line that is neither blank nor the EOF mark."""
+    first = section = None
+    for i, line in enumerate(lines):
+        own = line.rstrip("\r\n")
+        if own.strip() in ("", "EOF"):
+            continue
+        first = own if first is None else first
+        opens = False
+        for mark, side in SECTIONS.items():
+            if mark in own:
+                opens, section = True, side
+                break
+        yield i, own, first, section, opens
+
+
 def line_members(files: DataFrame) -> DataFrame:
-    """(path, member, line_no, line) of every line of the members that is neither blank nor the EOF mark."""
+    """(path, member, line_no, line, first, section, opens) of every line of the members that is neither blank nor the EOF mark.
+
+    `first` is the member's first such line, `section` the last of SECTIONS that a line up to this one opens: the task that reads a member knows them, so no line is sent to another for them.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((path, name, i, own) for path, name, text in _opened(batches) for i, line in enumerate(text) if (own := line.rstrip("\r\n")).strip() not in ("", "EOF"))
-        yield from _batched(rows, [pa.string(), pa.string(), pa.int64(), pa.string()], ["path", "member", "line_no", "line"])
+        rows = ((path, name, *own) for path, name, text in _opened(batches) for own in _sectioned(text))
+        yield from _batched(rows, [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()], ["path", "member", "line_no", "line", "first", "section", "opens"])
 
-    return files.select("path", "content").mapInArrow(read, "path string, member string, line_no long, line string")
+    return files.select("path", "content").mapInArrow(read, "path string, member string, line_no long, line string, first string, section string, opens boolean")
 
 
 def merit_sections(lines: DataFrame) -> DataFrame:
-    """(path, member, stamp, side, line_no, resource, mw, block, running_total) of merit-order members.
+    """(path, member, stamp, side, line_no, resource, mw, block, running_total) of merit-order members, from `line_members`.
 
     A member's first line is its stamp. A line that names a section opens it; rows before the first section,
-    header rows and rows that are no four numbers-to-be are left out. The window is one member, a small file.
+    header rows and rows that are no four numbers-to-be are left out.
     """
-    member = Window.partitionBy("path", "member").orderBy("line_no")
-    opens = F.when(F.contains("line", F.lit("Offers Not Dispatched")), "not dispatched").when(F.contains("line", F.lit("Offers Dispatched")), "dispatched")
     part = F.split("line", ",")
-    seen = lines.select(
+    seen = lines.where("NOT opens AND section IS NOT NULL").where(~F.startswith("line", F.lit("Resource ID"))).select(
         "path",
         "member",
+        F.trim("first").alias("stamp"),
+        F.col("section").alias("side"),
         "line_no",
-        F.trim(F.first("line").over(member)).alias("stamp"),
-        opens.alias("opens"),
-        F.last(opens, ignorenulls=True).over(member).alias("side"),
-        F.startswith("line", F.lit("Resource ID")).alias("header"),
         F.trim(F.get(part, F.lit(0))).alias("resource"),
         F.get(part, F.lit(1)).try_cast("double").alias("mw"),
         F.get(part, F.lit(2)).try_cast("int").alias("block"),
         F.get(part, F.lit(3)).try_cast("double").alias("running_total"),
     )
-    full = seen.where("opens IS NULL AND side IS NOT NULL AND NOT header AND mw IS NOT NULL AND block IS NOT NULL AND running_total IS NOT NULL")
-    return full.drop("opens", "header")
+    return seen.where("mw IS NOT NULL AND block IS NOT NULL AND running_total IS NOT NULL")
 
 
 def after_preamble(texts: DataFrame, mark: str, schema: str, key: str, keep: list[str]) -> DataFrame:

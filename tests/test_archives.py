@@ -31,6 +31,16 @@ def test_sections_and_running_totals(spark):
     assert [r.faults for r in archives.running_total_faults(rows, ["path", "member"]).collect()] == [1]
 
 
+def test_sections_move_no_line(spark):
+    """A member's stamp and sections come from the task that reads it; sections open again, and marks and lines before them are no rows."""
+    text = "\n stamp \nA,1,1,1\nx Offers Dispatched,1,1,1\nB,2,1,2\nOffers Not Dispatched\nC,3,1,3\nOffers Dispatched\nResource ID,4,1,4\nD,5,2,7\n"
+    files = spark.createDataFrame([("p", _zip({"m": text, "n": "only\n"}))], "path string, content binary")
+    rows = archives.merit_sections(archives.line_members(files))
+    got = [(r.stamp, r.side, r.line_no, r.resource) for r in rows.collect()]
+    assert got == [("stamp", "dispatched", 4, "B"), ("stamp", "not dispatched", 6, "C"), ("stamp", "dispatched", 9, "D")]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def _faults(spark, *sections):
     rows = [("m", side, 10 * k + i, float(mw), float(total)) for k, (side, own) in enumerate(sections) for i, (mw, total) in enumerate(own)]
     return archives.running_total_faults(spark.createDataFrame(rows, "member string, side string, line_no long, mw double, running_total double"), ["member"]).first().faults
