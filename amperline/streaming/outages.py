@@ -7,23 +7,23 @@ provisional windows, and a streak that no clear has ended gives one of an hour (
 key's later rows replace its earlier provisional ones, so the result at any time is what a batch
 over all events so far would give. Events later than the delay are left out.
 
-Needs the RocksDB state store, which is set for the query only; the state is one open block and
-the waiting events of each key.
+The RocksDB state store is set for the query only; the state is one row a key: the open block, a
+version and the waiting events as JSON.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOUR_US = 3_600_000_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_COLUMNS = ["version", "start_us", "end_us", "open", "final"]
 
 
 def pair(begun: int | None, events: list[tuple[int, int, bool]]) -> tuple[list[tuple[int, int]], int | None]:
@@ -38,49 +38,26 @@ def pair(begun: int | None, events: list[tuple[int, int, bool]]) -> tuple[list[t
     return closed, begun
 
 
-class OutagePairs(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.begun = handle.getValueState("begun", "us long")
-        self.version = handle.getValueState("version", "n long")
-        self.waiting = handle.getListState("waiting", "us long, place long, block boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(a), int(b), bool(c)) for pdf in rows for a, b, c in zip(pdf["us"], pdf["place"], pdf["block"], strict=True)]
-        yield self._step(key, came, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._step(key, [], timerValues)
-
-    def _step(self, key, came, timers) -> pd.DataFrame:
-        waiting = [(int(a), int(b), bool(c)) for a, b, c in self.waiting.get()] if self.waiting.exists() else []
-        events = sorted(waiting + came)
-        passed = timers.getCurrentWatermarkInMs() * 1000
-        settled, left = [e for e in events if e[0] < passed], [e for e in events if e[0] >= passed]
-        begun = int(self.begun.get()[0]) if self.begun.exists() else None
-        closed, begun = pair(begun, settled)
-        version = 1 + (int(self.version.get()[0]) if self.version.exists() else 0)
-        rows = [(version, a, b, False, True) for a, b in closed]
-        later, tail = pair(begun, left)
-        rows += [(version, a, b, False, False) for a, b in later]
-        # the last row says that what this key gave before is replaced, also where nothing is open
-        rows.append((version, tail, None if tail is None else tail + HOUR_US, True, False))
-        self.version.update((version,))
-        if begun is None:
-            self.begun.clear()
-        else:
-            self.begun.update((begun,))
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        out = pd.DataFrame(rows, columns=_COLUMNS).astype({"start_us": "Int64", "end_us": "Int64"})
-        out.insert(0, "key", [key[0]] * len(out))
-        return out
-
-    def close(self) -> None:
-        pass
+def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A key's windows after more of its events, or after a timer; the key's state is read and written once."""
+    begun, version, text = state.get if state.exists else (None, 0, "[]")
+    events = [tuple(e) for e in json.loads(text)]
+    for pdf in rows:
+        events += zip(pdf["us"].tolist(), pdf["place"].tolist(), pdf["block"].tolist(), strict=True)
+    events.sort()
+    passed = state.getCurrentWatermarkMs() * 1000
+    settled, left = [e for e in events if e[0] < passed], [e for e in events if e[0] >= passed]
+    closed, begun = pair(begun, settled)
+    later, tail = pair(begun, left)
+    version += 1
+    out = [(a, b, False, True) for a, b in closed] + [(a, b, False, False) for a, b in later]
+    # the last row says that what this key gave before is replaced, also where nothing is open
+    out.append((tail, None if tail is None else tail + HOUR_US, True, False))
+    state.update((begun, version, json.dumps(left)))
+    if left:
+        state.setTimeoutTimestamp(left[0][0] // 1000 + 1)
+    start, end, still, final = zip(*out, strict=True)
+    yield pd.DataFrame({"key": [key[0]] * len(out), "version": [version] * len(out), "start_us": pd.array(start, "Int64"), "end_us": pd.array(end, "Int64"), "open": still, "final": final})
 
 
 def outage_windows(events: DataFrame, key: str, ts: str, place: str, is_block: Column, is_clear: Column, delay: str, folder: str, checkpoint: str) -> DataFrame:
@@ -89,7 +66,7 @@ def outage_windows(events: DataFrame, key: str, ts: str, place: str, is_block: C
     kind = F.when(is_block, True).when(is_clear, False)
     marks = events.withWatermark(ts, delay).withColumn("block", kind).where(F.col("block").isNotNull())
     marks = marks.select(F.col(key).cast("long").alias("key"), ts, F.unix_micros(ts).alias("us"), F.col(place).cast("long").alias("place"), "block")
-    windows = marks.groupBy("key").transformWithStateInPandas(OutagePairs(), "key long, version long, start_us long, end_us long, open boolean, final boolean", "Append", "EventTime")
+    windows = marks.groupBy("key").applyInPandasWithState(step, "key long, version long, start_us long, end_us long, open boolean, final boolean", "begun long, version long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:

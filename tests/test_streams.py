@@ -72,6 +72,33 @@ def test_events_later_than_the_delay_are_left_out(feed):
     assert [(a, b.replace(tzinfo=None), c.replace(tzinfo=None), o) for a, b, c, o in got] == [(1, at(0), at(60), False), (1, at(10_000), at(10_060), True)]
 
 
+def test_a_key_s_state_is_written_once_a_step():
+    """The open block and what waits go into one row of state; a timer is set for the first waiting event."""
+    import pandas as pd
+
+    class State:
+        exists, puts, timers, watermark = False, 0, [], 0
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+        def update(self, value):
+            self.get, self.exists, self.puts = value, True, self.puts + 1
+
+        def setTimeoutTimestamp(self, at):
+            self.timers = [*self.timers, at]
+
+    state, s = State(), 1_000_000
+    frames = [pd.DataFrame({"us": [5 * s, 2 * s], "place": [2, 1], "block": [False, True]}), pd.DataFrame({"us": [9 * s], "place": [3], "block": [True]})]
+    (out,) = outages.step((7,), iter(frames), state)
+    assert out[["version", "start_us", "open", "final"]].values.tolist() == [[1, 2 * s, False, False], [1, 9 * s, True, False]]
+    assert state.puts == 1 and state.timers == [2001]
+    state.watermark = 6000
+    (out,) = outages.step((7,), iter([]), state)
+    assert out[["version", "start_us", "open", "final"]].values.tolist() == [[2, 2 * s, False, True], [2, 9 * s, True, False]]
+    assert state.puts == 2 and state.timers == [2001, 9001]
+
+
 def test_late_and_revised_rows_correct_their_days(feed):
     first = [(i, 240 * i, "a", 1, i) for i in range(30)]
     late = [(100 + i, 60 + 240 * i, "a", 2, 5) for i in range(3)]
