@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amperline.sources.tables import written
@@ -155,44 +155,173 @@ def closest_pairs(edges: DataFrame, left: DataFrame, right: DataFrame, most: int
     return met.groupBy(*pair).agg(F.min("metres").alias("metres")).withColumn("_least", least).where(F.col("metres") <= F.col("_least") * factor).drop("_least")
 
 
-def routes(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+def _placed(nodes: DataFrame, places: DataFrame | None) -> DataFrame:
+    """`nodes` (node, id) with x, y, z, whole metres from the middle of the earth; null without a place."""
+    at = nodes.select("node").limit(0).select("node", F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat")) if places is None else places.groupBy("node").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"))
+    lon, lat = F.radians("lon"), F.radians("lat")
+    xyz = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    return nodes.join(at, "node", "left").select("node", "id", *(F.round(c * 6_371_000).cast("int").alias(k) for k, c in xyz.items()))
+
+
+def _straight(one: str, other: str) -> Column:
+    return F.sqrt(reduce(lambda a, b: a + b, (F.pow((F.col(f"{one}{k}") - F.col(f"{other}{k}")).cast("double"), 2) for k in "xyz")))
+
+
+def _broadcast(df: DataFrame, n: int, most: int) -> DataFrame:
+    return F.broadcast(df) if n < most else df
+
+
+class _Searches:
+    """Spreads from a node towards a target, each within half a budget and only to where the budget may still reach the target.
+
+    `lines`: (u, v, metres, x, y, z), place of v. A way from any node to a target is at least `rate`
+    times their straight line less `slack` metres; rate 0 where places are not known.
+    """
+
+    SMALL = 100_000
+
+    def __init__(self, lines: DataFrame, rate: float = 0.0, slack: float = 0.0) -> None:
+        self.lines, self.rate, self.slack = lines, rate, slack
+
+    def _on(self, front: DataFrame, searches: DataFrame, within: Callable[[Column, Column], Column]) -> DataFrame:
+        """(search, node, u, far) one line on from `front` (search, node, far), where `within` holds for the distance and the search's half."""
+        asked = searches.select("search", "budget", *(F.col(k).alias(f"t{k}") for k in "xyz"))
+        # of an odd budget the second of a pair's two searches has the greater half
+        half = F.floor((F.col("budget") + F.col("search") % 2) / 2)
+        far = F.col("far") + F.col("metres")
+        on = front.join(asked, "search").join(self.lines, F.col("node") == F.col("u")).where(within(far, half))
+        if self.rate:
+            on = on.where(far + F.greatest(F.lit(0.0), self.rate * _straight("", "t") - self.slack) <= F.col("budget"))
+        return on.select("search", F.col("v").alias("node"), "u", far.alias("far"))
+
+    def reached(self, searches: DataFrame) -> DataFrame:
+        """(search, node, far) of `searches` (search, node, budget, x, y, z), x, y, z the target's; far is least for all nodes on shortest ways to the target within the budget."""
+        state = written(searches.select("search", "node", F.lit(0).cast("long").alias("far")), "reached")
+        front, size, late = state, state.count(), False
+        moved = size
+        while moved:
+            came = self._on(_broadcast(front, moved, self.SMALL), searches, lambda far, half: far <= half).select("search", "node", "far")
+            if late := self.SMALL < size and moved < min(self.SMALL, size / 20):
+                # few are left: they are looked up among the others, which stay where they are
+                came = written(came.groupBy("search", "node").agg(F.min("far").alias("far")), "came")
+                same = state.join(_broadcast(came.select("search", "node"), came.count(), 4 * self.SMALL), ["search", "node"], "left_semi")
+                was = same.groupBy("search", "node").agg(F.min("far").alias("was"))
+                front = written(came.join(was, ["search", "node"], "left").where("was IS NULL OR far < was").select("search", "node", "far"), "reached")
+                state, moved = state.unionByName(front), front.count()
+                continue
+            both = state.withColumn("old", F.lit(True)).unionByName(came.withColumn("old", F.lit(False))).repartition("search")
+            least = both.groupBy("search", "node").agg(F.min("far").alias("far"), F.min(F.when(F.col("old"), F.col("far"))).alias("was"))
+            new = written(least.select("search", "node", "far", (F.col("was").isNull() | (F.col("far") < F.col("was"))).alias("moved")), "reached")
+            state, front = new.select("search", "node", "far"), new.where("moved").select("search", "node", "far")
+            size, moved = new.agg(F.count("*"), F.count_if("moved")).first()
+        return written(state.repartition("search").groupBy("search", "node").agg(F.min("far").alias("far")), "reached") if late else state
+
+    def crossings(self, reached: DataFrame, searches: DataFrame) -> DataFrame:
+        """(search, node, u, far) over the lines that leave the half of a search's budget."""
+        return self._on(reached, searches, lambda far, half: far > half)
+
+
+def _least_rate(lines: DataFrame, placed: DataFrame, within: int) -> tuple[float, float]:
+    """(rate, slack): no way is shorter than `rate` times the straight line between its ends less `slack`.
+
+    A shortest way falls into stretches that first pass `within` metres with their last line, and a rest of at most
+    `within`. `rate` is the least length of such a stretch over its straight line, `slack` what a rest lacks at most.
+    """
+    if placed.where("x IS NULL").limit(1).count():
+        return 0.0, 0.0
+    starts = placed.select((2 * F.col("id")).alias("search"), F.col("id").alias("node"), F.lit(2 * within).cast("long").alias("budget"), "x", "y", "z")
+    near = _Searches(lines).reached(starts)
+    own = placed.select((2 * F.col("id")).alias("search"), *(F.col(k).alias(f"t{k}") for k in "xyz"))
+    length, straight = F.col("far") + F.col("metres"), _straight("", "t")
+    stretches = near.join(own, "search").join(lines, F.col("node") == F.col("u")).where(length > within)
+    rate = stretches.agg(F.min(F.try_divide(length, straight))).first()[0]
+    if rate is None:
+        return 0.0, 0.0
+    rate = min(1.0, rate) * (1 - 1e-9)
+    rest = near.join(own, "search").join(placed.select(F.col("id").alias("node"), "x", "y", "z"), "node")
+    return rate, rest.agg(F.max(rate * straight - F.col("far"))).first()[0] + 1e-3
+
+
+def routes(edges: DataFrame, pairs: DataFrame, most: int, places: DataFrame | None = None) -> DataFrame:
     """(a, b, hop, line, forward, line_metres, metres): the lines of a shortest path of at most `most` metres for each pair, in order from a.
 
     `edges`: (line, u, v, metres), metres a whole number over 0. Of equally short ways to a node the
-    one by the least node counts, then the least line. Both ends spread over half of a path (see
-    `_meetings`). What lies on a shortest path beyond the half around a is then marked from the
-    meetings on towards b, and paths are read backwards from b. Pairs without a path have no rows.
+    one by the least node counts, then the least line. Pairs without a path have no rows.
+    `places` (node, lon, lat) of all nodes lets searches leave out what lies too far off (see `_least_rate`); the paths are the same without.
+
+    Each pair has a budget of metres. Its ends spread over half of it and meet over the lines between
+    the halves; pairs that do not meet try again with a larger budget, which grows faster as long as it reaches few more nodes.
+    What lies on a shortest path beyond the half around a is then marked from the meetings on towards
+    b, and paths are read backwards from b.
     """
     spark = edges.sparkSession
-    wanted = written(pairs.select("a", "b").where("a <> b").distinct().withColumn("item", F.monotonically_increasing_id()), "pairs")
-    shortest = F.min("metres").over(Window.partitionBy("item"))
-    met, labels, ways = _meetings(edges, wanted.select("item", "a"), wanted.select("item", "b"), most, 1.0, lambda own: own.withColumn("least", shortest).where("metres = least").drop("least"))
-    if met is None:
-        return spark.createDataFrame([], "a string, b string, hop int, line long, forward boolean, line_metres long, metres long")
-    known = labels.select("s", "node", "far")
-    by = met.select("item", "node", "way.prev", "way.line", "way.forward", "way.own")
-    front = met.select("item", "b", "node", "left")
-    while not front.isEmpty():
-        on = front.where("left > 0").join(ways, F.col("node") == F.col("u")).where("metres <= left").select("item", F.col("b").alias("s"), F.col("v").alias("node"), F.col("u").alias("prev"), "line", "forward", F.col("metres").alias("own"), (F.col("left") - F.col("metres")).alias("far"))
-        on = written(on.join(known, ["s", "node", "far"]), "path-ways")
-        by = by.unionByName(on.select("item", "node", "prev", "line", "forward", "own"))
-        front = on.select("item", F.col("s").alias("b"), "node", F.col("far").alias("left")).distinct()
-    came = F.struct("prev", "line", "forward", "own")
-    beyond = written(by.groupBy("item", "node").agg(F.min(came).alias("way")).select("item", "node", "way.*"), "path-tree")
-    within = labels.where("way IS NOT NULL").select(F.col("s").alias("a"), "node", "way.prev", "way.line", "way.forward", "way.own")
-    ends = wanted.join(met.select("item", F.col("metres").alias("total")).distinct(), "item")
-    at = written(ends.select("item", "a", "b", "total", F.col("b").alias("node"), F.lit(0).alias("back")), "path-ends")
-    steps = ["item", "a", "b", "total", "back", "prev", "line", "forward", "own"]
+    none = spark.createDataFrame([], "a string, b string, hop int, line long, forward boolean, line_metres long, metres long")
+    nodes = written(edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    placed = written(_placed(nodes, places), "places")
+    ends = {s: placed.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("id", "x", "y", "z"))) for s in "ab"}
+    by_id = edges.join(nodes.select(F.col("node").alias("u"), F.col("id").alias("_u")), "u").join(nodes.select(F.col("node").alias("v"), F.col("id").alias("_v")), "v").select("line", F.col("_u").alias("u"), F.col("_v").alias("v"), "metres")
+    ways = _ways(by_id)
+    step = ways.groupBy("u").agg(F.min("metres").alias("least")).agg(F.avg("least")).first()[0]
+    if step is None:
+        return none
+    step = math.ceil(step)
+    lines = written(ways.join(placed.select(F.col("id").alias("v"), "x", "y", "z"), "v").select("u", "v", "metres", "x", "y", "z"), "lines-to")
+    part = components(ways.select("u", "v"))
+    wanted = pairs.select("a", "b").where("a <> b").distinct().join(ends["a"], "a").join(ends["b"], "b")
+    for s in "ab":
+        wanted = wanted.join(part.select(F.col("node").alias(f"{s}id"), F.col("component").alias(f"{s}part")), f"{s}id")
+    wanted = written(wanted.where("apart = bpart").drop("apart", "bpart").withColumn("item", F.monotonically_increasing_id()), "pairs")
+    search = _Searches(lines, *_least_rate(lines, placed, 2 * step))
+    straight = F.coalesce(_straight("a", "b"), F.lit(0.0)) if search.rate else F.lit(0.0)
+    budget = F.least(F.lit(most), F.ceil(straight) + 2 * step).cast("long").alias("budget")
+    items = written(wanted.select("item", budget, F.lit(step).cast("long").alias("more"), F.lit(0).cast("long").alias("before")), "budgets")
+    item = F.expr("shiftright(search, 1)").alias("item")
+    met, known = [], []
+    while not items.isEmpty():
+        own = items.join(wanted, "item")
+        both = own.select((2 * F.col("item")).alias("search"), F.col("aid").alias("node"), "budget", *(F.col(f"b{k}").alias(k) for k in "xyz"))
+        both = written(both.unionByName(own.select((2 * F.col("item") + 1).alias("search"), F.col("bid").alias("node"), "budget", *(F.col(f"a{k}").alias(k) for k in "xyz"))), "searches")
+        reached = search.reached(both)
+        out = search.crossings(reached.where("search % 2 = 0"), both).select(item, "node", "u", "far")
+        # where b is within the half around a
+        out = out.unionByName(reached.where("search % 2 = 0").select(item, "node", "far").join(own.select("item", F.col("bid").alias("node")), ["item", "node"]).select("item", "node", F.lit(None).cast("long").alias("u"), "far"))
+        back = reached.where("search % 2 = 1").select(item, "node", F.col("far").alias("left"))
+        meet = out.join(back, ["item", "node"]).withColumn("metres", F.col("far") + F.col("left")).join(items.select("item", "budget"), "item").where("metres <= budget")
+        meet = written(meet.select("item", "u", "node", "left", "metres"), "meetings")
+        least = meet.groupBy("item").agg(F.min("metres").alias("metres"))
+        met.append(meet.join(least, ["item", "metres"]))
+        known.append(written(reached.withColumn("item", item).join(least.select("item"), "item", "left_semi").repartition("item"), "labels"))
+        n = reached.groupBy(item).agg(F.count("*").alias("n"))
+        left = items.where(F.col("budget") < most).join(least, "item", "left_anti").join(n, "item").withColumn("more", F.when(F.col("n") < 2 * F.col("before"), 2 * F.col("more")).otherwise(F.col("more")))
+        items = written(left.select("item", F.least(F.lit(most), F.col("budget") + F.col("more")).cast("long").alias("budget"), "more", F.col("n").alias("before")), "budgets")
+    if not met:
+        return none
+    met, known = written(reduce(DataFrame.unionByName, met), "met"), reduce(DataFrame.unionByName, known)
+    around = {s: known.where(F.col("search") % 2 == k).select("item", "node", "far") for k, s in enumerate("ab")}
+    ways = written(ways.join(nodes.select(F.col("id").alias("u"), F.col("node").alias("prev")), "u"), "ways")
+    came = F.struct("prev", "line", "forward", "metres", "u")
+    by = [met.select("item", "node", F.col("u").alias("_u")).join(ways, (F.col("_u") == F.col("u")) & (F.col("node") == F.col("v"))).select("item", "node", came.alias("way"))]
+    front, few = met.where("u IS NOT NULL").select("item", "node", "left").distinct(), search.SMALL // 20
+    while n := front.count():
+        on = _broadcast(front, n, search.SMALL).where("left > 0").join(ways, F.col("node") == F.col("u")).where("metres <= left").select("item", F.col("v").alias("node"), came.alias("way"), (F.col("left") - F.col("metres")).alias("far"))
+        on = written(around["b"].join(_broadcast(on, n, few), ["item", "node", "far"]), "path-ways")
+        by.append(on.select("item", "node", "way"))
+        front = on.select("item", "node", F.col("far").alias("left")).distinct()
+    beyond = written(reduce(DataFrame.unionByName, by).groupBy("item", "node").agg(F.min("way").alias("way")), "path-tree")
+    total = met.groupBy("item").agg(F.min("metres").alias("far"))
+    at = written(total.join(wanted, "item").select("item", "aid", F.col("bid").alias("node"), "far", F.lit(0).alias("back")), "path-ends")
     found, inner = [], []
     while not at.isEmpty():
-        own = written(at.join(beyond, ["item", "node"], "left").select(*steps, "node"), "path-steps")
-        found.append(own.where("prev IS NOT NULL").select(*steps))
-        inner.append(own.where("prev IS NULL AND node <> a").select("item", "a", "b", "total", "node", "back"))
-        at = own.where("prev IS NOT NULL").select("item", "a", "b", "total", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
-    at = reduce(DataFrame.unionByName, inner)
-    while not at.isEmpty():
-        own = written(at.join(within, ["a", "node"]).select(*steps), "path-steps")
-        found.append(own)
-        at = own.where("prev <> a").select("item", "a", "b", "total", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
+        own = written(at.join(beyond, ["item", "node"], "left"), "path-steps")
+        found.append(own.where("way IS NOT NULL").select("item", "back", "way"))
+        inner.append(own.where("way IS NULL AND node <> aid").select("item", "aid", "node", "far", "back"))
+        at = own.where("way IS NOT NULL").select("item", "aid", F.col("way.u").alias("node"), (F.col("far") - F.col("way.metres")).alias("far"), (F.col("back") + 1).alias("back"))
+    at = written(reduce(DataFrame.unionByName, inner), "path-halves")
+    while n := at.count():
+        into = _broadcast(at, n, search.SMALL).join(ways, F.col("node") == F.col("v")).where("metres <= far").select("item", "aid", "back", came.alias("way"), F.col("u").alias("node"), (F.col("far") - F.col("metres")).alias("far"))
+        own = written(around["a"].join(_broadcast(into, n, few), ["item", "node", "far"]).groupBy("item", "aid", "back").agg(F.min(F.struct("way", "far")).alias("x")).select("item", "aid", "back", "x.*"), "path-steps")
+        found.append(own.select("item", "back", "way"))
+        at = own.where("way.u <> aid").select("item", "aid", F.col("way.u").alias("node"), "far", (F.col("back") + 1).alias("back"))
     hops = F.max("back").over(Window.partitionBy("item"))
-    return reduce(DataFrame.unionByName, found).select("a", "b", (hops - F.col("back")).alias("hop"), "line", "forward", F.col("own").alias("line_metres"), F.col("total").alias("metres"))
+    steps = reduce(DataFrame.unionByName, found).select("item", (hops - F.col("back")).alias("hop"), "way")
+    return steps.join(wanted.select("item", "a", "b"), "item").join(total, "item").select("a", "b", "hop", "way.line", "way.forward", F.col("way.metres").alias("line_metres"), F.col("far").alias("metres"))

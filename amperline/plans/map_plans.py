@@ -145,7 +145,8 @@ def routes(spark, d):
     st = _station_nodes(spark, d)
     n = st.count()
     pairs = st.select(F.col("node").alias("a"), ((F.col("station") * 3 + 1) % n).alias("to")).join(st.select(F.col("station").alias("to"), F.col("node").alias("b")), "to").select("a", "b")
-    return graph.routes(_graph(spark, d), pairs, 100_000)
+    edges = written(_graph(spark, d), "graph")
+    return graph.routes(edges, pairs, 100_000, _graph_nodes(edges))
 
 
 _GRAPH_NODES = "gn AS (SELECT node, CAST(split_part(node, ',', 1) AS DOUBLE) / 1000 AS lon, CAST(split_part(node, ',', 2) AS DOUBLE) / 1000 AS lat FROM (SELECT u AS node FROM ed UNION SELECT v FROM ed))"

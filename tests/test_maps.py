@@ -156,3 +156,49 @@ def test_closest_pairs(spark):
     found = lambda *more: sorted(map(tuple, graph.closest_pairs(edges, left, right, 1000, 1.2, *more).select("item", "a", "b", "metres").collect()))
     assert found() == [(1, "a", "b", 20), (1, "a", "c", 23), (3, "a", "c", 23), (4, "b", "m", 10), (4, "m", "b", 10)]
     assert found(lambda pairs: pairs.where("metres > 25")) == [(1, "a", "d", 40), (3, "a", "d", 40)]
+
+
+def test_searches_leave_out_what_lies_too_far_off(spark):
+    """On a dense map of lines between far places, some shorter than straight: no way undercuts the bound, and pairs reach and cross a small part of what they do without places, to the same paths."""
+    import heapq
+    import math
+    import random
+
+    r = random.Random(5)
+    places = [(f"n{i:03}", 120 + r.random() / 3, 10 + r.random() / 3) for i in range(240)]
+    km = lambda p, q: 6371 * math.sqrt(((p[1] - q[1]) * math.cos(math.radians(10))) ** 2 + (p[2] - q[2]) ** 2) * math.pi / 180
+    ends = [r.sample(range(240), 2) for _ in range(2400)]
+    lines = [(i, places[a][0], places[b][0], max(40, int(1000 * km(places[a], places[b]) * r.choice([1, 1.02, 1.05])) - r.randrange(300))) for i, (a, b) in enumerate(ends)]
+    edges, at = spark.createDataFrame(lines, EDGES), spark.createDataFrame(places, "node string, lon double, lat double")
+    pairs = spark.createDataFrame([(places[i][0], places[-i][0]) for i in range(1, 40)], "a string, b string")
+    with_places, without = ({tuple(x) for x in graph.routes(edges, pairs, 10**6, p).collect()} for p in (at, None))
+    assert with_places == without and len({x[:2] for x in without}) == 39
+    nodes = spark.createDataFrame([(p[0], i) for i, p in enumerate(places)], "node string, id long")
+    placed = graph._placed(nodes, at)
+    ways = spark.createDataFrame([(a, b, m) for (x, y), (*_, m) in zip(ends, lines, strict=True) for a, b in ((x, y), (y, x))], "u long, v long, metres long")
+    to = ways.groupBy("u", "v").agg(F.min("metres").alias("metres")).join(placed.select(F.col("id").alias("v"), "x", "y", "z"), "v").cache()
+    rate, slack = graph._least_rate(to, placed, 3000)
+    assert 0.5 < rate <= 1 and 0 <= slack < 1000
+    xyz = {p.id: (p.x, p.y, p.z) for p in placed.collect()}
+    near = {}
+    for e in to.collect():
+        near.setdefault(e.u, []).append((e.v, e.metres))
+    for a in range(0, 240, 20):
+        dist, todo = {a: 0}, [(0, a)]
+        while todo:
+            d, u = heapq.heappop(todo)
+            for v, m in near[u] if d == dist[u] else []:
+                if d + m < dist.get(v, 10**9):
+                    dist[v] = d + m
+                    heapq.heappush(todo, (d + m, v))
+        assert all(d >= rate * math.dist(xyz[a], xyz[b]) - slack for b, d in dist.items())
+    asked = spark.createDataFrame([(2 * i, i, 30_000, *xyz[239 - i]) for i in range(20)], "search long, node long, budget long, x int, y int, z int")
+    seen = []
+    for search in (graph._Searches(to, rate, slack), graph._Searches(to)):
+        reached = search.reached(asked).cache()
+        seen.append((reached.count(), search.crossings(reached, asked).count()))
+    assert seen[0][0] < seen[1][0] and seen[0][1] < seen[1][1] / 3
+    late = graph._Searches(to, rate, slack)
+    late.SMALL = 60
+    again = late.reached(asked)
+    assert {tuple(x) for x in again.collect()} == {tuple(x) for x in graph._Searches(to, rate, slack).reached(asked).collect()}
